@@ -89,6 +89,8 @@ PARTS["landing"] = (
 _rest = [c for c in LANDING_COLUMNS if c not in ("_ingested_at", "closed_date")]
 NEWEST_FIRST = ", ".join(f"{c} DESC NULLS LAST" for c in ["_ingested_at", "closed_date", *_rest])
 
+OLDEST_FIRST = NEWEST_FIRST.replace("DESC NULLS LAST", "ASC NULLS FIRST")
+
 
 def newest(where: str = "TRUE") -> str:
     return (
@@ -298,8 +300,7 @@ WINDOW_RATE = ratio(f"count(*) FILTER ({IN_WINDOW})", "count(*)")
 PARTS["months"] = (
     ["measured"],
     f"""
-    SELECT cohort_month, agency_key, complaint_type_key, complaint_type, borough,
-      {AGE} >= {WINDOW} AS is_cohort_mature,
+    SELECT cohort_month, agency_key, complaint_type_key, complaint_type, borough, is_cohort_mature,
       count(*)::BIGINT AS request_volume, count(s)::BIGINT AS closed_volume,
       {ratio("count(s)", "count(*)")} AS closure_rate,
       CASE WHEN is_cohort_mature THEN {WINDOW_RATE} END AS closure_rate_at_maturity,
@@ -309,7 +310,8 @@ PARTS["months"] = (
       (count(*) - count(s))::BIGINT AS backlog_open_count,
       {ratio("count(*) FILTER (is_within_target)", "count(is_within_target)")} AS on_time_rate,
       count(is_within_target)::BIGINT AS on_time_denominator
-    FROM measured GROUP BY ALL
+    FROM (SELECT *, {AGE} >= {WINDOW} AS is_cohort_mature FROM measured)
+    GROUP BY cohort_month, agency_key, complaint_type_key, complaint_type, borough, is_cohort_mature
     """,
 )
 PARTS["cohorts"] = (
@@ -761,7 +763,8 @@ _CHECKS = [
         "created_at", "is_closed",
     ),
     f"""SELECT '{_F}.coordinates_inside_box', 'error', count(*) FROM facts
-        WHERE NOT (latitude BETWEEN 40.4 AND 41.0 AND longitude BETWEEN -74.3 AND -73.7)""",
+        WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+          AND NOT (latitude BETWEEN 40.4 AND 41.0 AND longitude BETWEEN -74.3 AND -73.7)""",
     f"SELECT '{_F}.no_closed_before_created', 'error', count(*) FROM facts WHERE closed_at < created_at",
     f"SELECT '{_F}.no_negative_durations', 'error', count(*) FROM facts WHERE days_to_close < 0 OR age_days < 0",
     *_repeats(_F, "facts", "request_id"),
@@ -809,6 +812,13 @@ final(
     + "\nUNION ALL ".join(_CHECKS)
     + "\n) AS t(check_name, severity, failures)",
 )
+final(
+    "stream_ingest", ["landing"],
+    """SELECT substr(created_date, 1, 7) AS slice, count(*) AS row_count, count(DISTINCT _ingested_at) AS ingestions
+       FROM landing GROUP BY 1""",
+)
+final("stream_append_only", ["landing"], f"SELECT * FROM landing QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY {OLDEST_FIRST}) = 1")
+final("stream_merge", ["newest"], "SELECT * FROM newest")
 final(
     "event_durations", [],
     f"""WITH e AS (SELECT event_type, {secs("ts", "(date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 SECOND)")} AS s

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources import landing as src
 from tidemark.sources.tables import ORDER_PARAMS, landing_from_orders, read
+from tidemark.streaming import incremental, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,6 +176,52 @@ def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(out)
 
 
+def _arrivals(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """The landing in two deliveries: what was ingested early, and the rest."""
+    early = F.col("_ingested_at") <= CAPTURED_UPTO
+    return w.landing.filter(early), w.landing.filter(~early)
+
+
+def stream_ingest(w: Warehouse) -> DataFrame:
+    """Two deliveries of NDJSON, each taken in by a run that resumes."""
+    root = f"{w.store.path('raw', 'stream_ingest')}-{uuid.uuid4().hex[:8]}"
+    for delivery in _arrivals(w):
+        delivery.write.mode("append").option("compression", "gzip").json(f"{root}/arrivals")
+        ingest.ingest_available(w.spark, f"{root}/arrivals", f"{root}/landing", f"{root}/progress")
+    return (
+        ingest.landed(w.spark, f"{root}/landing")
+        .groupBy(src.slice_label("created_date").alias("slice"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("_ingested_at").alias("ingestions"))
+    )
+
+
+def _streamed(w: Warehouse, name: str) -> tuple[str, list[str]]:
+    """Run both deliveries through one of the two loads; answer its folder."""
+    root = f"{w.store.path('comparison', name)}-{uuid.uuid4().hex[:8]}"
+    order = ["_ingested_at", "closed_date"]
+    target = f"{root}/table"
+    sink = (
+        incremental.append_only_sink(target, "unique_key", order, src.LANDING_SCHEMA)
+        if name == "stream_append_only"
+        else incremental.merge_sink(target, "unique_key", order)
+    )
+    for delivery in _arrivals(w):
+        delivery.write.mode("append").parquet(f"{root}/arrivals")
+        source = w.spark.readStream.schema(src.LANDING_SCHEMA).parquet(f"{root}/arrivals")
+        incremental.run_available(source, sink, f"{root}/progress")
+    return target, order
+
+
+def stream_append_only(w: Warehouse) -> DataFrame:
+    target, _ = _streamed(w, "stream_append_only")
+    return incremental.read_append_only(w.spark, target, src.LANDING_SCHEMA)
+
+
+def stream_merge(w: Warehouse) -> DataFrame:
+    target, order = _streamed(w, "stream_merge")
+    return incremental.read_merged(w.spark, target, src.LANDING_SCHEMA, "unique_key", order)
+
+
 REGISTERED: dict[str, Query] = {
     # scans and slices
     "landing_profile": _over_warehouse(lambda w: src.landing_profile(w.landing)),
@@ -235,6 +283,10 @@ REGISTERED: dict[str, Query] = {
     ),
     "probe_summary": _over_warehouse(lambda w: snapshots.probe_summary(_diff(w))),
     "probe_capture": _over_warehouse(probe_capture),
+    # streams
+    "stream_ingest": _over_warehouse(stream_ingest),
+    "stream_append_only": _over_warehouse(stream_append_only),
+    "stream_merge": _over_warehouse(stream_merge),
     # assertions
     "checks_summary": _over_warehouse(checks.run_checks),
     "event_durations": event_durations,

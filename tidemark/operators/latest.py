@@ -15,16 +15,21 @@ def latest_per_key(
     key: str | Column,
     order: Sequence[str],
     keep_null_keys: bool = False,
+    newest: bool = True,
 ) -> DataFrame:
     """Keep the row that sorts first by ``order`` descending, nulls last.
 
+    With ``newest`` off it is the row that sorts last, so the earliest one.
+
     Every remaining column breaks ties, so two runs cannot choose differently.
     The filter on the rank is applied per input partition before the shuffle as
     well as after it, so a key that holds a third of the log moves one row per
     task. Rows without a key count as one key unless ``keep_null_keys`` is set.
     """
     rest = [c for c in log.columns if c not in order]
-    total = [F.col(c).desc_nulls_last() for c in [*order, *rest]]
+    total = [
+        F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_first() for c in [*order, *rest]
+    ]
     keyed = log.withColumn("_key", col(key))
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(*total)))
     if not keep_null_keys:
