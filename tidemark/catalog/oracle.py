@@ -39,8 +39,6 @@ def key_of(*parts: str) -> str:
     return "md5(" + " || '||' || ".join(f"coalesce(({p})::VARCHAR, '<<null>>')" for p in parts) + ")"
 
 
-STAMP = "'%Y-%m-%d %H:%M:%S'"
-
 # Named parts: name -> (parts it reads, SQL).
 PARTS: dict[str, tuple[list[str], str]] = {}
 
@@ -53,8 +51,8 @@ PARTS["landing"] = (
            ELSE l_orderkey::VARCHAR END AS unique_key,
       CASE WHEN o_totalprice < 2000 THEN 'not recorded'
            WHEN o_totalprice < 4000 THEN strftime(o_orderdate, '%Y')
-           ELSE strftime(o_orderdate, {STAMP}) END AS created_date,
-      CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, {STAMP}) END AS closed_date,
+           ELSE o_orderdate::VARCHAR END AS created_date,
+      CASE WHEN l_linestatus = 'F' THEN l_shipdate::VARCHAR END AS closed_date,
       CASE WHEN c_acctbal < -900 THEN '' ELSE lower(c_mktsegment) END AS agency,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'Department of ' || c_mktsegment
            WHEN '5-LOW' THEN NULL ELSE c_mktsegment || ' department' END AS agency_name,
@@ -65,9 +63,9 @@ PARTS["landing"] = (
       c_name AS incident_address, p_name AS street_name, l_returnflag AS address_type, ' ' || n_name AS city,
       CASE WHEN o_totalprice < 8000 THEN ' ' WHEN o_orderstatus = 'F' THEN 'Closed'
            WHEN o_orderstatus = 'O' THEN 'Open' ELSE 'In Progress' END AS status,
-      strftime(CASE WHEN o_totalprice > 495000 THEN o_orderdate - INTERVAL 1 DAY
-                    ELSE o_orderdate + INTERVAL 30 DAY END, {STAMP}) AS due_date,
-      strftime(l_shipdate, {STAMP}) AS resolution_action_updated_date,
+      (CASE WHEN o_totalprice > 495000 THEN o_orderdate - INTERVAL 1 DAY
+            ELSE o_orderdate + INTERVAL 30 DAY END)::VARCHAR AS due_date,
+      l_shipdate::VARCHAR AS resolution_action_updated_date,
       n_name AS community_board,
       CASE WHEN c_nationkey = 0 THEN 'Unspecified' ELSE lower(r_name) END AS borough,
       o_orderpriority AS open_data_channel_type,
@@ -76,7 +74,7 @@ PARTS["landing"] = (
         || CASE WHEN c_acctbal > 9900 THEN 'd' ELSE '' END AS latitude,
       '-' || ((73600 + (o_custkey * 53) % 800) // 1000)::VARCHAR || '.'
         || lpad(((73600 + (o_custkey * 53) % 800) % 1000)::VARCHAR, 3, '0') AS longitude,
-      strftime(TIMESTAMP '2001-08-01 06:00:00' + to_days(l_linenumber::INTEGER), {STAMP}) AS _ingested_at
+      (TIMESTAMP '2001-08-01 06:00:00' + to_days(l_linenumber::INTEGER))::VARCHAR AS _ingested_at
     FROM lineitem
     JOIN orders ON o_orderkey = l_orderkey
     JOIN customer ON c_custkey = o_custkey

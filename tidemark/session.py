@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> SparkSession:
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",

@@ -32,19 +32,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than there are cores.
+
+    A scan of many files has far more splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _stamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return c.cast("string")
 
 
 def _milli_degrees(c: Column) -> Column:
-    whole, part = (c / F.lit(1000)).cast("bigint"), c % F.lit(1000)
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), 3, "0"))
+    text = c.cast("string")
+    return F.concat(F.substring(text, 1, 2), F.lit("."), F.substring(text, 3, 3))
 
 
 def landing_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+    line = spread(
+        read(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate",
+        )
     )
     orders = read(spark, sf_dir, "orders")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -73,7 +84,7 @@ def landing_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lost_key & (c("l_quantity") == 49), F.lit(None))
         .otherwise(c("l_orderkey").cast("string")),
         "created_date": F.when(price < 2000, F.lit("not recorded"))
-        .when(price < 4000, F.date_format(created, "yyyy"))
+        .when(price < 4000, F.year(created).cast("string"))
         .otherwise(_stamp(created)),
         "closed_date": F.when(c("l_linestatus") == "F", _stamp(shipped)),
         "agency": F.when(c("c_acctbal") < -900, F.lit("")).otherwise(F.lower("c_mktsegment")),
