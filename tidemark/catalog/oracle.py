@@ -707,6 +707,7 @@ final(
         for f in PROBE_FIELDS
     ),
 )
+final("snapshot_recheck", *FINAL["field_change_counts"])
 final(
     "probe_summary", ["diffed"],
     f"""SELECT count(*) AS sample_size, count(*) FILTER (NOT disappeared) AS refetched,

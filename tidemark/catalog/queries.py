@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import as_ntz, days_between, rounded, seconds_between
 from tidemark.operators import sampling, snapshots
+from tidemark.operators.latest import paired_states
 from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources import landing as src
@@ -118,17 +119,28 @@ def latest_current(w: Warehouse) -> DataFrame:
     return staging.current_rows(w.landing).select(*columns)
 
 
-def _snapshots(w: Warehouse) -> tuple[DataFrame, DataFrame]:
-    """Current state as of an earlier ingestion, and now."""
+def _diff(w: Warehouse) -> DataFrame:
+    """Each request's state as of an earlier ingestion against its state now."""
+    known = w.landing.filter(F.col("unique_key").isNotNull())
+    states = paired_states(
+        known,
+        "unique_key",
+        ["_ingested_at", "closed_date"],
+        snapshots.PROBE_FIELDS,
+        F.col("_ingested_at") <= CAPTURED_UPTO,
+    )
+    captured = states.filter(F.col("before").isNotNull())
+    return snapshots.compare_states(captured, "unique_key", snapshots.PROBE_FIELDS)
+
+
+def snapshot_recheck(w: Warehouse) -> DataFrame:
+    """The same comparison from two captured frames, as a probe makes it."""
     fields = ["unique_key", *snapshots.PROBE_FIELDS]
     earlier = staging.current_rows(w.landing.filter(F.col("_ingested_at") <= CAPTURED_UPTO))
     a = snapshots.capture(earlier, scope="all")
     b = snapshots.recheck(staging.current_rows(w.landing).select(*fields), a)
-    return a, b
-
-
-def _diff(w: Warehouse) -> DataFrame:
-    return snapshots.snapshot_diff(*_snapshots(w), "unique_key", snapshots.PROBE_FIELDS)
+    diff = snapshots.snapshot_diff(a, b, "unique_key", snapshots.PROBE_FIELDS)
+    return snapshots.field_change_counts(diff, snapshots.PROBE_FIELDS)
 
 
 def snapshot_diff(w: Warehouse) -> DataFrame:
@@ -281,6 +293,7 @@ REGISTERED: dict[str, Query] = {
     "field_change_counts": _over_warehouse(
         lambda w: snapshots.field_change_counts(_diff(w), snapshots.PROBE_FIELDS)
     ),
+    "snapshot_recheck": _over_warehouse(snapshot_recheck),
     "probe_summary": _over_warehouse(lambda w: snapshots.probe_summary(_diff(w))),
     "probe_capture": _over_warehouse(probe_capture),
     # streams

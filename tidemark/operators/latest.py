@@ -36,3 +36,25 @@ def latest_per_key(
         return ranked.filter(F.col("_rn") == 1).drop("_rn", "_key")
     named = ranked.filter(F.col("_key").isNotNull() & (F.col("_rn") == 1)).drop("_rn", "_key")
     return named.unionByName(keyed.filter(F.col("_key").isNull()).drop("_key"))
+
+
+def paired_states(
+    log: DataFrame,
+    key: str,
+    order: Sequence[str],
+    fields: Sequence[str],
+    known_before: Column,
+) -> DataFrame:
+    """Two states of each key from one pass: the latest of the rows that
+    satisfy ``known_before``, and the latest of all.
+
+    Both are maxima over an ordering struct, so each task hands on one row per
+    key. A null sorts below every value there, which is nulls last descending.
+    """
+    rest = [c for c in log.columns if c not in order and c != key]
+    rank = F.struct(*order, *rest)
+    row = F.struct(*fields)
+    return log.groupBy(key).agg(
+        F.max_by(F.when(known_before, row), F.when(known_before, rank)).alias("before"),
+        F.max_by(row, rank).alias("after"),
+    )

@@ -66,7 +66,11 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -
     fields = list(fields)
     before = a.select(F.col(key), F.struct(*fields).alias("before"))
     after = b.select(F.col(key), F.struct(*fields).alias("after"))
-    both = before.join(after, key, "left")
+    return compare_states(before.join(after, key, "left"), key, fields)
+
+
+def compare_states(both: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Field by field, for rows holding structs ``before`` and ``after``."""
     gone = F.col("after").isNull()
     names = [
         F.when(~gone & changed(F.col(f"before.{f}"), F.col(f"after.{f}")), F.lit(f)) for f in fields

@@ -12,6 +12,7 @@ from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio,
 from tidemark.operators.joins import lookup_join
 from tidemark.operators.medians import grouped_median
 from tidemark.plans import metrics
+from tidemark.store import Store
 
 MONTH_KEYS = ["cohort_month", "agency_key", "complaint_type_key", "complaint_type", "borough"]
 BI_GRAIN = [
@@ -34,6 +35,10 @@ def duration_histogram(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _kept(histogram: DataFrame, name: str, store: Store | None) -> DataFrame:
+    return histogram if store is None else store.table("intermediate", name, histogram)
+
+
 def in_window(params: Params) -> Column:
     """Closed, and within the maturity window of being created."""
     return F.col("seconds") <= F.lit(params.maturity_window_days * 86400)
@@ -66,11 +71,14 @@ def cohort_components(
         F.sum("judged").alias("judged_volume"),
     )
     added = [c for c in parts.columns if c not in keys]
-    series = F.filter(
-        F.array(*[F.when(cond, F.lit(name)) for name, cond in medians.items()]), lambda s: s.isNotNull()
-    )
-    exploded = histogram.withColumn("_series", F.explode(series))
-    middle = grouped_median(exploded, [*keys, "_series"], "seconds", "n")
+    closed = histogram.filter(seconds.isNotNull()).select(*keys, "seconds", "n")
+    if len(medians) == 1:
+        ((name, condition),) = medians.items()
+        series = closed.filter(condition).withColumn("_series", F.lit(name))
+    else:
+        names = F.array(*[F.when(condition, F.lit(name)) for name, condition in medians.items()])
+        series = closed.withColumn("_series", F.explode(F.array_compact(names)))
+    middle = grouped_median(series, [*keys, "_series"], "seconds", "n")
     both = parts.unionByName(middle, allowMissingColumns=True)
     half = F.col("median_part") * F.col("parts") / F.lit(2.0)
     return both.groupBy(*keys).agg(
@@ -83,8 +91,14 @@ def is_mature(params: Params) -> Column:
     return cohort_age_days("cohort_month", params) >= F.lit(float(params.maturity_window_days))
 
 
-def agency_month(facts: DataFrame, geography: DataFrame, params: Params) -> DataFrame:
-    """Measures per cohort month, agency, type version, borough and maturity."""
+def agency_month(
+    facts: DataFrame, geography: DataFrame, params: Params, store: Store | None = None
+) -> DataFrame:
+    """Measures per cohort month, agency, type version, borough and maturity.
+
+    The histogram is read three times (components, bucket counts, values of the
+    middle buckets); with a store the fact is scanned once for all of them.
+    """
     narrow = facts.select(
         cohort_month("created_at").alias("cohort_month"),
         "agency_key", "complaint_type_key", "complaint_type", "geography_key",
@@ -92,21 +106,21 @@ def agency_month(facts: DataFrame, geography: DataFrame, params: Params) -> Data
     )
     g = geography.select(F.col("geography_key").alias("_g_key"), "borough")
     placed = lookup_join(narrow, g, F.col("geography_key") == F.col("_g_key"), params, "inner", ["request_id"])
-    histogram = duration_histogram(placed, MONTH_KEYS)
+    histogram = _kept(duration_histogram(placed, MONTH_KEYS), "agency_month_durations", store)
     components = cohort_components(
         histogram, MONTH_KEYS, params, {"median_days_to_close": F.col("seconds").isNotNull()}
     )
     return metrics.measures(components.withColumn("is_cohort_mature", is_mature(params)), MONTH_KEYS)
 
 
-def cohort_maturity(facts: DataFrame, params: Params) -> DataFrame:
+def cohort_maturity(facts: DataFrame, params: Params, store: Store | None = None) -> DataFrame:
     """The naive duration series beside the one observed over a fixed window."""
     keys = ["cohort_month"]
     placed = facts.select(
         cohort_month("created_at").alias("cohort_month"), "created_at", "closed_at", "is_within_target"
     )
     components = cohort_components(
-        duration_histogram(placed, keys),
+        _kept(duration_histogram(placed, keys), "cohort_durations", store),
         keys,
         params,
         {"naive_median": F.col("seconds").isNotNull(), "window_median": in_window(params)},

@@ -85,12 +85,14 @@ class Warehouse:
     @cached_property
     def agency_month(self) -> DataFrame:
         return self.store.table(
-            "marts", "mart_agency_month", marts.agency_month(self.fact, self.dim_geography, self.params)
+            "marts", "mart_agency_month", marts.agency_month(self.fact, self.dim_geography, self.params, self.store)
         )
 
-    @property
+    @cached_property
     def cohort_maturity(self) -> DataFrame:
-        return marts.cohort_maturity(self.fact, self.params)
+        return self.store.table(
+            "marts", "mart_cohort_maturity", marts.cohort_maturity(self.fact, self.params, self.store)
+        )
 
     @property
     def bi_wide(self) -> DataFrame:
@@ -104,9 +106,11 @@ class Warehouse:
     def merged(self) -> DataFrame:
         return replay.merge_table(self.valid, self.periods, self.params)
 
-    @property
+    @cached_property
     def drift_log(self) -> DataFrame:
-        return replay.drift(self.valid, self.periods, self.params)
+        return self.store.table(
+            "comparison", "vintage_drift_log", replay.drift(self.valid, self.periods, self.params)
+        )
 
     @property
     def drift_summary(self) -> DataFrame:
