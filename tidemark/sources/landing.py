@@ -146,20 +146,18 @@ def source_aggregates(landing: DataFrame) -> DataFrame:
     return landing.agg(F.count(F.lit(1)).alias("row_count"), F.max("created_date").alias("max_created_date"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Flatten a pull manifest to (slice, rows, complete)."""
-    entry = T.StructType(
-        [
-            T.StructField("last_sort", T.StringType()),
-            T.StructField("last_key", T.StringType()),
-            T.StructField("rows", T.LongType()),
-            T.StructField("complete", T.BooleanType()),
-        ]
-    )
-    schema = T.StructType([T.StructField("slices", T.MapType(T.StringType(), entry))])
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return raw.select(F.explode("slices").alias("slice", "e")).select(
-        "slice", F.col("e.rows").alias("rows"), F.col("e.complete").alias("complete")
+def parse_manifest(spark: SparkSession, text: str) -> DataFrame:
+    """Flatten the JSON of a pull manifest to (slice, rows, complete).
+
+    It takes the text, not a path: scans skip files whose names begin with an
+    underscore, as manifests do.
+    """
+    entry = "struct<last_sort: string, last_key: string, rows: bigint, complete: boolean>"
+    slices = F.from_json(F.lit(text), f"struct<slices: map<string, {entry}>>")["slices"]
+    return (
+        spark.range(1)
+        .select(F.explode(slices).alias("slice", "e"))
+        .select("slice", F.col("e.rows").alias("rows"), F.col("e.complete").alias("complete"))
     )
 
 
