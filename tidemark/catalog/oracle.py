@@ -513,12 +513,12 @@ final(
 )
 final(
     "systematic_sample", ["valid"],
-    """WITH r AS (
+    f"""WITH r AS (
          SELECT strftime(created_at, '%Y-%m') AS month, request_id, created_at, complaint_type,
            row_number() OVER (PARTITION BY strftime(created_at, '%Y-%m') ORDER BY request_id) - 1 AS i,
-           greatest(count(*) OVER (PARTITION BY strftime(created_at, '%Y-%m')) // 50, 1) AS stride
+           greatest(count(*) OVER (PARTITION BY strftime(created_at, '%Y-%m')) // {q.SAMPLE_PER_MONTH}, 1) AS stride
          FROM valid)
-       SELECT month, request_id, created_at, complaint_type FROM r WHERE i % stride = 0 AND i // stride < 50""",
+       SELECT month, request_id, created_at, complaint_type FROM r WHERE i % stride = 0 AND i // stride < {q.SAMPLE_PER_MONTH}""",
 )
 final(
     "latest_per_key", ["newest"],
@@ -573,6 +573,7 @@ final("fact", ["facts"], "SELECT * FROM facts")
 final("agency_month", ["months"], rounded("months", _MONTH_FLOATS))
 final("cohort_maturity", ["cohorts"], "SELECT * FROM cohorts ORDER BY cohort_month")
 final("bi_wide", ["wide"], rounded("wide", _WIDE_FLOATS))
+final("bi_export", *FINAL["bi_wide"])
 final(
     "bi_reaggregate", ["wide"],
     f"""SELECT cohort_year, agency_code, sum(request_volume)::BIGINT AS request_volume,
@@ -585,7 +586,8 @@ final(
 )
 final(
     "top6_other", ["wide"],
-    """WITH t AS (SELECT agency_code AS top FROM wide GROUP BY 1 ORDER BY sum(request_volume) DESC, 1 LIMIT 3)
+    f"""WITH t AS (SELECT agency_code AS top FROM wide GROUP BY 1
+         ORDER BY sum(request_volume) DESC, 1 LIMIT {q.TOP_AGENCIES})
        SELECT cohort_month, coalesce(top, 'Other') AS agency_code, sum(request_volume)::BIGINT AS request_volume
        FROM wide LEFT JOIN t ON top = agency_code GROUP BY ALL""",
 )
@@ -596,6 +598,27 @@ final(
 )
 final("append_only_table", ["append_only"], rounded("append_only", _STATE_FLOATS))
 final("merge_table", ["merged"], rounded("merged", _STATE_FLOATS))
+_BEFORE = f"TIMESTAMP '{q.PREVIOUS_CUTOFF}'"
+PARTS["two_runs"] = (
+    ["valid"],
+    f"SELECT *, CASE WHEN created_at <= {_BEFORE} THEN {_BEFORE} ELSE {_AT} END AS entered "
+    f"FROM valid WHERE created_at <= {_AT}",
+)
+PARTS["run_append"] = (["two_runs"], state("two_runs", "CASE WHEN closed_at <= entered THEN closed_at END", "entered"))
+PARTS["run_merge"] = (
+    ["two_runs"],
+    state(
+        "two_runs",
+        f"CASE WHEN closed_at <= {_AT} THEN closed_at END",
+        f"CASE WHEN closed_at > {_BEFORE} AND closed_at <= {_AT} THEN {_AT} ELSE entered END",
+    ),
+)
+final("incremental_append", ["run_append"], rounded("run_append", _STATE_FLOATS))
+final("incremental_merge", ["run_merge"], rounded("run_merge", _STATE_FLOATS))
+final(
+    "missed_closures", ["seen"],
+    "SELECT request_id, closed_at FROM seen WHERE close_cutoff > first_cutoff",
+)
 final(
     "table_disagreement", ["drifted"],
     rounded(
@@ -687,6 +710,11 @@ final(
         f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS rows_flagged, count(*) AS fact_rows FROM facts" for f in WARN_FLAGS
     ),
 )
+final(
+    "orphan_keys", ["landing", "facts"],
+    """SELECT trim(unique_key) AS request_id, count(*) AS orphan_rows FROM landing
+       WHERE unique_key IS NOT NULL AND trim(unique_key) NOT IN (SELECT request_id FROM facts) GROUP BY 1""",
+)
 final(
     "backlog_share", ["facts"],
     f"""WITH b AS (SELECT agency_key, count(*) FILTER (NOT is_closed) AS backlog FROM facts GROUP BY 1)

@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions import as_ntz, days_between, rounded, seconds_between
 from tidemark.operators import sampling, snapshots
+from tidemark.operators.joins import append_new, orphans, upsert
 from tidemark.operators.latest import paired_states
 from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
+from tidemark.sources import export
 from tidemark.sources import landing as src
 from tidemark.sources.tables import ORDER_PARAMS, landing_from_orders, read
+from tidemark.store import Store
 from tidemark.streaming import incremental, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +31,8 @@ CAPTURED_UPTO = "2001-08-05 23:59:59"
 PAGE_AFTER = ("1997-06-30 00:00:00", "5000")
 PAGE_ROWS = 1000
 PROBE_ROWS = 3000
-SAMPLE_PER_MONTH = 500
+SAMPLE_PER_MONTH = 50
+TOP_AGENCIES = 3
 MIN_VOLUME = 1000
 DETAIL_CODES = ["BUILDING", "MACHINERY"]
 ONE_AGENCY = "BUILDING"
@@ -41,10 +45,16 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """One build per session and directory, so queries share stored tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = Warehouse(spark, landing_from_orders(spark, sf_dir), ORDER_PARAMS)
+        _built[key] = fresh_warehouse(spark, sf_dir)
     return _built[key]
 
 
+def fresh_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    store = Store(spark)
+    landing = store.table("raw", "service_requests_landing", landing_from_orders(spark, sf_dir))
+    return Warehouse(spark, landing, ORDER_PARAMS, store)
+
+
 def presented(df: DataFrame) -> DataFrame:
     """Round every floating column and widen every whole number."""
 
@@ -95,15 +105,17 @@ def month_slices(w: Warehouse) -> DataFrame:
     return slices.join(src.slice_counts(w.landing), "slice", "left").fillna(0, ["row_count"])
 
 
-def manifest_tieout(w: Warehouse) -> DataFrame:
+def manifest_tieout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest here is what the orders promise per month; the landing must
     hold exactly that many ingestions."""
+    w = warehouse(spark, sf_dir)
     promised = (
-        w._landing.groupBy(src.slice_label("created_date").alias("slice"))
+        landing_from_orders(spark, sf_dir)
+        .groupBy(src.slice_label("created_date").alias("slice"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("complete", F.lit(True))
     )
-    return src.manifest_tieout(w.landing, promised)
+    return presented(src.manifest_tieout(w.landing, promised))
 
 
 def source_slice(w: Warehouse) -> DataFrame:
@@ -119,6 +131,12 @@ def latest_current(w: Warehouse) -> DataFrame:
     return staging.current_rows(w.landing).select(*columns)
 
 
+def orphan_keys(w: Warehouse) -> DataFrame:
+    """Keys of the landing without a fact row, with the ingestions of each."""
+    keyed = w.landing.filter(F.col("unique_key").isNotNull()).select(F.trim("unique_key").alias("request_id"))
+    return orphans(keyed, w.fact, "request_id")
+
+
 def _diff(w: Warehouse) -> DataFrame:
     """Each request's state as of an earlier ingestion against its state now."""
     known = w.landing.filter(F.col("unique_key").isNotNull())
@@ -162,7 +180,7 @@ def systematic_sample(w: Warehouse) -> DataFrame:
     by_month = w.valid.select(
         F.date_format("created_at", "yyyy-MM").alias("month"), "request_id", "created_at", "complaint_type"
     )
-    return sampling.systematic_sample(by_month, "month", "request_id", w.params, w.store, k=50)
+    return sampling.systematic_sample(by_month, "month", "request_id", w.params, w.store, SAMPLE_PER_MONTH)
 
 
 def keyset_page(w: Warehouse) -> DataFrame:
@@ -188,6 +206,12 @@ def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(out)
 
 
+def _two_runs(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """A first full run at the earlier cutoff and the batch of the next one."""
+    earlier, later = as_ntz(PREVIOUS_CUTOFF), as_ntz(CUTOFF)
+    return replay.vintage_batch(w.valid, earlier), replay.vintage_batch(w.valid, later, earlier)
+
+
 def _arrivals(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     """The landing in two deliveries: what was ingested early, and the rest."""
     early = F.col("_ingested_at") <= CAPTURED_UPTO
@@ -240,7 +264,7 @@ REGISTERED: dict[str, Query] = {
     "source_slice": _over_warehouse(source_slice),
     "source_aggregates": _over_warehouse(lambda w: src.source_aggregates(w.landing)),
     "month_slices": _over_warehouse(month_slices),
-    "manifest_tieout": _over_warehouse(manifest_tieout),
+    "manifest_tieout": manifest_tieout,
     "keyset_page": _over_warehouse(keyset_page),
     "systematic_sample": _over_warehouse(systematic_sample),
     # staging
@@ -262,13 +286,17 @@ REGISTERED: dict[str, Query] = {
     "agency_month": _over_warehouse(lambda w: w.agency_month),
     "cohort_maturity": _over_warehouse(lambda w: w.cohort_maturity.orderBy("cohort_month")),
     "bi_wide": _over_warehouse(lambda w: marts.in_grain_order(w.bi_wide)),
+    "bi_export": _over_warehouse(lambda w: export.round_floats(w.bi_wide)),
     "bi_reaggregate": _over_warehouse(lambda w: marts.reaggregate(w.bi_wide, ["cohort_year", "agency_code"])),
-    "top6_other": _over_warehouse(lambda w: marts.top_agencies_by_month(w.bi_wide, 3)),
+    "top6_other": _over_warehouse(lambda w: marts.top_agencies_by_month(w.bi_wide, TOP_AGENCIES)),
     # vintages and drift
     "vintage_state": _over_warehouse(lambda w: replay.state_as_of(w.valid, as_ntz(CUTOFF))),
     "vintage_batch": _over_warehouse(lambda w: replay.vintage_batch(w.valid, as_ntz(CUTOFF), as_ntz(PREVIOUS_CUTOFF))),
     "append_only_table": _over_warehouse(lambda w: w.append_only),
     "merge_table": _over_warehouse(lambda w: w.merged),
+    "incremental_append": _over_warehouse(lambda w: append_new(*_two_runs(w))),
+    "incremental_merge": _over_warehouse(lambda w: upsert(*_two_runs(w))),
+    "missed_closures": _over_warehouse(lambda w: replay.missed_closures(w.append_only, w.merged)),
     "table_disagreement": _over_warehouse(lambda w: replay.measure(w.append_only, w.merged)),
     "high_water_mark": _over_warehouse(lambda w: replay.high_water_mark(w.merged)),
     "drift_log": _over_warehouse(lambda w: w.drift_log),
@@ -287,6 +315,7 @@ REGISTERED: dict[str, Query] = {
     "closure_rate_by_status": _over_warehouse(lambda w: reports.closure_rate_by_status(w.fact, ONE_AGENCY)),
     "maturity_sensitivity": _over_warehouse(lambda w: reports.maturity_sensitivity(w.fact, w.params)),
     "flagged_but_kept": _over_warehouse(lambda w: reports.flagged_but_kept(w.fact)),
+    "orphan_keys": _over_warehouse(orphan_keys),
     "backlog_share": _over_warehouse(lambda w: reports.backlog_share(w.fact)),
     # snapshots
     "snapshot_diff": _over_warehouse(snapshot_diff),

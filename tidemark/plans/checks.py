@@ -52,6 +52,23 @@ def unique(df: DataFrame, table: str, column: str, severity: str = ERROR) -> Dat
     return _result(f"{table}.{column}.unique", severity, repeated)
 
 
+def unique_within(df: DataFrame, column: str, parts: dict[str, Column], severity: str = ERROR) -> DataFrame:
+    """Uniqueness of one column in several parts of a table, from one shuffle."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
+        *[F.count_if(cond).alias(f"c{i}") for i, cond in enumerate(parts.values())]
+    )
+    totals = counted.agg(*[F.count_if(F.col(f"c{i}") > 1).alias(f"c{i}") for i in range(len(parts))])
+    rows = [
+        F.struct(
+            F.lit(f"{table}.{column}.unique").alias("check_name"),
+            F.lit(severity).alias("severity"),
+            F.col(f"c{i}").alias("failures"),
+        )
+        for i, table in enumerate(parts)
+    ]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def relationship(
     facts: DataFrame, table: str, key: str, side: DataFrame, side_key: str | None = None, severity: str = ERROR
 ) -> DataFrame:
@@ -116,15 +133,21 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
                 **not_null("created_at", severity=WARN),
             },
         ),
-        unique(staged, "stg_service_requests", "request_id"),
+        unique_within(
+            staged,
+            "request_id",
+            {
+                "stg_service_requests": F.lit(True),
+                "int_requests_valid": ~F.col("is_quarantined"),
+                "int_requests_quarantined": F.col("is_quarantined"),
+            },
+        ),
         row_checks(w.valid, "int_requests_valid", not_null("request_id", "created_at")),
-        unique(w.valid, "int_requests_valid", "request_id"),
         row_checks(
             w.quarantined,
             "int_requests_quarantined",
             {**not_null("exclusion_reason"), **accepted_values("exclusion_reason", list(REASONS.values()))},
         ),
-        unique(w.quarantined, "int_requests_quarantined", "request_id"),
         row_checks(
             facts,
             "fct_service_request",
@@ -199,7 +222,14 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
             row_checks(summary, "comparison_drift_summary", not_null("vintage_seq")),
             unique(summary, "comparison_drift_summary", "vintage_seq"),
         ]
-    return reduce(DataFrame.unionByName, [r.select("check_name", "severity", F.col("failures").cast("bigint").alias("failures")) for r in results])
+    return _all([r.select("check_name", "severity", F.col("failures").cast("bigint").alias("failures")) for r in results])
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    """Union in pairs, so that analysis does not grow with the square of the list."""
+    while len(frames) > 1:
+        frames = [a.union(b[0]) if b else a for a, *b in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]
 
 
 def failed(results: DataFrame) -> DataFrame:

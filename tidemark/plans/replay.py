@@ -109,6 +109,14 @@ def measure(append_only: DataFrame, merged: DataFrame) -> DataFrame:
     )
 
 
+def missed_closures(append_only: DataFrame, merged: DataFrame) -> DataFrame:
+    """Requests the merged table knows to be closed and the other does not."""
+    open_there = append_only.filter(~F.col("is_closed_at_vintage")).select("request_id")
+    return merged.filter("is_closed_at_vintage").join(open_there, "request_id", "left_semi").select(
+        "request_id", "closed_at"
+    )
+
+
 def replay(valid: DataFrame, spans: DataFrame, store: Store) -> DataFrame:
     """Run every vintage through both loads, one after the other.
 

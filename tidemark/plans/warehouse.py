@@ -14,17 +14,17 @@ from tidemark.store import Store
 
 
 class Warehouse:
-    """Tables over one landing log. ``store`` decides where they are kept."""
+    """Tables over one landing log. ``store`` decides where they are kept.
+
+    The log is read as it is given; hand in a stored table when it is costly to
+    derive, since staging, ledger and profile each read it.
+    """
 
     def __init__(self, spark: SparkSession, landing: DataFrame, params: Params, store: Store | None = None):
         self.spark = spark
         self.params = params
         self.store = store or Store(spark)
-        self._landing = landing
-
-    @cached_property
-    def landing(self) -> DataFrame:
-        return self.store.table("raw", "service_requests_landing", self._landing)
+        self.landing = landing
 
     @cached_property
     def staged(self) -> DataFrame:

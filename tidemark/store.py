@@ -49,6 +49,8 @@ class Store:
     def path(self, layer: str, name: str) -> str:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}")
+        if self.root is None:
+            raise RuntimeError("no shared folder: set spark.checkpoint.dir or give the store a root")
         return f"{self.root}/{layer}/{name}"
 
     def table(
