@@ -30,7 +30,7 @@ class Params:
     # A lookup side is broadcast only after its rows were counted and found to
     # be at most this many; above it the join shuffles on salted keys.
     broadcast_max_rows: int = 200_000
-    salt_buckets: int = 16
+    salt_buckets: int = 32
 
     def __post_init__(self) -> None:
         if self.vintage_cadence not in CADENCE_MIN_DAYS:

@@ -23,38 +23,33 @@ def dim_agency(valid: DataFrame) -> DataFrame:
     half of the rows arrives as one count per task and name.
     """
     names = valid.groupBy("agency_code", "agency_name").agg(F.count(F.lit(1)).alias("n"))
+    # The group without a code is the unknown member, which is there even when
+    # no row lacks its agency.
+    nobody = names.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("agency_code"),
+        F.lit(None).cast("string").alias("agency_name"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
     # Most rows first, then a name before no name, then alphabetically.
     order = F.struct(-F.col("n"), F.col("agency_name").isNull(), F.col("agency_name"))
-    members = (
-        names.filter(F.col("agency_code").isNotNull())
+    known = F.col("agency_code").isNotNull()
+    return (
+        names.unionByName(nobody)
         .groupBy("agency_code")
         .agg(
-            F.min_by("agency_name", order).alias("agency_name"),
+            F.min_by("agency_name", order).alias("name"),
             F.sum("n").alias("request_count"),
-            F.count(F.lit(1)).alias("distinct_names_seen"),
+            F.count(F.lit(1)).alias("names"),
         )
         .select(
-            F.col("agency_code").alias("agency_key"),
+            F.coalesce("agency_code", F.lit(UNKNOWN)).alias("agency_key"),
             "agency_code",
-            "agency_name",
+            F.when(known, F.col("name")).otherwise(F.lit("Unknown or missing agency")).alias("agency_name"),
             "request_count",
-            "distinct_names_seen",
-            F.lit(False).alias("is_unknown_member"),
-        )
-    )
-    unknown = (
-        names.filter(F.col("agency_code").isNull())
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("request_count"))
-        .select(
-            F.lit(UNKNOWN).alias("agency_key"),
-            F.lit(None).cast("string").alias("agency_code"),
-            F.lit("Unknown or missing agency").alias("agency_name"),
-            "request_count",
-            F.lit(0).cast("bigint").alias("distinct_names_seen"),
-            F.lit(True).alias("is_unknown_member"),
+            F.when(known, F.col("names")).otherwise(F.lit(0)).alias("distinct_names_seen"),
+            (~known).alias("is_unknown_member"),
         )
     )
-    return members.unionByName(unknown)
 
 
 def geography_parts() -> list:

@@ -150,45 +150,46 @@ def replay(valid: DataFrame, spans: DataFrame, store: Store) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in LOG_COLUMNS) for r in log], schema)
 
 
-def _placed(valid: DataFrame, spans: DataFrame, params: Params) -> DataFrame:
-    """Attach the vintage that first sees each row and the one that first sees
-    its close, with their cutoffs.
+def _open_start(spans: DataFrame) -> tuple[DataFrame, Column]:
+    """Periods for finding vintages, and the instant to move earlier ones to.
 
-    The first vintage sees everything up to its cutoff, so earlier instants are
-    moved up to it before they are looked up.
+    The first vintage sees everything up to its cutoff, however old it is.
     """
-    first_cutoff = spans.filter(F.col("vintage_seq") == 1).first()["vintage_cutoff_at"]
-    floor = as_ntz(first_cutoff)
-    keep = ["vintage_seq", "vintage_cutoff_at"]
-    open_start = spans.withColumn(
-        "period_start_at",
-        F.when(F.col("vintage_seq") == 1, F.col("vintage_cutoff_at") - F.expr("interval 1 second")).otherwise(
-            F.col("period_start_at")
-        ),
-    )
-    rows = valid.withColumns(
-        {
-            "_seen_at": F.greatest("created_at", floor),
-            "_known_at": F.when(F.col("closed_at").isNotNull(), F.greatest("closed_at", floor)),
-        }
-    )
-    seen = with_period(rows, "_seen_at", open_start, params, keep, "inner").withColumnsRenamed(
+    first = F.col("vintage_seq") == 1
+    floor = as_ntz(spans.filter(first).first()["vintage_cutoff_at"])
+    just_before = F.col("vintage_cutoff_at") - F.expr("interval 1 second")
+    return spans.withColumn("period_start_at", F.when(first, just_before).otherwise(F.col("period_start_at"))), floor
+
+
+_KEEP = ["vintage_seq", "vintage_cutoff_at"]
+
+
+def _with_first_seen(rows: DataFrame, opened: DataFrame, floor: Column, params: Params) -> DataFrame:
+    """The vintage that first holds each row; later rows drop out."""
+    at = rows.withColumn("_seen_at", F.greatest("created_at", floor))
+    return with_period(at, "_seen_at", opened, params, _KEEP, "inner").withColumnsRenamed(
         {"vintage_seq": "first_seen", "vintage_cutoff_at": "first_cutoff"}
     )
-    return with_period(seen, "_known_at", open_start, params, keep, "left").withColumnsRenamed(
+
+
+def _with_known_close(rows: DataFrame, opened: DataFrame, floor: Column, params: Params) -> DataFrame:
+    """The vintage that first knows the close, null while none does."""
+    at = rows.withColumn("_known_at", F.when(F.col("closed_at").isNotNull(), F.greatest("closed_at", floor)))
+    return with_period(at, "_known_at", opened, params, _KEEP, "left").withColumnsRenamed(
         {"vintage_seq": "known_close", "vintage_cutoff_at": "close_cutoff"}
     )
 
 
 def append_only_table(valid: DataFrame, spans: DataFrame, params: Params) -> DataFrame:
     """The append-only table after the last vintage: every row as first seen."""
-    rows = _placed(valid, spans, params)
+    rows = _with_first_seen(valid, *_open_start(spans), params)
     return _state(rows, close_as_of("closed_at", F.col("first_cutoff")), F.col("first_cutoff"))
 
 
 def merge_table(valid: DataFrame, spans: DataFrame, params: Params) -> DataFrame:
     """The merged table after the last vintage: every row as last changed."""
-    rows = _placed(valid, spans, params)
+    opened, floor = _open_start(spans)
+    rows = _with_known_close(_with_first_seen(valid, opened, floor, params), opened, floor, params)
     known = F.when(F.col("known_close").isNotNull(), F.col("closed_at"))
     return _state(rows, known, F.greatest("first_cutoff", "close_cutoff"))
 
@@ -201,8 +202,10 @@ def drift(valid: DataFrame, spans: DataFrame, params: Params) -> DataFrame:
     So each figure is a running total of what arrives at a vintage. Rows are
     reduced to at most one per pair of vintages before the first shuffle.
     """
+    opened, floor = _open_start(spans)
+    seen = _with_first_seen(valid.select("created_at", "closed_at"), opened, floor, params)
     cells = (
-        _placed(valid.select("created_at", "closed_at"), spans, params)
+        _with_known_close(seen, opened, floor, params)
         .groupBy("first_seen", "known_close")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(seconds_between("created_at", "closed_at")).alias("s"))
     )

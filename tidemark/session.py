@@ -1,4 +1,4 @@
-"""Session settings for local runs and tests; a cluster brings its own."""
+"""Session settings: for local runs and tests, and sized for a cluster."""
 
 from __future__ import annotations
 
@@ -22,3 +22,27 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cluster_settings(input_bytes: int, total_cores: int, partition_mb: int = 192) -> dict[str, str]:
+    """Settings for an input of a given size.
+
+    The first shuffle is cut so that a partition stays near ``partition_mb``
+    and never into fewer parts than twice the cores; adaptive execution then
+    merges what turns out small and splits what turns out skewed. RocksDB keeps
+    the state of streams that may not forget a key.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // (partition_mb << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": f"{256 << 20}",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{partition_mb << 20}",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+    }
