@@ -238,3 +238,13 @@ def test_absent_status_disagrees_with_nothing(spark, ntz, params):
     r = reports.status_disagreement(facts, agency, params).first()
     assert (r.disagreeing, r.mean_days, r.share_of_agency) == (1, 2.0, 1 / 3)
     assert {(x.source_says_closed, x.requests) for x in reports.status_crosstab(facts).collect()} == {(True, 1), (False, 1), (None, 1)}
+
+
+def test_newest_month_ignores_the_session_zone(spark, landing_rows):
+    df = landing_rows(row("a", created_date="2025-03-01 00:30:00"), row("b", created_date="2025-02-28 23:00:00"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r.unique_key for r in snapshots.capture(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["a"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import changed
+from tidemark.functions import as_ntz, changed
 
 # The fields of a probe, besides the key.
 PROBE_FIELDS = [
@@ -44,7 +44,7 @@ def capture(
     out = df.filter(F.col(key).isNotNull())
     if scope != "all":
         newest = out.agg(F.max(F.col(created).try_cast("timestamp_ntz")).alias("m")).first()["m"]
-        month = F.trunc(F.lit(newest).cast("date"), "MM")
+        month = F.trunc(as_ntz(newest).cast("date"), "MM")
         at = F.col(created).try_cast("timestamp_ntz")
         if scope == "complete_month":
             out = out.filter(
