@@ -13,6 +13,7 @@ from tidemark.functions import (
     safe_timestamp,
     seconds_between,
     surrogate_key,
+    total_seconds,
     within_target,
 )
 
@@ -79,3 +80,8 @@ def test_outcome_is_three_valued(spark):
     df = spark.createDataFrame(rows, "i int, closed long, open long")
     got = [r.v for r in df.orderBy("i").select(within_target(F.col("closed"), F.col("open"), 30).alias("v")).collect()]
     assert got == [True, False, False, None]
+
+
+def test_totals_exceed_64_bits(spark):
+    df = spark.createDataFrame([(300_000_000, 10**12), (1, 3)], "s long, n long")
+    assert int(df.select(total_seconds("s", "n").alias("t")).first().t) == 3 * 10**20 + 3

@@ -11,6 +11,7 @@ from tidemark.functions.columns import (
     safe_timestamp,
     seconds_between,
     surrogate_key,
+    total_seconds,
 )
 from tidemark.functions.temporal import (
     close_as_of,
@@ -37,5 +38,6 @@ __all__ = [
     "safe_timestamp",
     "seconds_between",
     "surrogate_key",
+    "total_seconds",
     "within_target",
 ]

@@ -54,6 +54,16 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return F.unix_timestamp(col(end)) - F.unix_timestamp(col(start))
 
 
+def total_seconds(seconds: str | Column, times: str | Column | None = None) -> Column:
+    """Exact sum of durations, each counted ``times`` over if given.
+
+    The sum is a decimal: at some 10**11 rows in a group, which a third of a
+    large log can be, whole seconds no longer fit in 64 bits.
+    """
+    value = col(seconds).cast("decimal(12,0)")
+    return F.sum(value if times is None else value * col(times).cast("decimal(19,0)"))
+
+
 def days(seconds: str | Column) -> Column:
     return col(seconds).cast("double") / F.lit(SECONDS_PER_DAY)
 
@@ -85,6 +95,10 @@ def accepted(c: str | Column, values: list[str]) -> Column:
 
 
 def rounded(c: str | Column, places: int = 6) -> Column:
-    """Half-up rounding in plain double arithmetic, the same in any engine."""
+    """Half-up rounding in plain double arithmetic, the same in any engine.
+
+    Values too large to hold that many places are left as they are.
+    """
     scale = float(10**places)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    shifted = F.floor(col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(col(c)) < F.lit(2.0**53 / scale), shifted).otherwise(col(c))

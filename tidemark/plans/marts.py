@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Params
-from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio, seconds_between
+from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio, seconds_between, total_seconds
 from tidemark.operators.joins import lookup_join
 from tidemark.operators.medians import grouped_median
 from tidemark.plans import metrics
@@ -44,8 +44,8 @@ def in_window(params: Params) -> Column:
     return F.col("seconds") <= F.lit(params.maturity_window_days * 86400)
 
 
-def _sum_where(value: Column, when: Column | None = None) -> Column:
-    return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0))
+def _sum_where(value: Column, when: Column) -> Column:
+    return F.coalesce(F.sum(F.when(when, value)), F.lit(0))
 
 
 def cohort_components(
@@ -64,9 +64,9 @@ def cohort_components(
     parts = histogram.groupBy(*keys).agg(
         F.sum(n).alias("request_volume"),
         _sum_where(n, seconds.isNotNull()).alias("closed_volume"),
-        _sum_where(n * seconds).alias("closed_seconds"),
+        total_seconds(seconds, n).alias("closed_seconds"),
         _sum_where(n, window).alias("window_volume"),
-        _sum_where(n * seconds, window).alias("window_seconds"),
+        total_seconds(F.when(window, seconds), n).alias("window_seconds"),
         F.sum("on_time").alias("on_time_volume"),
         F.sum("judged").alias("judged_volume"),
     )

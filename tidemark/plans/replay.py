@@ -20,6 +20,7 @@ from tidemark.functions import (
     observable_watermark,
     safe_ratio,
     seconds_between,
+    total_seconds,
 )
 from tidemark.operators.joins import append_new, upsert
 from tidemark.operators.periods import with_period
@@ -83,7 +84,7 @@ def measure(append_only: DataFrame, merged: DataFrame) -> DataFrame:
         return df.groupBy("request_id").agg(
             F.count(F.lit(1)).alias(f"{name}_n"),
             F.count_if("is_closed_at_vintage").alias(f"{name}_closed"),
-            F.sum(seconds_between("created_at", "closed_at")).alias(f"{name}_seconds"),
+            total_seconds(seconds_between("created_at", "closed_at")).alias(f"{name}_seconds"),
             F.max("is_closed_at_vintage").alias(f"{name}_state"),
         )
 
@@ -207,14 +208,18 @@ def drift(valid: DataFrame, spans: DataFrame, params: Params) -> DataFrame:
     cells = (
         _with_known_close(seen, opened, floor, params)
         .groupBy("first_seen", "known_close")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(seconds_between("created_at", "closed_at")).alias("s"))
+        .agg(F.count(F.lit(1)).alias("n"), total_seconds(seconds_between("created_at", "closed_at")).alias("s"))
     )
     at_once = F.col("known_close") <= F.col("first_seen")
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0)
 
     def arrival(seq: str, **values: Column) -> Column:
         names = ("rows", "append_closed", "append_s", "merge_closed", "merge_s", "missed")
-        return F.struct(F.col(seq).alias("vintage_seq"), *[values.get(k, zero).alias(k) for k in names])
+        kinds = ["decimal(38,0)" if k.endswith("_s") else "bigint" for k in names]
+        return F.struct(
+            F.col(seq).alias("vintage_seq"),
+            *[values.get(k, zero).cast(kind).alias(k) for k, kind in zip(names, kinds)],
+        )
 
     n, s = F.col("n"), F.col("s")
     arrivals = (

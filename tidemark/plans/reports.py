@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Params
-from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio, seconds_between
+from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio, seconds_between, total_seconds
 from tidemark.operators.joins import lookup_join
 from tidemark.plans.staging import WARN_FLAGS
 
@@ -102,7 +102,7 @@ def status_disagreement(facts: DataFrame, agency: DataFrame, params: Params) ->
     seconds = seconds_between("created_at", "closed_at")
     per_agency = facts.groupBy("agency_key").agg(
         F.count_if(off).alias("disagreeing"),
-        F.sum(F.when(off, seconds)).alias("_s"),
+        total_seconds(F.when(off, seconds)).alias("_s"),
         F.count(F.lit(1)).alias("_all"),
     )
     return (
@@ -160,7 +160,7 @@ def maturity_sensitivity(facts: DataFrame, params: Params, windows: Sequence[int
         .agg(
             F.sum("n").alias("n"),
             F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("closed"),
-            F.sum(F.when(inside, F.col("n") * F.col("seconds"))).alias("s"),
+            total_seconds(F.when(inside, F.col("seconds")), "n").alias("s"),
         )
         .withColumn("_month", F.when(cohort_age_days("cohort_month", params) >= F.col("window_days"), F.col("cohort_month")))
         .withColumn("corrected_mean", days(safe_ratio("s", "closed")))
