@@ -28,7 +28,9 @@ def warehouse(spark, params, tmp_path_factory):
         "complaint_type": F.when(hot, F.lit("Hot")).otherwise(F.concat(F.lit("T"), i % 17)),
         "descriptor": F.when(hot, F.lit("Hot")).otherwise(F.concat(F.lit("D"), i % 5)),
         "borough": F.when(hot, F.lit("X")).otherwise(F.concat(F.lit("B"), i % 5)),
-        "_ingested_at": (F.lit("2025-06-16").cast("timestamp_ntz") + F.make_dt_interval(secs=i.cast("decimal(18,6)"))).cast("string"),
+        "_ingested_at": (
+            F.lit("2025-06-16").cast("timestamp_ntz") + F.make_dt_interval(secs=i.cast("decimal(18,6)"))
+        ).cast("string"),
     }
     landing = spark.range(0, ROWS, numPartitions=8).select(
         *[values.get(c, F.lit(None).cast("string")).alias(c) for c in LANDING_COLUMNS]

@@ -27,7 +27,7 @@ def test_ndjson_round_trip_keeps_text_and_absent_fields(spark, landing_rows, tmp
     assert back.schema.fieldNames()[: len(LANDING_SCHEMA)] == LANDING_SCHEMA.fieldNames()
     assert all(f.dataType.simpleString() == "string" for f in back.select(*LANDING_SCHEMA.fieldNames()).schema)
     assert back.count() == 3 and back.filter("latitude = '040.70'").count() == 2
-    assert {r.slice for r in back.select(F.col("slice")).collect()} == {"2025-02", "2025-03"} if "slice" in back.columns else True
+    assert {r.slice for r in spark.read.json(where).select("slice").collect()} == {"2025-02", "2025-03"}
 
 
 def test_replacing_a_slice_leaves_the_others(spark, landing_rows, tmp_path):
@@ -38,7 +38,8 @@ def test_replacing_a_slice_leaves_the_others(spark, landing_rows, tmp_path):
 
 
 def test_manifest_ties_out_or_stops(spark, landing_rows):
-    text = json.dumps({"slices": {"2025-02": {"rows": 2, "complete": True}, "2025-03": {"rows": 1, "complete": False}}})
+    slices = {"2025-02": {"rows": 2, "complete": True}, "2025-03": {"rows": 1, "complete": False}}
+    text = json.dumps({"slices": slices})
     manifest = landing.parse_manifest(spark, text)
     got = landing.manifest_tieout(landing_rows(row("1"), row("2")), manifest)
     assert {r.slice: r.ties_out for r in got.collect()} == {"2025-02": True, "2025-03": False}
@@ -56,14 +57,17 @@ def test_source_slice_reaches_the_scan(spark, landing_rows, tmp_path):
         spark.read.parquet(where), F.lit("2025-02-01"), F.lit("2025-03-01"), agencies=["A"], columns=["unique_key"]
     )
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(created_date" in plan and "ReadSchema: struct<unique_key:string,created_date:string,agency:string>" in plan
+    assert "GreaterThanOrEqual(created_date" in plan
+    assert "ReadSchema: struct<unique_key:string,created_date:string,agency:string>" in plan
     assert [r.unique_key for r in got.collect()] == ["1"]
 
 
 def test_profile_counts_keys_once(landing_rows):
-    rows = {(r.scope, r.slice): (r.row_count, r.distinct_keys) for r in landing.landing_profile(
-        landing_rows(row("1"), row("1"), row(None), row("1", created_date="2025-03-02 00:00:00"))).collect()}
-    assert rows == {("all", None): (4, 1), ("slice", "2025-02"): (3, 1), ("slice", "2025-03"): (1, 1)}
+    log = landing_rows(row("1"), row("1"), row(None), row("1", created_date="2025-03-02 00:00:00"))
+    got = landing.landing_profile(log).collect()
+    assert {(r.scope, r.slice): (r.row_count, r.distinct_keys) for r in got} == {
+        ("all", None): (4, 1), ("slice", "2025-02"): (3, 1), ("slice", "2025-03"): (1, 1),
+    }
 
 
 @pytest.mark.parametrize("n, k", [(3, 5), (5, 5), (12, 5), (23, 5), (40, 5)])
@@ -109,8 +113,13 @@ FIELDS = snapshots.PROBE_FIELDS
 
 
 def test_snapshot_diff(spark, landing_rows):
-    a = landing_rows(row("same"), row("one", status="Open"), row("two", status="Open", agency="A"), row("null"), row("gone"))
-    b = landing_rows(row("same"), row("one", status="Closed"), row("two", status="Closed", agency="B"), row("null", descriptor="x"), row("new"))
+    a = landing_rows(
+        row("same"), row("one", status="Open"), row("two", status="Open", agency="A"), row("null"), row("gone")
+    )
+    b = landing_rows(
+        row("same"), row("one", status="Closed"), row("two", status="Closed", agency="B"),
+        row("null", descriptor="x"), row("new"),
+    )
     a = snapshots.capture(a, scope="all")
     diff = snapshots.snapshot_diff(a, snapshots.recheck(b, a), "unique_key", FIELDS)
     got = {r.unique_key: (r.disappeared, r.changed_fields) for r in diff.collect()}
@@ -127,7 +136,9 @@ def test_snapshot_diff(spark, landing_rows):
 
 
 def test_capture_scopes(landing_rows):
-    df = landing_rows(row("a"), row("b", created_date="2025-03-05 00:00:00"), row("c", created_date="2025-03-01 00:00:00"))
+    df = landing_rows(
+        row("a"), row("b", created_date="2025-03-05 00:00:00"), row("c", created_date="2025-03-01 00:00:00")
+    )
     assert [r.unique_key for r in snapshots.capture(df, 1).collect()] == ["c"]
     assert [r.unique_key for r in snapshots.capture(df, scope="complete_month").collect()] == ["a"]
     with pytest.raises(ValueError):
@@ -139,7 +150,8 @@ def test_paired_states_equal_two_resolutions(landing_rows):
         row("a", status="1"), row("a", status="2", _ingested_at="2025-03-02 00:00:00"),
         row("b", status="9", _ingested_at="2025-03-02 00:00:00"), row("c", status="x"), row("c", status="y"),
     )
-    got = paired_states(log, "unique_key", ["_ingested_at", "closed_date"], FIELDS, F.col("_ingested_at") <= "2025-03-01 00:00:00")
+    early = F.col("_ingested_at") <= "2025-03-01 00:00:00"
+    got = paired_states(log, "unique_key", ["_ingested_at", "closed_date"], FIELDS, early)
     assert {r.unique_key: (r.before and r.before.status, r.after.status) for r in got.collect()} == {
         "a": ("1", "2"), "b": (None, "9"), "c": ("y", "y"),
     }
@@ -164,8 +176,11 @@ def test_ingest_resumes_without_loss_or_repetition(spark, tmp_path):
 
 def test_streams_keep_first_and_last_state(spark, landing_rows, tmp_path):
     order = ["_ingested_at", "closed_date"]
-    first = landing_rows(row("a", status="1"), row("a", status="2", _ingested_at="2025-03-02 00:00:00"), row(None, status="n"))
-    second = landing_rows(row("a", status="3", _ingested_at="2025-03-03 00:00:00"), row("b", status="1", _ingested_at="2025-03-03 00:00:00"), row(None, status="m"))
+    later, latest = "2025-03-02 00:00:00", "2025-03-03 00:00:00"
+    first = landing_rows(row("a", status="1"), row("a", status="2", _ingested_at=later), row(None, status="n"))
+    second = landing_rows(
+        row("a", status="3", _ingested_at=latest), row("b", status="1", _ingested_at=latest), row(None, status="m")
+    )
     src, a, m = (str(tmp_path / n) for n in ("src", "append", "merge"))
     for delivery in (first, second):
         delivery.write.mode("append").parquet(src)
@@ -173,7 +188,8 @@ def test_streams_keep_first_and_last_state(spark, landing_rows, tmp_path):
         incremental.run_available(stream, incremental.append_only_sink(a, "unique_key", order, LANDING_SCHEMA), a + "_p")
         incremental.run_available(stream, incremental.merge_sink(m, "unique_key", order), m + "_p")
     kept = {r.unique_key: r.status for r in incremental.read_append_only(spark, a, LANDING_SCHEMA).collect()}
-    last = {r.unique_key: r.status for r in incremental.read_merged(spark, m, LANDING_SCHEMA, "unique_key", order).collect()}
+    merged = incremental.read_merged(spark, m, LANDING_SCHEMA, "unique_key", order)
+    last = {r.unique_key: r.status for r in merged.collect()}
     assert kept == {"a": "1", "b": "1", None: "n"}
     assert last["a"] == "3" and last["b"] == "1"
     # a batch that is repeated replaces itself
@@ -219,7 +235,11 @@ def test_export_rounds_only_floats_and_repeats(spark, tmp_path):
 
 def test_sensitivity_marks_windows_with_too_few_cohorts(spark, ntz, params):
     facts = ntz(
-        [("2025-01-01 00:00:00", "2025-01-03 00:00:00"), ("2025-02-01 00:00:00", "2025-02-08 00:00:00"), ("2025-05-20 00:00:00", None)],
+        [
+            ("2025-01-01 00:00:00", "2025-01-03 00:00:00"),
+            ("2025-02-01 00:00:00", "2025-02-08 00:00:00"),
+            ("2025-05-20 00:00:00", None),
+        ],
         "created_at string, closed_at string", ["created_at", "closed_at"],
     )
     rows = {r.window_days: r for r in reports.maturity_sensitivity(facts, params, [30, 120, 180]).collect()}
@@ -237,7 +257,8 @@ def test_absent_status_disagrees_with_nothing(spark, ntz, params):
     agency = spark.createDataFrame([("A", "A")], "agency_key string, agency_code string")
     r = reports.status_disagreement(facts, agency, params).first()
     assert (r.disagreeing, r.mean_days, r.share_of_agency) == (1, 2.0, 1 / 3)
-    assert {(x.source_says_closed, x.requests) for x in reports.status_crosstab(facts).collect()} == {(True, 1), (False, 1), (None, 1)}
+    crosstab = reports.status_crosstab(facts).collect()
+    assert {(x.source_says_closed, x.requests) for x in crosstab} == {(True, 1), (False, 1), (None, 1)}
 
 
 def test_newest_month_ignores_the_session_zone(spark, landing_rows):
@@ -248,3 +269,13 @@ def test_newest_month_ignores_the_session_zone(spark, landing_rows):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == ["a"]
+
+
+def test_sample_is_written_with_its_manifest(spark, landing_rows, params, store, tmp_path):
+    where = str(tmp_path / "sample")
+    log = landing_rows(*[row(f"{i:03d}") for i in range(12)], row(None), row("x", created_date="2025-03-01 00:00:00"))
+    manifest = landing.write_sample(log, where, params, store, per_slice=5)
+    assert {r.slice: (r.rows, r.complete) for r in manifest.collect()} == {"2025-02": (5, True), "2025-03": (1, True)}
+    back = landing.scan_ndjson(spark, where)
+    assert sorted(r.unique_key or "" for r in back.collect()) == ["", "001", "003", "005", "007", "x"]
+    assert all(r.ties_out for r in landing.manifest_tieout(back, manifest).collect())

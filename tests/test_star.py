@@ -9,7 +9,7 @@ from tidemark.operators.joins import lookup_join
 from tidemark.operators.medians import grouped_median
 from tidemark.operators.periods import periods
 from tidemark.plans import dimensions, fact, marts, metrics, staging
-from tidemark.plans.checks import failed, metric_parity, run_checks
+from tidemark.plans.checks import failed, metric_parity, require, run_checks
 from tidemark.plans.warehouse import Warehouse
 
 
@@ -117,7 +117,10 @@ def test_measures_of_a_request(warehouse):
 
 
 def test_checks_pass_and_metrics_match_the_mart(warehouse):
-    assert failed(run_checks(warehouse)).collect() == []
+    results = run_checks(warehouse)
+    require(results)
+    assert failed(results).collect() == [] and results.count() == 51
+    assert len(warehouse.build()) == 18
     assert metric_parity(warehouse) == {"missing": [], "undocumented": []}
 
 

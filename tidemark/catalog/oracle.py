@@ -844,7 +844,10 @@ final(
     """SELECT substr(created_date, 1, 7) AS slice, count(*) AS row_count, count(DISTINCT _ingested_at) AS ingestions
        FROM landing GROUP BY 1""",
 )
-final("stream_append_only", ["landing"], f"SELECT * FROM landing QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY {OLDEST_FIRST}) = 1")
+final(
+    "stream_append_only", ["landing"],
+    f"SELECT * FROM landing QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY {OLDEST_FIRST}) = 1",
+)
 final("stream_merge", ["newest"], "SELECT * FROM newest")
 final(
     "event_durations", [],

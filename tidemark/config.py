@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from datetime import date, datetime
+from typing import Any
 
 # Shortest length in days of one step of each cadence.
 CADENCE_MIN_DAYS = {"day": 1, "week": 7, "month": 28, "quarter": 90}
@@ -43,6 +45,21 @@ class Params:
         days = (self.build_as_of.date() - self.vintage_first).days
         return max(days, 0) // CADENCE_MIN_DAYS[self.vintage_cadence] + 3
 
+    @classmethod
+    def from_mapping(cls, values: Mapping[str, Any]) -> "Params":
+        """From a parsed configuration file: ISO texts and plain values."""
+        stamps = ("window_start", "window_end", "build_as_of")
+        read = dict(values)
+        for name in stamps:
+            if isinstance(read.get(name), str):
+                read[name] = datetime.fromisoformat(read[name])
+        if isinstance(read.get("vintage_first"), str):
+            read["vintage_first"] = date.fromisoformat(read["vintage_first"])
+        for name in ("sensitivity_windows", "lat_bounds", "lon_bounds"):
+            if name in read:
+                read[name] = tuple(read[name])
+        return cls(**read)
+
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)
 

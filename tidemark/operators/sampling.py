@@ -73,7 +73,7 @@ def systematic_sample(
         F.col(stratum).alias("_s"), F.col(key).alias("_k")
     )
     chosen = store.table("intermediate", f"chosen_{stratum}_{key}", chosen)
-    on = F.col(stratum).eqNullSafe(F.col("_s")) & (F.col(key) == F.col("_k"))
+    on = F.col(stratum).eqNullSafe(F.col("_s")) & F.col(key).eqNullSafe(F.col("_k"))
     return lookup_join(df, chosen, on, params, "inner", [key]).select(*df.columns)
 
 

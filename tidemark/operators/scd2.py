@@ -30,11 +30,12 @@ def observe(
 
     The owner is the one with most rows, the alphabetically first on a tie. Rows
     are counted per owner first, with map-side partial counts; what follows
-    handles at most one row per period, key and owner.
+    handles at most one row per period, key and owner. Those counts are placed
+    by key once, which also serves the windows of ``versions``.
     """
     placed = with_period(records, at, spans, params, ["vintage_date", "vintage_seq"])
     grain = ["vintage_date", "vintage_seq", *key]
-    per_owner = placed.groupBy(*grain, owner).agg(F.count(F.lit(1)).alias("n"))
+    per_owner = placed.groupBy(*grain, owner).agg(F.count(F.lit(1)).alias("n")).repartition(*key)
     return per_owner.groupBy(*grain).agg(
         F.min_by(owner, F.struct(-F.col("n"), F.col(owner))).alias(f"owning_{owner}"),
         F.sum("n").alias("period_request_count"),

@@ -112,7 +112,7 @@ def row_count_difference(a: DataFrame, b: DataFrame, name: str, severity: str =
 
 def out_of_bounds(rate: str) -> Column:
     """A missing rate passes."""
-    return ~F.col(rate).between(0, 1)
+    return F.coalesce(~F.col(rate).between(0, 1), F.lit(False))
 
 
 def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
@@ -203,7 +203,7 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
             "mart_agency_month",
             {
                 **not_null("cohort_month", "request_volume"),
-                "rates_within_bounds": (ERROR, reduce(lambda a, b: a | b, [F.coalesce(out_of_bounds(r), F.lit(False)) for r in RATES])),
+                "rates_within_bounds": (ERROR, reduce(Column.__or__, [out_of_bounds(r) for r in RATES])),
             },
         ),
         row_checks(w.cohort_maturity, "mart_cohort_maturity", not_null("cohort_month")),
@@ -222,7 +222,8 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
             row_checks(summary, "comparison_drift_summary", not_null("vintage_seq")),
             unique(summary, "comparison_drift_summary", "vintage_seq"),
         ]
-    return _all([r.select("check_name", "severity", F.col("failures").cast("bigint").alias("failures")) for r in results])
+    failures = F.col("failures").cast("bigint").alias("failures")
+    return _all([r.select("check_name", "severity", failures) for r in results])
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -236,5 +237,12 @@ def failed(results: DataFrame) -> DataFrame:
     return results.filter((F.col("severity") == ERROR) & (F.col("failures") > 0))
 
 
+def require(results: DataFrame) -> None:
+    """Stop when an assertion of severity error fails."""
+    broken = failed(results).orderBy("check_name").take(50)
+    if broken:
+        raise RuntimeError(f"assertions failed: {[(r['check_name'], r['failures']) for r in broken]}")
+
+
 def metric_parity(w: Warehouse) -> dict[str, list[str]]:
     return metrics.parity(w.agency_month, MONTH_KEYS)

@@ -26,6 +26,16 @@ class Warehouse:
         self.store = store or Store(spark)
         self.landing = landing
 
+    def build(self) -> dict[str, DataFrame]:
+        """Make every table, in the order in which they read each other."""
+        names = (
+            "staged", "valid", "quarantined", "ledger", "vintages", "observations",
+            "dim_agency", "dim_geography", "dim_date", "dim_complaint_type", "fact",
+            "agency_month", "cohort_maturity", "bi_wide",
+            "append_only", "merged", "drift_log", "drift_summary",
+        )
+        return {name: getattr(self, name) for name in names}
+
     @cached_property
     def staged(self) -> DataFrame:
         return self.store.table("staging", "stg_service_requests", staging.stage(self.landing, self.params))

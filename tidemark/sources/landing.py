@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.config import Params
 from tidemark.functions import as_ntz
+from tidemark.operators.latest import latest_per_key
+from tidemark.operators.sampling import systematic_sample
+from tidemark.store import Store
 
 # The source columns, in order; every one of them arrives as text.
 SOURCE_COLUMNS = [
@@ -187,3 +191,17 @@ def require_tieout(tieout: DataFrame) -> None:
     off = tieout.filter(~F.col("ties_out")).orderBy("slice").take(20)
     if off:
         raise RuntimeError(f"landed rows differ from the manifest: {[r.asDict() for r in off]}")
+
+
+def write_sample(
+    landing: DataFrame, where: str, params: Params, store: Store, per_slice: int = 500
+) -> DataFrame:
+    """Write a systematic sample of each month slice as gzip NDJSON and answer
+    its manifest, (slice, rows, complete)."""
+    current = latest_per_key(landing, "unique_key", [INGESTED_AT, "closed_date"])
+    sliced = current.withColumn("slice", slice_label("created_date"))
+    sample = systematic_sample(sliced, "slice", "unique_key", params, store, per_slice)
+    sample.write.mode("overwrite").partitionBy("slice").option("compression", "gzip").json(where)
+    return (
+        sample.groupBy("slice").agg(F.count(F.lit(1)).alias("rows")).withColumn("complete", F.lit(True))
+    )
