@@ -52,6 +52,25 @@ def unique(df: DataFrame, table: str, column: str, severity: str = ERROR) -> Dat
     return _result(f"{table}.{column}.unique", severity, repeated)
 
 
+def unique_not_null(df: DataFrame, table: str, column: str, severity: str = ERROR) -> DataFrame:
+    """Both assertions on a key column from one pass."""
+    n, present = F.col("n"), F.col(column).isNotNull()
+    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.agg(
+        F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("not_null"),
+        F.count_if(present & (n > 1)).alias("unique"),
+    )
+    rows = [
+        F.struct(
+            F.lit(f"{table}.{column}.{kind}").alias("check_name"),
+            F.lit(severity).alias("severity"),
+            F.col(kind).alias("failures"),
+        )
+        for kind in ("not_null", "unique")
+    ]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def unique_within(df: DataFrame, column: str, parts: dict[str, Column], severity: str = ERROR) -> DataFrame:
     """Uniqueness of one column in several parts of a table, from one shuffle."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
@@ -166,12 +185,9 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
         relationship(facts, "fct_service_request", "complaint_type_key", history),
         relationship(facts, "fct_service_request", "geography_key", w.dim_geography),
         relationship(facts, "fct_service_request", "created_date_key", w.dim_date, "date_key"),
-        row_checks(w.dim_agency, "dim_agency", not_null("agency_key")),
-        unique(w.dim_agency, "dim_agency", "agency_key"),
-        row_checks(w.dim_geography, "dim_geography", not_null("geography_key")),
-        unique(w.dim_geography, "dim_geography", "geography_key"),
-        row_checks(w.dim_date, "dim_date", not_null("date_key")),
-        unique(w.dim_date, "dim_date", "date_key"),
+        unique_not_null(w.dim_agency, "dim_agency", "agency_key"),
+        unique_not_null(w.dim_geography, "dim_geography", "geography_key"),
+        unique_not_null(w.dim_date, "dim_date", "date_key"),
         row_checks(
             history,
             "dim_complaint_type",
@@ -206,8 +222,7 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
                 "rates_within_bounds": (ERROR, reduce(Column.__or__, [out_of_bounds(r) for r in RATES])),
             },
         ),
-        row_checks(w.cohort_maturity, "mart_cohort_maturity", not_null("cohort_month")),
-        unique(w.cohort_maturity, "mart_cohort_maturity", "cohort_month"),
+        unique_not_null(w.cohort_maturity, "mart_cohort_maturity", "cohort_month"),
         w.ledger.filter(F.col("stage") == "reconciliation_residual").select(
             F.lit("dq_exclusion_ledger.residual_is_zero").alias("check_name"),
             F.lit(ERROR).alias("severity"),
@@ -217,10 +232,8 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
     if comparison:
         merged, summary = w.merged, w.drift_summary
         results += [
-            row_checks(merged, "fct_requests_merge", not_null("request_id")),
-            unique(merged, "fct_requests_merge", "request_id"),
-            row_checks(summary, "comparison_drift_summary", not_null("vintage_seq")),
-            unique(summary, "comparison_drift_summary", "vintage_seq"),
+            unique_not_null(merged, "fct_requests_merge", "request_id"),
+            unique_not_null(summary, "comparison_drift_summary", "vintage_seq"),
         ]
     failures = F.col("failures").cast("bigint").alias("failures")
     return _all([r.select("check_name", "severity", failures) for r in results])

@@ -40,27 +40,27 @@ class Warehouse:
     def staged(self) -> DataFrame:
         return self.store.table("staging", "stg_service_requests", staging.stage(self.landing, self.params))
 
-    @property
+    @cached_property
     def valid(self) -> DataFrame:
         return staging.valid(self.staged)
 
-    @property
+    @cached_property
     def quarantined(self) -> DataFrame:
         return staging.quarantined(self.staged)
 
-    @property
+    @cached_property
     def ledger(self) -> DataFrame:
         return ledger.ledger(self.landing, self.staged, self.quarantined, self.valid)
 
-    @property
+    @cached_property
     def periods(self) -> DataFrame:
         return cal.periods(self.spark, self.params)
 
-    @property
+    @cached_property
     def vintages(self) -> DataFrame:
         return cal.vintages(self.spark, self.params)
 
-    @property
+    @cached_property
     def observations(self) -> DataFrame:
         return dimensions.type_observations(self.valid, self.periods, self.params)
 
@@ -72,7 +72,7 @@ class Warehouse:
     def dim_geography(self) -> DataFrame:
         return self.store.table("marts", "dim_geography", dimensions.dim_geography(self.valid))
 
-    @property
+    @cached_property
     def dim_date(self) -> DataFrame:
         return dimensions.dim_date(self.spark, self.params)
 
@@ -104,15 +104,15 @@ class Warehouse:
             "marts", "mart_cohort_maturity", marts.cohort_maturity(self.fact, self.params, self.store)
         )
 
-    @property
+    @cached_property
     def bi_wide(self) -> DataFrame:
         return marts.bi_wide(self.agency_month, self.dim_agency, self.dim_complaint_type, self.dim_date, self.params)
 
-    @property
+    @cached_property
     def append_only(self) -> DataFrame:
         return replay.append_only_table(self.valid, self.periods, self.params)
 
-    @property
+    @cached_property
     def merged(self) -> DataFrame:
         return replay.merge_table(self.valid, self.periods, self.params)
 
@@ -122,6 +122,6 @@ class Warehouse:
             "comparison", "vintage_drift_log", replay.drift(self.valid, self.periods, self.params)
         )
 
-    @property
+    @cached_property
     def drift_summary(self) -> DataFrame:
         return replay.drift_summary(self.drift_log)
