@@ -28,10 +28,14 @@ def test_text_is_trimmed_and_blank_is_missing(spark):
 
 
 def test_only_whole_dates_become_timestamps(spark):
-    texts = ["2025-01-05 09:00:00", "2025-01-05T09:00:00.500", "2025", "2025-09", "nonsense", "2025-13-01", None]
+    texts = [
+        "2025-01-05 09:00:00", "2025-01-05T09:00:00.500", "2025", "2025-09", "nonsense", "2025-13-01", None,
+        "2025/1/5 9:00", " 2025-01-05 ", "2025-01-05 09", "2025-01/05",
+    ]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.v for r in rows.orderBy("i").select(safe_timestamp("t").alias("v")).collect()]
-    assert got == [datetime(2025, 1, 5, 9), datetime(2025, 1, 5, 9, 0, 0, 500000), None, None, None, None, None]
+    nine, half_past = datetime(2025, 1, 5, 9), datetime(2025, 1, 5, 9, 0, 0, 500000)
+    assert got == [nine, half_past, None, None, None, None, None, nine, datetime(2025, 1, 5), None, None]
 
 
 def test_only_numbers_become_doubles(spark):

@@ -13,9 +13,10 @@ SECONDS_PER_DAY = 86400.0
 NULL_PART = "<<null>>"
 KEY_SEPARATOR = "||"
 
-# A bare year or year-month is not a timestamp, and a trailing type letter is
-# not part of a number, although Spark's own casts would accept both.
-TIMESTAMP_SHAPE = r"^\d{4}-\d{2}-\d{2}"
+# A bare year or year-month or a date with only an hour is not a timestamp, and
+# a trailing type letter is not part of a number, although Spark's own casts
+# would accept them. Dates may be written with slashes.
+TIMESTAMP_SHAPE = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}([ T]\d{1,2}:\d{1,2}.*)?\s*$"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -32,7 +33,7 @@ def norm_text(c: str | Column, upper: bool = False) -> Column:
 def safe_timestamp(c: str | Column) -> Column:
     """Zone-less timestamp, null where the text does not hold one."""
     c = col(c)
-    return F.when(c.rlike(TIMESTAMP_SHAPE), c.try_cast("timestamp_ntz"))
+    return F.when(c.rlike(TIMESTAMP_SHAPE), F.translate(c, "/", "-").try_cast("timestamp_ntz"))
 
 
 def safe_double(c: str | Column) -> Column:

@@ -60,6 +60,7 @@ def append_ndjson(df: DataFrame, where: str, ingested_at: datetime | str) -> Non
     stamped = df.withColumn(INGESTED_AT, F.lit(str(ingested_at)))
     (
         stamped.withColumn("slice", slice_label("created_date"))
+        .hint("rebalance", "slice")
         .write.mode("append")
         .partitionBy("slice")
         .option("compression", "gzip")
@@ -72,6 +73,7 @@ def replace_slices(df: DataFrame, where: str) -> None:
     a restart after a partial pull cannot leave duplicates behind."""
     (
         df.withColumn("slice", slice_label("created_date"))
+        .hint("rebalance", "slice")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("slice")

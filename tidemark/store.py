@@ -60,14 +60,18 @@ class Store:
         df: DataFrame,
         partition_by: Iterable[str] = (),
     ) -> DataFrame:
-        """Materialise ``df`` as a table; without a root hand the plan through."""
+        """Materialise ``df`` as a table; without a root hand the plan through.
+
+        A partitioned table is rebalanced first: a partition's rows come
+        together into few files, and one that holds most rows is split.
+        """
         if self.root is None:
             return df
-        where = self.path(layer, name)
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(where)
+        where, columns = self.path(layer, name), list(partition_by)
+        if columns:
+            df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(where)
+        else:
+            df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def view(self, name: str, df: DataFrame) -> DataFrame:
