@@ -76,3 +76,28 @@ def test_window_end_never_falls_back_to_now():
 def test_unknown_cadence_is_refused():
     with pytest.raises(ValueError):
         Params(datetime(2025, 1, 1), datetime(2025, 2, 1), datetime(2025, 2, 1), date(2025, 1, 1), "fortnight")
+
+
+@pytest.mark.parametrize("cadence", ["day", "week", "month", "quarter"])
+def test_bins_stay_within_their_bound(spark, params, cadence):
+    """A window that opens years before the first vintage makes one long period."""
+    p = params.with_(vintage_cadence=cadence, window_start=datetime(2015, 6, 3))
+    spans = periods(spark, p)
+    probe = spark.range(1).select(F.lit("2016-02-03 00:00:00").cast("timestamp_ntz").alias("at"))
+    found = with_period(probe, "at", spans, p, ["vintage_seq"]).collect()
+    assert [r.vintage_seq for r in found] == [1]
+    unit = {"day": "DAY", "week": "WEEK"}.get(cadence, "MONTH")
+    days = spans.select(
+        F.explode(F.sequence(F.col("period_start_at").cast("date"), F.col("vintage_cutoff_at").cast("date"))).alias("d"),
+        "vintage_seq",
+    )
+    bins = days.select("vintage_seq", F.date_trunc(unit, "d")).distinct().count()
+    assert bins <= p.bin_count_bound() <= 2 * bins + 60
+
+
+def test_calendars_with_nothing_before_the_build(spark, params):
+    late = params.with_(vintage_first=date(2026, 1, 31))
+    assert [r.vintage_date for r in vintages(spark, late).collect()] == [date(2025, 6, 15)]
+    closed = params.with_(window_start=datetime(2025, 3, 10))
+    probe = spark.range(1).select(F.lit("2025-01-15 00:00:00").cast("timestamp_ntz").alias("at"))
+    assert with_period(probe, "at", periods(spark, closed), closed, ["vintage_seq"]).count() == 0

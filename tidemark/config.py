@@ -45,6 +45,16 @@ class Params:
         days = (self.build_as_of.date() - self.vintage_first).days
         return max(days, 0) // CADENCE_MIN_DAYS[self.vintage_cadence] + 3
 
+    def bin_count_bound(self) -> int:
+        """Upper bound on the calendar bins that all periods touch together.
+
+        Neighbouring periods share at most the bin that their border lies in.
+        """
+        first = min(self.window_start.date(), self.vintage_first)
+        step = {"day": 1, "week": 7}.get(self.vintage_cadence, 28)
+        days = max((self.build_as_of.date() - first).days, 0) + 31
+        return days // step + 2 + 2 * self.vintage_count_bound()
+
     @classmethod
     def from_mapping(cls, values: Mapping[str, Any]) -> "Params":
         """From a parsed configuration file: ISO texts and plain values."""

@@ -33,7 +33,7 @@ def periods(spark: SparkSession, params: Params) -> DataFrame:
     step, unit, _ = CADENCE[params.vintage_cadence]
     first = F.lit(params.vintage_first).cast("date")
     build = F.lit(params.build_as_of.date()).cast("date")
-    starts = F.sequence(_floor(first, unit), _floor(build, unit), F.expr(step))
+    starts = F.sequence(_floor(F.least(first, build), unit), _floor(build, unit), F.expr(step))
     ends = F.transform(starts, lambda s: (s + F.expr(step) - F.expr("interval 1 day")).cast("date"))
     bounded = F.filter(ends, lambda d: d <= build)
     dates = F.array_sort(F.array_distinct(F.concat(bounded, F.array(build))))
@@ -78,19 +78,16 @@ def with_period(
     """
     _, _, unit = CADENCE[params.vintage_cadence]
     step = "interval 1 month" if unit == "MM" else "interval 7 day" if unit == "WEEK" else "interval 1 day"
+    first_bin = _floor(F.col("period_start_at").cast("date"), unit)
+    last_bin = _floor(F.col("vintage_cutoff_at").cast("date"), unit)
     bins = spans.select(
         F.col("period_start_at").alias("_from"),
         F.col("vintage_cutoff_at").alias("_to"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
-        F.explode(
-            F.sequence(
-                _floor(F.col("period_start_at").cast("date"), unit),
-                _floor(F.col("vintage_cutoff_at").cast("date"), unit),
-                F.expr(step),
-            )
-        ).alias("_bin"),
+        # A window that opens after the first cutoff leaves that period empty.
+        F.explode(F.sequence(F.least(first_bin, last_bin), last_bin, F.expr(step))).alias("_bin"),
     )
-    if params.vintage_count_bound() * 2 <= params.broadcast_max_rows:
+    if params.bin_count_bound() <= params.broadcast_max_rows:
         bins = F.broadcast(bins)
     on = (
         (_floor(F.col(at).cast("date"), unit) == F.col("_bin"))
