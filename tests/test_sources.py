@@ -149,11 +149,12 @@ def test_paired_states_equal_two_resolutions(landing_rows):
     log = landing_rows(
         row("a", status="1"), row("a", status="2", _ingested_at="2025-03-02 00:00:00"),
         row("b", status="9", _ingested_at="2025-03-02 00:00:00"), row("c", status="x"), row("c", status="y"),
+        row("d", status="u", _ingested_at=None),
     )
-    early = F.col("_ingested_at") <= "2025-03-01 00:00:00"
-    got = paired_states(log, "unique_key", ["_ingested_at", "closed_date"], FIELDS, early)
+    upto = "2025-03-01 00:00:00"
+    got = paired_states(log, "unique_key", ["_ingested_at", "closed_date"], FIELDS, upto)
     assert {r.unique_key: (r.before and r.before.status, r.after.status) for r in got.collect()} == {
-        "a": ("1", "2"), "b": (None, "9"), "c": ("y", "y"),
+        "a": ("1", "2"), "b": (None, "9"), "c": ("y", "y"), "d": (None, "u"),
     }
 
 

@@ -145,7 +145,7 @@ def _diff(w: Warehouse) -> DataFrame:
         "unique_key",
         ["_ingested_at", "closed_date"],
         snapshots.PROBE_FIELDS,
-        F.col("_ingested_at") <= CAPTURED_UPTO,
+        CAPTURED_UPTO,
     )
     captured = states.filter(F.col("before").isNotNull())
     return snapshots.compare_states(captured, "unique_key", snapshots.PROBE_FIELDS)

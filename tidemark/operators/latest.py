@@ -12,7 +12,7 @@ from tidemark.functions.columns import col
 
 def latest_per_key(
     log: DataFrame,
-    key: str | Column,
+    key: str | Column | Sequence[str],
     order: Sequence[str],
     keep_null_keys: bool = False,
     newest: bool = True,
@@ -26,16 +26,19 @@ def latest_per_key(
     well as after it, so a key that holds a third of the log moves one row per
     task. Rows without a key count as one key unless ``keep_null_keys`` is set.
     """
+    keys = [col(key)] if isinstance(key, (str, Column)) else [col(k) for k in key]
     rest = [c for c in log.columns if c not in order]
     total = [
         F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_first() for c in [*order, *rest]
     ]
-    keyed = log.withColumn("_key", col(key))
-    ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(*total)))
+
+    def first_of_each(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*total))
+        return rows.withColumn("_rn", rank).filter(F.col("_rn") == 1).drop("_rn")
+
     if not keep_null_keys:
-        return ranked.filter(F.col("_rn") == 1).drop("_rn", "_key")
-    named = ranked.filter(F.col("_key").isNotNull() & (F.col("_rn") == 1)).drop("_rn", "_key")
-    return named.unionByName(keyed.filter(F.col("_key").isNull()).drop("_key"))
+        return first_of_each(log)
+    return first_of_each(log.filter(keys[0].isNotNull())).unionByName(log.filter(keys[0].isNull()))
 
 
 def paired_states(
@@ -43,18 +46,20 @@ def paired_states(
     key: str,
     order: Sequence[str],
     fields: Sequence[str],
-    known_before: Column,
+    upto: str,
 ) -> DataFrame:
-    """Two states of each key from one pass: the latest of the rows that
-    satisfy ``known_before``, and the latest of all.
+    """Two states of each key from one shuffle of the log: the latest of the
+    rows whose leading order column is at most ``upto``, and the latest of all.
 
-    Both are maxima over an ordering struct, so each task hands on one row per
-    key. A null sorts below every value there, which is nulls last descending.
+    A key keeps its latest row before and its latest row after the border, and
+    rows without a stamp come before both. What is left is narrow and has at
+    most three rows per key.
     """
-    rest = [c for c in log.columns if c not in order and c != key]
-    rank = F.struct(*order, *rest)
+    stamp = F.col(order[0])
+    era = F.when(stamp.isNull(), F.lit(0)).when(stamp <= F.lit(upto), F.lit(1)).otherwise(F.lit(2))
+    kept = latest_per_key(log.withColumn("_era", era), [key, "_era"], order)
     row = F.struct(*fields)
-    return log.groupBy(key).agg(
-        F.max_by(F.when(known_before, row), F.when(known_before, rank)).alias("before"),
-        F.max_by(row, rank).alias("after"),
+    return kept.groupBy(key).agg(
+        F.max_by(F.when(F.col("_era") == 1, row), F.when(F.col("_era") == 1, F.col("_era"))).alias("before"),
+        F.max_by(row, "_era").alias("after"),
     )
