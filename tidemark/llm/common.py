@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,44 @@ def written(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a term set: 2 MB whatever the number of terms.
+SET_BITS = 24
+
+
+def term_set(terms: DataFrame) -> bytes:
+    """The terms of a one-column table as a bitmap over their hashes.
+
+    The size is fixed (2^24 bits, brought to the driver in at most 512 pieces of 4 KB),
+    so it may be broadcast whatever the table holds. A fuller set only lets more terms
+    through; who uses it compares the terms themselves afterwards.
+    """
+    (name,) = terms.columns
+    place = F.xxhash64(name).bitwiseAND(F.lit((1 << SET_BITS) - 1)) + 1
+    pieces = (
+        terms.where(F.col(name).isNotNull())
+        .groupBy(F.bitmap_bucket_number(place).alias("n"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+    found = bytearray(1 << (SET_BITS - 3))
+    for n, bits in pieces.collect():
+        at = (n - 1) * len(bits)
+        found[at : at + len(bits)] = bits
+    return bytes(found)
+
+
+class Known(dict):
+    """word -> whether it may be in a term set; answers are kept for the common words."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: bytes) -> bool:
+        place = xxhash.xxh64_intdigest(word, 42) & ((1 << SET_BITS) - 1)
+        answer = bool(self.bits[place >> 3] >> (place & 7) & 1)
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = answer
+        return answer

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality_rules, simhash
+from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,8 +38,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans: str) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    one = lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_all(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op3_mixing, op6_quality_rules)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op8_pii)
 }
 
 OP3_SQL = r"""
@@ -102,4 +127,35 @@ f AS (
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f
 """
 
-SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_quality_rules": OP6_SQL}
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n,
+         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS phrase
+  FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM p),
+g AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase
+  FROM d, lengths WHERE len(w) >= n),
+m AS (SELECT DISTINCT r, i, g.n, item_id FROM g JOIN p ON g.phrase = p.phrase AND g.n = p.n),
+hit AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM m) GROUP BY r),
+ids AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_mixing": OP3_SQL, "op6_quality_rules": OP6_SQL}
