@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash
+from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def _joined(spans: str) -> Column:
     """kind:start:end of spans, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
@@ -56,7 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op8_pii)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op7_substring, op8_pii)
 }
 
 OP3_SQL = r"""
