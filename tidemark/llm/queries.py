@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring
+from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring, suffix
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents"), digest=True)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op7_substring, op8_pii)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op7_substring, op8_pii, op9_suffix)
 }
 
 OP3_SQL = r"""
