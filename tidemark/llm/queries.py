@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring, suffix
+from tidemark.llm import decontaminate, mixing, pii, ppm, quality_rules, simhash, substring, suffix
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,12 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op7_substring, op8_pii, op9_suffix)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op6_quality_rules, op7_substring, op8_pii, op9_suffix, op10_ppm)
 }
 
 OP3_SQL = r"""
