@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, mixing, pii, ppm, quality_rules, simhash, substring, suffix
+from tidemark.llm import classifier, decontaminate, html_main, mixing, pii, ppm, quality_rules, simhash, substring, suffix
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -76,7 +81,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op6_quality_rules, op7_substring, op8_pii, op9_suffix, op10_ppm)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op5_html_main, op6_quality_rules, op7_substring, op8_pii, op9_suffix, op10_ppm)
 }
 
 OP3_SQL = r"""
