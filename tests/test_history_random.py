@@ -60,7 +60,7 @@ def test_versions_and_lookup(spark, params, seed):
 
     for bound in (params.broadcast_max_rows, 0):
         found = scd2.as_of_lookup(
-            df, history, {"kind": F.col("kind")}, "at", "version_number", params.with_(broadcast_max_rows=bound), ["id"]
+            df, history, {"kind": F.col("kind")}, "at", "version_number", params.with_(broadcast_max_rows=bound)
         ).collect()
         assert len(found) == len(rows)
         for r in found:

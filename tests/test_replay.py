@@ -71,18 +71,15 @@ def test_append_keeps_first_state_and_merge_the_last(valid):
 
 def test_closed_form_equals_the_loop(spark, valid, params, store):
     spans = periods(spark, params)
-    looped = replay.replay(valid, spans, store)
+    looped, *tables = replay.replay(valid, spans, store)
     closed_form = replay.drift(valid, spans, params)
     key = ["vintage_seq"]
     assert [tuple(r) for r in looped.orderBy(*key).collect()] == [
         tuple(r) for r in closed_form.select(looped.columns).orderBy(*key).collect()
     ]
-    last = spans.count()
-    for name, table in (
-        ("fct_requests_append_only", replay.append_only_table(valid, spans, params)),
-        ("fct_requests_merge", replay.merge_table(valid, spans, params)),
+    for stored, table in zip(
+        tables, (replay.append_only_table(valid, spans, params), replay.merge_table(valid, spans, params))
     ):
-        stored = spark.read.parquet(store.path("comparison", f"{name}/run_{last}"))
         assert stored.count() == table.count()
         assert stored.exceptAll(table.select(stored.columns)).count() == 0
 
@@ -99,13 +96,19 @@ def test_closed_form_equals_the_loop_on_rows_around_the_cutoffs(spark, ntz, para
     for c in replay.ATTRIBUTES:
         valid = valid.withColumn(c, F.lit("x"))
     spans = periods(spark, params)
-    looped = replay.replay(valid, spans, store)
+    looped = replay.replay(valid, spans, store).log
     got = replay.drift(valid, spans, params).select(looped.columns)
     assert [tuple(r) for r in looped.orderBy("vintage_seq").collect()] == [
         tuple(r) for r in got.orderBy("vintage_seq").collect()
     ]
 
 
+def test_closed_forms_refuse_repeated_ids(spark, valid):
+    assert replay.require_unique_ids(valid) is valid
+    with pytest.raises(ValueError, match="1 request ids repeat"):
+        replay.require_unique_ids(valid.unionByName(valid.filter("request_id = 'restated'")))
+
+
 def test_summary_errors(spark, valid, params):
     spans = periods(spark, params)
     rows = replay.drift_summary(replay.drift(valid, spans, params)).orderBy("vintage_seq").collect()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import marts, staging
+from tidemark.plans import marts, reports, staging
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources.landing import LANDING_COLUMNS
 from tidemark.store import Store
@@ -100,7 +100,16 @@ def test_cohort_medians_equal_the_plain_aggregate(warehouse, params):
             assert r.matured_median_days_to_close == pytest.approx(matured, abs=1e-9)
 
 
-def test_fact_is_scanned_once_for_the_mart(warehouse):
-    """The plan of the mart's components reads the kept histogram, not the fact."""
-    plan = marts.cohort_maturity(warehouse.fact, warehouse.params, warehouse.store)._jdf.queryExecution().toString()
-    assert "fct_service_request" not in plan and "cohort_durations" in plan
+def test_both_marts_read_the_stored_histogram(warehouse):
+    for mart in (marts.agency_month, marts.cohort_maturity):
+        plan = mart(warehouse.durations, warehouse.params)._jdf.queryExecution().toString()
+        assert "fct_service_request" not in plan and "intermediate/durations" in plan
+
+
+def test_backlog_ranks_equal_a_single_sort(warehouse):
+    got = {r.agency_key: r for r in reports.backlog_share(warehouse.fact, warehouse.store).collect()}
+    order = sorted(got.values(), key=lambda r: (-r.backlog, r.agency_key))
+    assert [r.backlog_rank for r in order] == list(range(1, len(order) + 1)) and len(order) > 5
+    total = sum(r.backlog for r in order)
+    for i, r in enumerate(order):
+        assert r.cumulative_share == pytest.approx(sum(x.backlog for x in order[: i + 1]) / total)

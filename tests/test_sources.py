@@ -86,7 +86,7 @@ def test_positions_of_a_hot_stratum_cross_ranges(spark, params, store):
     df = spark.range(5000).select(F.lit("hot").alias("s"), F.format_string("%05d", "id").alias("key"))
     got = sampling.stratum_positions(df, "s", "key", params, store, partitions=7)
     assert got.filter("position <> cast(key as bigint) or stratum_size <> 5000").count() == 0
-    stored = spark.read.parquet(store.path("intermediate", "positions_s_key"))
+    stored = store.open("intermediate", "positions_s_key")
     assert stored.select("_range").distinct().count() == 7
 
 
@@ -109,6 +109,15 @@ def test_top_n_or_other(spark):
     assert {r.label: r.n for r in got.collect()} == {"a": 6, "b": 3, "Other": 4}
 
 
+def test_top_n_keeps_a_null_label_and_one_named_like_the_rest(spark):
+    rows = [(None, 10), ("a", 5), ("b", 3), ("Other", 4)]
+    df = spark.createDataFrame(rows, "label string, n long")
+    got = sampling.top_n_or_other(df, "label", "n", 3).collect()
+    assert sorted(((r.label, r.n, r.is_other) for r in got), key=repr) == sorted(
+        [(None, 10, False), ("a", 5, False), ("Other", 4, False), ("Other", 3, True)], key=repr
+    )
+
+
 FIELDS = snapshots.PROBE_FIELDS
 
 
@@ -135,6 +144,26 @@ def test_snapshot_diff(spark, landing_rows):
     assert [r.unique_key for r in snapshots.change_examples(diff, "unique_key", 2).collect()] == ["null", "one"]
 
 
+def test_capture_reads_dates_as_staging_does(landing_rows):
+    """A bare year is no date; order is by instant; without a date nothing is captured."""
+    df = landing_rows(
+        row("year", created_date="2031"), row("b", created_date="2001/5/2 00:00:00"),
+        row("a", created_date="2001-05-01 00:00:00"), row("old", created_date="2001-04-30 00:00:00"),
+    )
+    assert {r.unique_key for r in snapshots.capture(df).collect()} == {"a", "b"}
+    assert [r.unique_key for r in snapshots.capture(df, 1).collect()] == ["a"]
+    assert [r.unique_key for r in snapshots.capture(df, scope="complete_month").collect()] == ["old"]
+    assert snapshots.capture(landing_rows(row("x", created_date="2031"))).collect() == []
+
+
+def test_change_visibility(spark, landing_rows):
+    a = landing_rows(row("same"), row("one", status="Open"), row("two", status="Open", agency="A"), row("gone"))
+    b = landing_rows(row("same"), row("one", status="Closed"), row("two", status="Closed", agency="B"))
+    diff = snapshots.snapshot_diff(a, b, "unique_key", FIELDS)
+    got = {r.replay_sees_it: (r.changes, r.requests_touched) for r in snapshots.change_visibility(diff, FIELDS).collect()}
+    assert got == {True: (2, 2), False: (1, 1)}
+
+
 def test_capture_scopes(landing_rows):
     df = landing_rows(
         row("a"), row("b", created_date="2025-03-05 00:00:00"), row("c", created_date="2025-03-01 00:00:00")
@@ -243,7 +272,9 @@ def test_sensitivity_marks_windows_with_too_few_cohorts(spark, ntz, params):
         ],
         "created_at string, closed_at string", ["created_at", "closed_at"],
     )
-    rows = {r.window_days: r for r in reports.maturity_sensitivity(facts, params, [30, 120, 180]).collect()}
+    facts = facts.select(F.trunc("created_at", "MM").alias("cohort_month"), "*", F.lit(True).alias("is_within_target"))
+    histogram = marts.duration_histogram(facts, ["cohort_month"])
+    rows = {r.window_days: r for r in reports.maturity_sensitivity(histogram, params, [30, 120, 180]).collect()}
     assert (rows[30].mature_cohorts, rows[30].delta, rows[30].direction) == (2, 5.0, "slower")
     assert (rows[120].mature_cohorts, rows[120].delta, rows[120].direction) == (1, None, "too few")
     assert rows[180].mature_cohorts == 0

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import sampling
 from tidemark.store import Store, shared_root
 
 
@@ -14,18 +15,31 @@ def test_partitioned_table_prunes_and_reads_back(spark, store):
     assert "PartitionFilters: [isnotnull(month" in plan
 
 
-def test_append_adds_rows(spark, store):
-    store.append("raw", "log", spark.range(3))
-    assert store.append("raw", "log", spark.range(2)).count() == 5
-    assert store.view("named", spark.range(1)).count() == spark.table("named").count()
+def test_a_second_write_leaves_the_first_readable(spark, store):
+    first = store.table("marts", "t", spark.range(3))
+    second = store.table("marts", "t", spark.range(5))
+    assert (first.count(), second.count()) == (3, 5)
+    assert len(store.versions("marts", "t")) == 2 and store.open("marts", "t").count() == 5
 
 
-def test_without_a_shared_folder_plans_pass_through(spark, store):
-    store.root = None
-    df = spark.range(2)
-    assert store.table("marts", "t", df) is df
-    with pytest.raises(RuntimeError):
-        store.path("marts", "t")
+def test_two_samples_on_one_store_stay_right(spark, params, store):
+    keys = [f"{i:03d}" for i in range(60)]
+    df = spark.createDataFrame([("x", k) for k in keys], "s string, key string")
+    five = sampling.systematic_sample(df, "s", "key", params, store, 5)
+    two = sampling.systematic_sample(df.filter("key < '030'"), "s", "key", params, store, 2)
+    assert sorted(r.key for r in five.collect()) == keys[::12]
+    assert sorted(r.key for r in two.collect()) == keys[:30:15]
+    assert sorted(r.key for r in five.collect()) == keys[::12]
+
+
+def test_a_later_store_opens_what_exists(spark, tmp_path):
+    root = str(tmp_path / "kept")
+    Store.at(spark, root).table("marts", "t", spark.range(4))
+    later = Store.at(spark, root, reuse=True)
+    assert later.table("marts", "t", spark.range(9)).count() == 4
+    assert later.table("marts", "other", spark.range(9)).count() == 9
+    assert later.table("intermediate", "t", spark.range(2)).count() == 2
+    assert later.open("staging", "t") is None
 
 
 def session(named, master):
@@ -40,7 +54,12 @@ def test_root_comes_from_the_session(spark):
     named = session("hdfs:///shared/", "spark://host:7077")
     assert shared_root(named) == "hdfs:///shared"
     assert Store(named).root.startswith("hdfs:///shared/tidemark-")
-    assert shared_root(session(None, "spark://host:7077")) is None
     assert "tidemark-" in shared_root(session(None, "local[2]"))
     with pytest.raises(ValueError):
         Store(named).path("elsewhere", "t")
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_without_a_shared_folder_a_cluster_stops(master):
+    with pytest.raises(RuntimeError):
+        Store(session(None, master))

@@ -7,8 +7,10 @@ range conditions, and shares no plan with the DataFrame code.
 
 from __future__ import annotations
 
+import re
+
 from tidemark.catalog import queries as q
-from tidemark.operators.snapshots import PROBE_FIELDS
+from tidemark.operators.snapshots import DATED, PROBE_FIELDS
 from tidemark.plans import ledger as ledger_texts
 from tidemark.plans.staging import WARN_FLAGS
 from tidemark.sources.landing import LANDING_COLUMNS
@@ -307,7 +309,9 @@ PARTS["months"] = (
       CASE WHEN is_cohort_mature THEN 1.0::DOUBLE - {WINDOW_RATE} END AS unresolved_share_at_maturity,
       (count(*) - count(s))::BIGINT AS backlog_open_count,
       {ratio("count(*) FILTER (is_within_target)", "count(is_within_target)")} AS on_time_rate,
-      count(is_within_target)::BIGINT AS on_time_denominator
+      count(is_within_target)::BIGINT AS on_time_denominator,
+      count(*) FILTER (is_within_target)::BIGINT AS on_time_volume, sum(s)::BIGINT AS closed_seconds,
+      count(*) FILTER ({IN_WINDOW})::BIGINT AS window_volume, (sum(s) FILTER ({IN_WINDOW}))::BIGINT AS window_seconds
     FROM (SELECT *, {AGE} >= {WINDOW} AS is_cohort_mature FROM measured)
     GROUP BY cohort_month, agency_key, complaint_type_key, complaint_type, borough, is_cohort_mature
     """,
@@ -343,10 +347,11 @@ PARTS["wide"] = (
       m.request_volume, m.closed_volume, m.on_time_denominator, m.backlog_open_count, m.closure_rate,
       m.closure_rate_at_maturity, m.mean_days_to_close, m.median_days_to_close, m.mean_days_to_close_matured,
       m.unresolved_share_at_maturity, m.on_time_rate,
-      m.mean_days_to_close * m.closed_volume AS days_to_close_total,
-      m.mean_days_to_close_matured * (m.closure_rate_at_maturity * m.request_volume) AS days_to_close_matured_total,
-      m.closure_rate_at_maturity * m.request_volume AS closed_within_window_volume,
-      m.on_time_rate * m.on_time_denominator AS on_time_numerator
+      m.closed_seconds / 86400.0::DOUBLE AS days_to_close_total,
+      CASE WHEN m.is_cohort_mature THEN m.window_seconds / 86400.0::DOUBLE END AS days_to_close_matured_total,
+      CASE WHEN m.is_cohort_mature THEN m.window_volume::DOUBLE END AS closed_within_window_volume,
+      CASE WHEN m.on_time_denominator > 0 THEN m.on_time_volume::DOUBLE END AS on_time_numerator,
+      m.closed_seconds, CASE WHEN m.is_cohort_mature THEN m.window_seconds END AS matured_seconds
     FROM months m LEFT JOIN agencies a USING (agency_key) LEFT JOIN history h USING (complaint_type_key)
     """,
 )
@@ -416,6 +421,27 @@ PARTS["drifted"] = (
     FROM x GROUP BY ALL
     """,
 )
+# The same over the ends of quarters.
+PARTS["quarters"] = (
+    [],
+    f"""
+    WITH ends AS (
+      SELECT last_day(q::DATE + INTERVAL 2 MONTH) AS d
+      FROM generate_series(date_trunc('quarter', DATE '{P.vintage_first}')::TIMESTAMP,
+                           date_trunc('quarter', {BUILD})::TIMESTAMP, INTERVAL 3 MONTH) AS g(q)
+      WHERE last_day(q::DATE + INTERVAL 2 MONTH) <= {BUILD}::DATE
+      UNION SELECT {BUILD}::DATE
+    )
+    SELECT d AS vintage_date, d::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 SECOND AS cutoff,
+      row_number() OVER (ORDER BY d)::BIGINT AS seq
+    FROM ends
+    """,
+)
+for _name, _reads in (("seen", ["valid", "quarters"]), ("drifted", ["quarterly_seen", "quarters"])):
+    PARTS[f"quarterly_{_name}"] = (
+        _reads,
+        PARTS[_name][1].replace("FROM periods", "FROM quarters").replace("JOIN seen", "JOIN quarterly_seen"),
+    )
 _AR = ratio("append_closed_count", "append_row_count")
 _MR = ratio("merge_closed_count", "merge_row_count")
 PARTS["drift_errors"] = (
@@ -434,7 +460,24 @@ PARTS["drift_errors"] = (
     FROM drifted
     """,
 )
-PARTS["captured"] = (["landing"], newest(f"_ingested_at <= '{q.CAPTURED_UPTO}'"))
+_PROBE_FIRST = ", ".join(
+    f"{c} DESC NULLS LAST" for c in ["_ingested_at", "closed_date", *PROBE_FIELDS, "location_type"]
+)
+
+
+def probed(where: str = "TRUE") -> str:
+    """The newest state of the probe's fields; those fields alone break ties."""
+    return (
+        f"SELECT * FROM landing WHERE {where} "
+        f"QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY {_PROBE_FIRST}) = 1"
+    )
+
+
+PARTS["captured"] = (["landing"], probed(f"_ingested_at <= '{q.CAPTURED_UPTO}'"))
+PARTS["rechecked"] = (
+    ["landing"],
+    f"SELECT * FROM ({probed()}) WHERE location_type IS DISTINCT FROM '{q.PURGED}'",
+)
 
 
 def changed_flag(f: str) -> str:
@@ -443,12 +486,12 @@ def changed_flag(f: str) -> str:
 
 _CHANGED = ", ".join(f"CASE WHEN {changed_flag(f)} THEN '{f}' END" for f in PROBE_FIELDS)
 PARTS["diffed"] = (
-    ["captured", "newest"],
+    ["captured", "rechecked"],
     f"""
     SELECT a.unique_key, b.unique_key IS NULL AS disappeared, concat_ws(',', {_CHANGED}) AS changed_fields,
       a.closed_date AS closed_before, b.closed_date AS closed_after,
       {", ".join(f"{changed_flag(f)} AS is_{f}" for f in PROBE_FIELDS)}
-    FROM captured a LEFT JOIN newest b ON a.unique_key = b.unique_key
+    FROM captured a LEFT JOIN rechecked b ON a.unique_key = b.unique_key
     WHERE a.unique_key IS NOT NULL
     """,
 )
@@ -502,8 +545,15 @@ final(
 )
 final(
     "manifest_tieout", ["landing"],
-    """SELECT substr(created_date, 1, 7) AS slice, count(*) AS manifest_rows, count(*) AS landed_rows,
-         TRUE AS ties_out FROM landing GROUP BY 1""",
+    f"""WITH m AS (
+         SELECT slice, n + CASE WHEN slice = '{q.WRONG_SLICE}' THEN {q.EXTRA_ROWS} ELSE 0 END AS n FROM (
+           SELECT CASE WHEN o_totalprice < 2000 THEN 'not rec' WHEN o_totalprice < 4000 THEN year(o_orderdate)::VARCHAR
+                       ELSE strftime(o_orderdate, '%Y-%m') END AS slice, count(*) AS n
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+         WHERE slice <> '{q.MISSING_SLICE}' UNION ALL SELECT '{q.EXTRA_SLICE}', {q.EXTRA_ROWS}),
+       l AS (SELECT substr(created_date, 1, 7) AS slice, count(*) AS n FROM landing GROUP BY 1)
+       SELECT slice, coalesce(m.n, 0)::BIGINT AS manifest_rows, coalesce(l.n, 0)::BIGINT AS landed_rows,
+         coalesce(m.n, 0) = coalesce(l.n, 0) AS ties_out FROM m FULL JOIN l USING (slice)""",
 )
 final(
     "keyset_page", ["valid"],
@@ -574,22 +624,24 @@ final("agency_month", ["months"], rounded("months", _MONTH_FLOATS))
 final("cohort_maturity", ["cohorts"], "SELECT * FROM cohorts ORDER BY cohort_month")
 final("bi_wide", ["wide"], rounded("wide", _WIDE_FLOATS))
 final("bi_export", *FINAL["bi_wide"])
+final("bi_export_parquet", *FINAL["bi_wide"])
 final(
     "bi_reaggregate", ["wide"],
     f"""SELECT cohort_year, agency_code, sum(request_volume)::BIGINT AS request_volume,
          sum(closed_volume)::BIGINT AS closed_volume, sum(backlog_open_count)::BIGINT AS backlog_open_count,
          {r6(ratio("sum(closed_volume)", "sum(request_volume)"))} AS closure_rate,
-         {r6(ratio("sum(days_to_close_total)", "sum(closed_volume)"))} AS mean_days,
-         {r6(ratio("sum(days_to_close_matured_total)", "sum(closed_within_window_volume)"))} AS mean_days_matured,
+         {r6(in_days(ratio("sum(closed_seconds)", "sum(closed_volume)")))} AS mean_days,
+         {r6(in_days(ratio("sum(matured_seconds)", "sum(closed_within_window_volume)")))} AS mean_days_matured,
          {r6(ratio("sum(on_time_numerator)", "sum(on_time_denominator)"))} AS on_time_rate
        FROM wide GROUP BY ALL""",
 )
 final(
     "top6_other", ["wide"],
     f"""WITH t AS (SELECT agency_code AS top FROM wide GROUP BY 1
-         ORDER BY sum(request_volume) DESC, 1 LIMIT {q.TOP_AGENCIES})
-       SELECT cohort_month, coalesce(top, 'Other') AS agency_code, sum(request_volume)::BIGINT AS request_volume
-       FROM wide LEFT JOIN t ON top = agency_code GROUP BY ALL""",
+         ORDER BY sum(request_volume) DESC, 1 NULLS LAST LIMIT {q.TOP_AGENCIES})
+       SELECT cohort_month, CASE WHEN there THEN agency_code ELSE 'Other' END AS agency_code, there IS NULL AS is_other,
+         sum(request_volume)::BIGINT AS request_volume
+       FROM wide LEFT JOIN (SELECT top, TRUE AS there FROM t) ON top IS NOT DISTINCT FROM agency_code GROUP BY ALL""",
 )
 final("vintage_state", ["as_of"], rounded("as_of", _STATE_FLOATS))
 final(
@@ -628,19 +680,23 @@ final(
 )
 final("high_water_mark", ["merged"], "SELECT max(source_updated_at) AS high_water_mark FROM merged")
 final("drift_log", ["drifted"], rounded("drifted", ["append_avg_days_to_close", "merge_avg_days_to_close"]))
+final(
+    "replay_loop", ["quarterly_drifted"],
+    rounded("quarterly_drifted", ["append_avg_days_to_close", "merge_avg_days_to_close"]),
+)
 final("drift_summary", ["drift_errors"], "SELECT * FROM drift_errors ORDER BY vintage_seq")
 final(
     "drift_worst_vintage", ["drift_errors"],
     "SELECT * FROM drift_errors ORDER BY share_of_closures_missed DESC NULLS LAST, vintage_seq LIMIT 1",
 )
 final("drift_final_vintage", ["drift_errors"], "SELECT * FROM drift_errors ORDER BY vintage_seq DESC LIMIT 1")
-_IN = "CASE WHEN is_cohort_mature THEN closure_rate_at_maturity * request_volume END"
 final(
     "agency_performance", ["months", "agencies"],
     f"""SELECT agency_key, any_value(agency_name) AS agency_name, sum(request_volume)::BIGINT AS requests,
          sum(closed_volume)::BIGINT AS closed, {r6(ratio("sum(closed_volume)", "sum(request_volume)"))} AS closure_rate,
-         {r6(ratio("sum(mean_days_to_close * closed_volume)", "sum(closed_volume)"))} AS mean_days_naive,
-         {r6(ratio(f"sum(mean_days_to_close_matured * ({_IN}))", f"sum({_IN})"))} AS mean_days_matured,
+         {r6(in_days(ratio("sum(closed_seconds)", "sum(closed_volume)")))} AS mean_days_naive,
+         {r6(in_days(ratio("sum(window_seconds) FILTER (is_cohort_mature)", "sum(window_volume) FILTER (is_cohort_mature)")))}
+           AS mean_days_matured,
          sum(backlog_open_count)::BIGINT AS backlog
        FROM months LEFT JOIN agencies USING (agency_key) GROUP BY agency_key
        HAVING sum(request_volume) >= {q.MIN_VOLUME} ORDER BY requests DESC, agency_key LIMIT 15""",
@@ -749,12 +805,25 @@ final(
     f"""WITH t AS (SELECT *, try_cast(created_date AS TIMESTAMP) AS made FROM newest WHERE unique_key IS NOT NULL),
        m AS (SELECT date_trunc('month', max(made)) AS m FROM t)
        SELECT unique_key, {", ".join(PROBE_FIELDS)} FROM t, m WHERE made >= m - INTERVAL 1 MONTH AND made < m
-       ORDER BY created_date, unique_key LIMIT {q.PROBE_ROWS}""",
+       ORDER BY made, unique_key LIMIT {q.PROBE_ROWS}""",
 )
 
-
-def _zero(*names: str) -> list[str]:
-    return [f"SELECT '{n}', 'error', 0" for n in names]
+_DATED = [f for f in PROBE_FIELDS if f in DATED]
+_PLACED = [f for f in PROBE_FIELDS if f not in DATED]
+final(
+    "change_visibility", ["diffed", "landing"],
+    " UNION ALL ".join(
+        f"""SELECT {flag} AS replay_sees_it, coalesce(sum({" + ".join(f"is_{f}::BIGINT" for f in fields)}), 0)::BIGINT AS changes,
+          count(*) FILTER ({" OR ".join(f"is_{f}" for f in fields)}) AS requests_touched,
+          {r6(f"date_diff('second', TIMESTAMP '{q.CAPTURED_UPTO}', (SELECT max(_ingested_at)::TIMESTAMP FROM landing)) / 3600.0::DOUBLE")}
+            AS gap_hours FROM diffed"""
+        for flag, fields in (("TRUE", _DATED), ("FALSE", _PLACED))
+    ),
+)
+final(
+    "change_examples", ["diffed"],
+    f"""SELECT unique_key, changed_fields FROM diffed WHERE changed_fields <> '' ORDER BY unique_key LIMIT {q.EXAMPLES}""",
+)
 
 
 def _nulls(table: str, part: str, *columns: str, severity: str = "error") -> list[str]:
@@ -783,7 +852,8 @@ _CHECKS = [
     *_nulls("int_requests_valid", "valid", "request_id", "created_at"),
     *_repeats("int_requests_valid", "valid", "request_id"),
     *_nulls("int_requests_quarantined", "excluded", "exclusion_reason"),
-    *_zero("int_requests_quarantined.exclusion_reason.accepted_values"),
+    """SELECT 'int_requests_quarantined.exclusion_reason.accepted_values', 'error', count(*) FROM excluded
+       WHERE exclusion_reason NOT IN ('missing_request_id', 'unparseable_or_missing_created_date', 'closed_before_created')""",
     *_repeats("int_requests_quarantined", "excluded", "request_id"),
     *_nulls(
         _F, "facts", "request_id", "agency_key", "complaint_type_key", "geography_key", "created_date_key",
@@ -798,11 +868,10 @@ _CHECKS = [
     *_missing("agency_key", "agencies", "agency_key"),
     *_missing("complaint_type_key", "history", "complaint_type_key"),
     *_missing("geography_key", "places", "geography_key"),
-    f"""SELECT '{_F}.created_date_key.relationships', 'error', count(*) FROM facts
-        WHERE created_date_key < DATE '1994-01-01' OR created_date_key > DATE '2002-01-01'""",
+    *_missing("created_date_key", "days_", "date_key"),
     *_nulls("dim_agency", "agencies", "agency_key"), *_repeats("dim_agency", "agencies", "agency_key"),
     *_nulls("dim_geography", "places", "geography_key"), *_repeats("dim_geography", "places", "geography_key"),
-    *_zero("dim_date.date_key.not_null", "dim_date.date_key.unique"),
+    *_nulls("dim_date", "days_", "date_key"), *_repeats("dim_date", "days_", "date_key"),
     *_nulls("dim_complaint_type", "history", "complaint_type_key", "is_current", "valid_from_at", "valid_to_at"),
     *_repeats("dim_complaint_type", "history", "complaint_type_key"),
     """SELECT 'dim_complaint_type.at_most_one_current', 'error', count(*) FROM (SELECT 1 FROM history
@@ -814,15 +883,16 @@ _CHECKS = [
     """SELECT 'dim_complaint_type.versions_do_not_overlap', 'error', count(*) FROM (
          SELECT valid_from_at, lag(valid_to_at) OVER (PARTITION BY complaint_type, descriptor ORDER BY valid_from_at) AS p
          FROM history WHERE NOT is_unknown_member) WHERE valid_from_at < p""",
-    f"""SELECT '{_F}.version_in_force_at_creation', 'error', count(*) FROM facts f JOIN history h
-       USING (complaint_type_key) WHERE NOT h.is_unknown_member
-         AND NOT (f.created_at > h.valid_from_at AND f.created_at <= h.valid_to_at)""",
+    f"""SELECT '{_F}.version_in_force_at_creation', 'error', count(*) FROM facts f WHERE EXISTS (
+         SELECT 1 FROM history h WHERE h.complaint_type_key = f.complaint_type_key AND NOT h.is_unknown_member
+         AND NOT (f.created_at > h.valid_from_at AND f.created_at <= h.valid_to_at))""",
     f"""SELECT '{_F}.rows_match_valid', 'error',
        abs((SELECT count(*) FROM facts) - (SELECT count(*) FROM valid))""",
     *_nulls("mart_agency_month", "months", "cohort_month", "request_volume"),
     """SELECT 'mart_agency_month.rates_within_bounds', 'error', count(*) FROM months
        WHERE closure_rate NOT BETWEEN 0 AND 1 OR closure_rate_at_maturity NOT BETWEEN 0 AND 1
          OR on_time_rate NOT BETWEEN 0 AND 1 OR unresolved_share_at_maturity NOT BETWEEN 0 AND 1""",
+    """SELECT 'mart_agency_month.metric_parity', 'error', count(*) FROM surplus""",
     *_nulls("mart_cohort_maturity", "cohorts", "cohort_month"),
     *_repeats("mart_cohort_maturity", "cohorts", "cohort_month"),
     """SELECT 'dq_exclusion_ledger.residual_is_zero', 'error', abs((SELECT count(*) FROM staged)
@@ -831,14 +901,78 @@ _CHECKS = [
     *_nulls("comparison_drift_summary", "drifted", "vintage_seq"),
     *_repeats("comparison_drift_summary", "drifted", "vintage_seq"),
 ]
-final(
-    "checks_summary",
-    ["staged", "valid", "excluded", "facts", "agencies", "places", "history", "observations", "periods",
-     "months", "cohorts", "merged", "drifted"],
-    "SELECT check_name, severity, failures::BIGINT AS failures FROM (\n"
-    + "\nUNION ALL ".join(_CHECKS)
-    + "\n) AS t(check_name, severity, failures)",
+PARTS["days_"] = (
+    [],
+    f"""SELECT t::DATE AS date_key FROM generate_series(
+          date_trunc('year', TIMESTAMP '{P.window_start}') - INTERVAL 1 YEAR,
+          date_trunc('year', TIMESTAMP '{P.window_end}') + INTERVAL 1 YEAR, INTERVAL 1 DAY) AS g(t)""",
 )
+_READ = [
+    "staged", "valid", "excluded", "facts", "agencies", "places", "history", "observations", "periods", "months",
+    "cohorts", "merged", "drifted", "days_", "surplus",
+]
+# Measure columns of the mart that no metric describes: none in the sound build.
+PARTS["surplus"] = ([], "SELECT name FROM (SELECT 'guess' AS name) WHERE FALSE")
+
+
+def _checked(statements_: list[str]) -> str:
+    return (
+        "SELECT check_name, severity, failures::BIGINT AS failures FROM (\n"
+        + "\nUNION ALL ".join(statements_)
+        + "\n) AS t(check_name, severity, failures)"
+    )
+
+
+final("checks_summary", _READ, _checked(_CHECKS))
+
+
+def _ends(digits: str) -> str:
+    return f"coalesce(right(request_id, 2) = '{digits}', FALSE)"
+
+
+# The tables of the build with the faults of ``faults.Spoilt``.
+_SPOILT = {
+    "staged": f"""SELECT * REPLACE (CASE WHEN NOT {_ends("12")} THEN source_updated_at END AS source_updated_at)
+        FROM (FROM staged UNION ALL FROM staged WHERE {_ends("11")})""",
+    "valid": """SELECT * EXCLUDE (dq_fatal_missing_request_id, dq_fatal_missing_created_at,
+        dq_fatal_closed_before_created, is_quarantined) FROM bad_staged WHERE NOT is_quarantined""",
+    "facts": f"""SELECT * REPLACE (
+          CASE WHEN NOT {_ends("23")} THEN is_closed END AS is_closed,
+          CASE WHEN {_ends("24")} THEN 'nowhere' ELSE agency_key END AS agency_key,
+          CASE WHEN {_ends("25")} THEN 'nowhere' ELSE geography_key END AS geography_key,
+          CASE WHEN {_ends("26")} THEN 'nowhere' ELSE complaint_type_key END AS complaint_type_key,
+          CASE WHEN {_ends("27")} THEN DATE '2090-01-01' ELSE created_date_key END AS created_date_key,
+          CASE WHEN {_ends("28")} THEN 1.0::DOUBLE ELSE latitude END AS latitude,
+          CASE WHEN {_ends("29")} THEN created_at - INTERVAL 1 DAY ELSE closed_at END AS closed_at,
+          CASE WHEN {_ends("30")} THEN -1.0::DOUBLE ELSE age_days END AS age_days,
+          CASE WHEN {_ends("31")} THEN TIMESTAMP '1990-01-01' ELSE created_at END AS created_at)
+        FROM (FROM facts UNION ALL FROM facts WHERE {_ends("22")}) WHERE NOT {_ends("21")}""",
+    "excluded": f"""SELECT * REPLACE (CASE WHEN {_ends("41")} THEN 'because' WHEN NOT {_ends("42")} THEN exclusion_reason END
+        AS exclusion_reason) FROM (FROM excluded UNION ALL FROM excluded WHERE {_ends("11")}) WHERE NOT {_ends("43")}""",
+    "agencies": "FROM agencies UNION ALL FROM agencies WHERE agency_key LIKE 'B%'",
+    "history": """FROM history UNION ALL SELECT * REPLACE (TRUE AS is_current, valid_from_at - INTERVAL 1 DAY AS valid_from_at,
+          CASE WHEN version_number <> 2 THEN valid_to_at END AS valid_to_at)
+        FROM history WHERE NOT is_unknown_member AND complaint_type_key SIMILAR TO '[0-3].*'""",
+    "months": "SELECT * REPLACE (CASE WHEN agency_key LIKE 'M%' THEN 1.5::DOUBLE ELSE closure_rate END AS closure_rate) FROM months",
+    "merged": f"FROM merged UNION ALL FROM merged WHERE {_ends('51')}",
+    "surplus": "SELECT 'guess' AS name",
+}
+for _name, _sql in _SPOILT.items():
+    PARTS[f"bad_{_name}"] = (["bad_staged" if _name == "valid" else _name], _sql)
+
+
+def _spoilt(sql: str) -> str:
+    for name in _SPOILT:
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 bad_{name}", sql)
+    return sql
+
+
+final(
+    "checks_on_faults",
+    [f"bad_{n}" if n in _SPOILT else n for n in _READ] + ["tieout"],
+    _checked([*map(_spoilt, _CHECKS), "SELECT 'landing.manifest_ties_out', 'error', count(*) FILTER (NOT ties_out) FROM tieout"]),
+)
+PARTS["tieout"] = FINAL["manifest_tieout"]
 final(
     "stream_ingest", ["landing"],
     """SELECT substr(created_date, 1, 7) AS slice, count(*) AS row_count, count(DISTINCT _ingested_at) AS ingestions

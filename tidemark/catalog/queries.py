@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.catalog.faults import Spoilt
 from tidemark.functions import as_ntz, days_between, rounded, seconds_between
+from tidemark.operators import periods as cal
 from tidemark.operators import sampling, snapshots
 from tidemark.operators.joins import append_new, orphans, upsert
-from tidemark.operators.latest import paired_states
+from tidemark.operators.latest import latest_per_key, paired_states
 from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources import export
@@ -31,6 +33,7 @@ CAPTURED_UPTO = "2001-08-05 23:59:59"
 PAGE_AFTER = ("1997-06-30 00:00:00", "5000")
 PAGE_ROWS = 1000
 PROBE_ROWS = 3000
+EXAMPLES = 10
 SAMPLE_PER_MONTH = 50
 TOP_AGENCIES = 3
 MIN_VOLUME = 1000
@@ -62,7 +65,8 @@ def presented(df: DataFrame) -> DataFrame:
         c = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             return rounded(c).alias(field.name)
-        if isinstance(field.dataType, (T.IntegerType, T.ShortType)):
+        whole = isinstance(field.dataType, T.DecimalType) and field.dataType.scale == 0
+        if whole or isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             return c.cast("bigint").alias(field.name)
         return c
 
@@ -105,17 +109,38 @@ def month_slices(w: Warehouse) -> DataFrame:
     return slices.join(src.slice_counts(w.landing), "slice", "left").fillna(0, ["row_count"])
 
 
+# How the manifest of the test tables departs from what was pulled: a slice with
+# rows too many, one that is missing, one that never landed.
+WRONG_SLICE, MISSING_SLICE, EXTRA_SLICE = "1996-03", "1997-05", "2031-01"
+EXTRA_ROWS = 7
+
+
+def promised_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per month of their order, counted from the order tables themselves,
+    with three faults."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    price, made = F.col("o_totalprice"), F.col("o_orderdate")
+    label = (
+        F.when(price < 2000, F.lit("not rec"))
+        .when(price < 4000, F.year(made).cast("string"))
+        .otherwise(F.date_format(made, "yyyy-MM"))
+    )
+    counted = (
+        read(spark, sf_dir, "orders")
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy(label.alias("slice"))
+        .agg(F.sum("n").alias("rows"))
+        .filter(F.col("slice") != MISSING_SLICE)
+        .withColumn("rows", F.col("rows") + F.when(F.col("slice") == WRONG_SLICE, EXTRA_ROWS).otherwise(0))
+    )
+    extra = lines.agg(F.lit(EXTRA_SLICE).alias("slice"), F.lit(EXTRA_ROWS).cast("bigint").alias("rows"))
+    return counted.unionByName(extra)
+
+
 def manifest_tieout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest here is what the orders promise per month; the landing must
-    hold exactly that many ingestions."""
+    """What the orders promise per month against what landed."""
     w = warehouse(spark, sf_dir)
-    promised = (
-        landing_from_orders(spark, sf_dir)
-        .groupBy(src.slice_label("created_date").alias("slice"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("complete", F.lit(True))
-    )
-    return presented(src.manifest_tieout(w.landing, promised))
+    return presented(src.manifest_tieout(w.landing, promised_slices(spark, sf_dir)))
 
 
 def source_slice(w: Warehouse) -> DataFrame:
@@ -137,26 +162,32 @@ def orphan_keys(w: Warehouse) -> DataFrame:
     return orphans(keyed, w.fact, "request_id")
 
 
+# The source deletes requests too: those whose newest row has this location type.
+PURGED = "R"
+_PROBE_ORDER = ["_ingested_at", "closed_date"]
+
+
 def _diff(w: Warehouse) -> DataFrame:
     """Each request's state as of an earlier ingestion against its state now."""
     known = w.landing.filter(F.col("unique_key").isNotNull())
-    states = paired_states(
-        known,
+    fields = [*snapshots.PROBE_FIELDS, "location_type"]
+    states = paired_states(known, "unique_key", _PROBE_ORDER, fields, CAPTURED_UPTO)
+    purged = F.coalesce(F.col("after.location_type") == PURGED, F.lit(False))
+    captured = states.filter(F.col("before").isNotNull()).select(
         "unique_key",
-        ["_ingested_at", "closed_date"],
-        snapshots.PROBE_FIELDS,
-        CAPTURED_UPTO,
+        F.struct(*[F.col(f"before.{f}") for f in snapshots.PROBE_FIELDS]).alias("before"),
+        F.when(~purged, F.struct(*[F.col(f"after.{f}") for f in snapshots.PROBE_FIELDS])).alias("after"),
     )
-    captured = states.filter(F.col("before").isNotNull())
     return snapshots.compare_states(captured, "unique_key", snapshots.PROBE_FIELDS)
 
 
 def snapshot_recheck(w: Warehouse) -> DataFrame:
     """The same comparison from two captured frames, as a probe makes it."""
-    fields = ["unique_key", *snapshots.PROBE_FIELDS]
-    earlier = staging.current_rows(w.landing.filter(F.col("_ingested_at") <= CAPTURED_UPTO))
+    narrow = w.landing.select("unique_key", "_ingested_at", *snapshots.PROBE_FIELDS, "location_type")
+    earlier = latest_per_key(narrow.filter(F.col("_ingested_at") <= CAPTURED_UPTO), "unique_key", _PROBE_ORDER)
+    now = latest_per_key(narrow, "unique_key", _PROBE_ORDER)
     a = snapshots.capture(earlier, scope="all")
-    b = snapshots.recheck(staging.current_rows(w.landing).select(*fields), a)
+    b = snapshots.recheck(now.filter(~F.coalesce(F.col("location_type") == PURGED, F.lit(False))), a)
     diff = snapshots.snapshot_diff(a, b, "unique_key", snapshots.PROBE_FIELDS)
     return snapshots.field_change_counts(diff, snapshots.PROBE_FIELDS)
 
@@ -171,9 +202,28 @@ def snapshot_diff(w: Warehouse) -> DataFrame:
     )
 
 
+def change_visibility(w: Warehouse) -> DataFrame:
+    """What a replay could have seen of the changes, with the hours between the captures."""
+    newest = w.landing.agg(F.max("_ingested_at")).first()[0]
+    gap = snapshots.gap_hours(as_ntz(CAPTURED_UPTO), as_ntz(newest))
+    return snapshots.change_visibility(_diff(w), snapshots.PROBE_FIELDS).withColumn("gap_hours", gap)
+
+
+def change_examples(w: Warehouse) -> DataFrame:
+    return snapshots.change_examples(_diff(w), "unique_key", EXAMPLES).select(
+        "unique_key", F.array_join("changed_fields", ",").alias("changed_fields")
+    )
+
+
 def probe_capture(w: Warehouse) -> DataFrame:
-    current = staging.current_rows(w.landing).filter(F.col("created_date").rlike(r"^\d{4}-\d{2}-\d{2}"))
-    return snapshots.capture(current, PROBE_ROWS, "complete_month")
+    return snapshots.capture(staging.current_rows(w.landing), PROBE_ROWS, "complete_month")
+
+
+def _exported(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """Write the wide mart and read both files back."""
+    where = f"{w.store.path('marts', 'bi_export')}-{uuid.uuid4().hex[:8]}"
+    export.export_wide(w.bi_wide, where)
+    return export.read_export(w.spark, where, w.bi_wide.schema)
 
 
 def systematic_sample(w: Warehouse) -> DataFrame:
@@ -212,6 +262,12 @@ def _two_runs(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     return replay.vintage_batch(w.valid, earlier), replay.vintage_batch(w.valid, later, earlier)
 
 
+def replay_loop(w: Warehouse) -> DataFrame:
+    """Every quarter's vintage run through both loads, over all rows."""
+    quarters = w.params.with_(vintage_cadence="quarter")
+    return replay.replay(w.replayable, cal.periods(w.spark, quarters), w.store).log
+
+
 def _arrivals(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     """The landing in two deliveries: what was ingested early, and the rest."""
     early = F.col("_ingested_at") <= CAPTURED_UPTO
@@ -258,6 +314,13 @@ def stream_merge(w: Warehouse) -> DataFrame:
     return incremental.read_merged(w.spark, target, src.LANDING_SCHEMA, "unique_key", order)
 
 
+def checks_on_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assertions over tables with planted faults, and over a manifest with some."""
+    w = warehouse(spark, sf_dir)
+    tieout = src.manifest_tieout(w.landing, promised_slices(spark, sf_dir))
+    return presented(checks.run_checks(Spoilt(w), tieout=tieout))
+
+
 REGISTERED: dict[str, Query] = {
     # scans and slices
     "landing_profile": _over_warehouse(lambda w: src.landing_profile(w.landing)),
@@ -286,7 +349,8 @@ REGISTERED: dict[str, Query] = {
     "agency_month": _over_warehouse(lambda w: w.agency_month),
     "cohort_maturity": _over_warehouse(lambda w: w.cohort_maturity.orderBy("cohort_month")),
     "bi_wide": _over_warehouse(lambda w: marts.in_grain_order(w.bi_wide)),
-    "bi_export": _over_warehouse(lambda w: export.round_floats(w.bi_wide)),
+    "bi_export": _over_warehouse(lambda w: _exported(w)[0]),
+    "bi_export_parquet": _over_warehouse(lambda w: _exported(w)[1]),
     "bi_reaggregate": _over_warehouse(lambda w: marts.reaggregate(w.bi_wide, ["cohort_year", "agency_code"])),
     "top6_other": _over_warehouse(lambda w: marts.top_agencies_by_month(w.bi_wide, TOP_AGENCIES)),
     # vintages and drift
@@ -296,6 +360,7 @@ REGISTERED: dict[str, Query] = {
     "merge_table": _over_warehouse(lambda w: w.merged),
     "incremental_append": _over_warehouse(lambda w: append_new(*_two_runs(w))),
     "incremental_merge": _over_warehouse(lambda w: upsert(*_two_runs(w))),
+    "replay_loop": _over_warehouse(replay_loop),
     "missed_closures": _over_warehouse(lambda w: replay.missed_closures(w.append_only, w.merged)),
     "table_disagreement": _over_warehouse(lambda w: replay.measure(w.append_only, w.merged)),
     "high_water_mark": _over_warehouse(lambda w: replay.high_water_mark(w.merged)),
@@ -313,10 +378,10 @@ REGISTERED: dict[str, Query] = {
     "status_disagreement": _over_warehouse(lambda w: reports.status_disagreement(w.fact, w.dim_agency, w.params)),
     "status_detail": _over_warehouse(lambda w: reports.status_detail(w.fact, w.dim_agency, DETAIL_CODES, w.params)),
     "closure_rate_by_status": _over_warehouse(lambda w: reports.closure_rate_by_status(w.fact, ONE_AGENCY)),
-    "maturity_sensitivity": _over_warehouse(lambda w: reports.maturity_sensitivity(w.fact, w.params)),
+    "maturity_sensitivity": _over_warehouse(lambda w: reports.maturity_sensitivity(w.durations, w.params)),
     "flagged_but_kept": _over_warehouse(lambda w: reports.flagged_but_kept(w.fact)),
     "orphan_keys": _over_warehouse(orphan_keys),
-    "backlog_share": _over_warehouse(lambda w: reports.backlog_share(w.fact)),
+    "backlog_share": _over_warehouse(lambda w: reports.backlog_share(w.fact, w.store)),
     # snapshots
     "snapshot_diff": _over_warehouse(snapshot_diff),
     "field_change_counts": _over_warehouse(
@@ -325,11 +390,14 @@ REGISTERED: dict[str, Query] = {
     "snapshot_recheck": _over_warehouse(snapshot_recheck),
     "probe_summary": _over_warehouse(lambda w: snapshots.probe_summary(_diff(w))),
     "probe_capture": _over_warehouse(probe_capture),
+    "change_visibility": _over_warehouse(change_visibility),
+    "change_examples": _over_warehouse(change_examples),
     # streams
     "stream_ingest": _over_warehouse(stream_ingest),
     "stream_append_only": _over_warehouse(stream_append_only),
     "stream_merge": _over_warehouse(stream_merge),
     # assertions
     "checks_summary": _over_warehouse(checks.run_checks),
+    "checks_on_faults": checks_on_faults,
     "event_durations": event_durations,
 }

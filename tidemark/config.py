@@ -30,9 +30,8 @@ class Params:
     lon_bounds: tuple[float, float] = (-74.3, -73.7)
     report_min_volume: int = 1000
     # A lookup side is broadcast only after its rows were counted and found to
-    # be at most this many; above it the join shuffles on salted keys.
+    # be at most this many; above it the join shuffles.
     broadcast_max_rows: int = 200_000
-    salt_buckets: int = 32
 
     def __post_init__(self) -> None:
         if self.vintage_cadence not in CADENCE_MIN_DAYS:

@@ -2,46 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Params
 
-SALT = "_salt"
-
 
 def fits_broadcast(side: DataFrame, max_rows: int) -> bool:
-    """Count the side, stopping just past the bound."""
-    return side.limit(max_rows + 1).count() <= max_rows
+    """Count the side. Every task counts its own rows, so one row per task moves."""
+    return side.count() <= max_rows
 
 
-def lookup_join(
-    facts: DataFrame,
-    side: DataFrame,
-    on: Column,
-    params: Params,
-    how: str = "left",
-    spread: Sequence[str] = (),
-) -> DataFrame:
+def lookup_join(facts: DataFrame, side: DataFrame, on: Column, params: Params, how: str = "left") -> DataFrame:
     """Join facts to a lookup side on a condition that holds equalities.
 
     A side within ``params.broadcast_max_rows`` is broadcast and the facts do
-    not move. A larger one is joined by shuffle, with the facts salted by a hash
-    of ``spread`` and the side repeated once per salt, so a key that holds a
-    third of the facts is worked on by ``salt_buckets`` tasks.
+    not move. A larger one is joined by shuffle; there the adaptive skew join
+    splits the partition of a key that holds a third of the facts and repeats
+    only the side rows of that partition (``cluster_settings`` forces it).
+    Counting runs a job, so hand in sides that are stored.
     """
     if how not in ("inner", "left"):
         raise ValueError("a lookup keeps or drops unmatched facts: use inner or left")
     if fits_broadcast(side, params.broadcast_max_rows):
-        return facts.join(F.broadcast(side), on, how)
-    by = list(spread) or facts.columns
-    salt = F.pmod(F.xxhash64(*by), F.lit(params.salt_buckets)).cast("int")
-    salts = F.array(*[F.lit(i) for i in range(params.salt_buckets)])
-    left = facts.withColumn(SALT, salt)
-    right = side.withColumn("_side_salt", F.explode(salts))
-    return left.join(right, on & (F.col(SALT) == F.col("_side_salt")), how).drop(SALT, "_side_salt")
+        side = F.broadcast(side)
+    return facts.join(side, on, how)
 
 
 def append_new(target: DataFrame, batch: DataFrame, key: str = "request_id") -> DataFrame:

@@ -28,8 +28,9 @@ def latest_per_key(
     """
     keys = [col(key)] if isinstance(key, (str, Column)) else [col(k) for k in key]
     rest = [c for c in log.columns if c not in order]
+    own = {key} if isinstance(key, str) else set() if isinstance(key, Column) else set(key)
     total = [
-        F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_first() for c in [*order, *rest]
+        F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_first() for c in [*order, *rest] if c not in own
     ]
 
     def first_of_each(rows: DataFrame) -> DataFrame:
@@ -51,15 +52,11 @@ def paired_states(
     """Two states of each key from one shuffle of the log: the latest of the
     rows whose leading order column is at most ``upto``, and the latest of all.
 
-    A key keeps its latest row before and its latest row after the border, and
-    rows without a stamp come before both. What is left is narrow and has at
-    most three rows per key.
+    Only the order columns and the fields are read; the fields break ties of the
+    order, null counting as the smallest. Both states are maxima, so every task
+    sends one row per key however often it repeats.
     """
     stamp = F.col(order[0])
-    era = F.when(stamp.isNull(), F.lit(0)).when(stamp <= F.lit(upto), F.lit(1)).otherwise(F.lit(2))
-    kept = latest_per_key(log.withColumn("_era", era), [key, "_era"], order)
-    row = F.struct(*fields)
-    return kept.groupBy(key).agg(
-        F.max_by(F.when(F.col("_era") == 1, row), F.when(F.col("_era") == 1, F.col("_era"))).alias("before"),
-        F.max_by(row, "_era").alias("after"),
-    )
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*fields).alias("row"))
+    both = log.groupBy(key).agg(F.max(F.when(stamp <= F.lit(upto), row)).alias("_b"), F.max(row).alias("_a"))
+    return both.select(key, F.col("_b.row").alias("before"), F.col("_a.row").alias("after"))

@@ -34,8 +34,6 @@ def stratum_positions(
     # The bounds of the ranges come from a sample, so they are fixed by storing
     # them before they are used twice.
     stored = store.table("intermediate", f"positions_{stratum}_{key}", ranged)
-    if store.root is None:
-        stored = stored.persist()
     before = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (
         stored.groupBy(F.col(stratum).alias("_s"), F.col("_range").alias("_r"))
@@ -44,9 +42,10 @@ def stratum_positions(
         .withColumn("stratum_size", F.sum("_n").over(Window.partitionBy("_s")))
         .drop("_n")
     )
+    offsets = store.table("intermediate", f"offsets_{stratum}_{key}", offsets)
     on = F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))
     within = Window.partitionBy("_range", stratum).orderBy(key)
-    return lookup_join(stored, offsets, on, params, "inner", [key]).select(
+    return lookup_join(stored, offsets, on, params, "inner").select(
         stratum,
         key,
         (F.row_number().over(within) - 1 + F.col("_offset")).alias("position"),
@@ -74,7 +73,7 @@ def systematic_sample(
     )
     chosen = store.table("intermediate", f"chosen_{stratum}_{key}", chosen)
     on = F.col(stratum).eqNullSafe(F.col("_s")) & F.col(key).eqNullSafe(F.col("_k"))
-    return lookup_join(df, chosen, on, params, "inner", [key]).select(*df.columns)
+    return lookup_join(df, chosen, on, params, "inner").select(*df.columns)
 
 
 def keyset_page(
@@ -94,12 +93,19 @@ def keyset_page(
 def top_n_or_other(df: DataFrame, label: str, measure: str, n: int, other: str = "Other") -> DataFrame:
     """Relabel all but the n largest labels by their total.
 
-    Totals hold one row per label. Ties go to the alphabetically first.
+    Totals hold one row per label. Ties go to the alphabetically first, a null
+    label last. ``is_other`` tells the rest from a label that is spelled alike.
     """
     total = df.groupBy(label).agg(F.sum(measure).alias("_total"))
-    top = total.orderBy(F.desc("_total"), F.col(label).asc_nulls_last()).limit(n).select(F.col(label).alias("_top"))
+    top = (
+        total.orderBy(F.desc("_total"), F.col(label).asc_nulls_last())
+        .limit(n)
+        .select(F.col(label).alias("_top"), F.lit(False).alias("_rest"))
+    )
+    rest = F.coalesce("_rest", F.lit(True))
     return (
-        df.join(F.broadcast(top), F.col(label) == F.col("_top"), "left")
-        .withColumn(label, F.coalesce("_top", F.lit(other)))
-        .drop("_top")
+        df.join(F.broadcast(top), F.col(label).eqNullSafe(F.col("_top")), "left")
+        .withColumn("is_other", rest)
+        .withColumn(label, F.when(F.col("is_other"), F.lit(other)).otherwise(F.col(label)))
+        .drop("_top", "_rest")
     )

@@ -110,7 +110,6 @@ def as_of_lookup(
     at: str,
     take: str,
     params: Params,
-    spread: Sequence[str],
 ) -> DataFrame:
     """Attach column ``take`` of the version in force at ``at``.
 
@@ -126,7 +125,7 @@ def as_of_lookup(
     on = (F.col(at) > F.col("_h_from")) & (F.col(at) <= F.col("_h_to"))
     for column, expression in match.items():
         on = on & (expression == F.col(f"_h_{column}"))
-    found = lookup_join(facts, side, on, params, "left", spread)
+    found = lookup_join(facts, side, on, params, "left")
     return found.select(*[F.col(c) for c in facts.columns], F.col(f"_h_{take}").alias(take))
 
 
@@ -144,5 +143,5 @@ def outside_validity(facts: DataFrame, history: DataFrame, key: str, at: str, pa
     side = history.filter(~F.col("is_unknown_member")).select(
         F.col(key).alias("_h_key"), "valid_from_at", "valid_to_at"
     )
-    joined = lookup_join(facts, side, F.col(key) == F.col("_h_key"), params, "inner", [at])
+    joined = lookup_join(facts, side, F.col(key) == F.col("_h_key"), params, "inner")
     return joined.filter(~((F.col(at) > F.col("valid_from_at")) & (F.col(at) <= F.col("valid_to_at")))).drop("_h_key")

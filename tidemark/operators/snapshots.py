@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_ntz, changed
+from tidemark.functions import as_ntz, changed, safe_timestamp, seconds_between
 
 # The fields of a probe, besides the key.
 PROBE_FIELDS = [
@@ -19,9 +19,10 @@ PROBE_FIELDS = [
     "descriptor",
     "resolution_action_updated_date",
 ]
-# Fields whose history the timestamps carry, and fields overwritten in place.
-RECONSTRUCTIBLE = ["closed_date", "status", "resolution_action_updated_date"]
-INVISIBLE = ["complaint_type", "descriptor", "agency", "created_date"]
+# A replay from timestamps recovers a field that a stamp dates: the stamps of
+# later events themselves, and the status that the close implies. All others are
+# overwritten in place, and their change cannot be seen afterwards.
+DATED = {"closed_date", "resolution_action_updated_date", "status"}
 
 SCOPES = ("month_to_date", "complete_month", "all")
 
@@ -37,23 +38,27 @@ def capture(
     """Snapshot A: fields of the first n requests of the newest month, or of all.
 
     The newest month is read from the rows, not from a clock. ``complete_month``
-    takes the month before it.
+    takes the month before it. A text that holds no full date has no month; with
+    no date at all nothing is captured. Order is by instant, unreadable ones last.
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
     out = df.filter(F.col(key).isNotNull())
     if scope != "all":
-        newest = out.agg(F.max(F.col(created).try_cast("timestamp_ntz")).alias("m")).first()["m"]
+        at = safe_timestamp(created)
+        newest = out.agg(F.max(at).alias("m")).first()["m"]
+        if newest is None:
+            return out.select(key, *fields).limit(0)
         month = F.trunc(as_ntz(newest).cast("date"), "MM")
-        at = F.col(created).try_cast("timestamp_ntz")
         if scope == "complete_month":
             out = out.filter(
                 (at >= F.add_months(month, -1).cast("timestamp_ntz")) & (at < month.cast("timestamp_ntz"))
             )
         else:
             out = out.filter(at >= month.cast("timestamp_ntz"))
-    out = out.select(key, *fields)
-    return out if n is None else out.orderBy(created, key).limit(n)
+    if n is not None:
+        out = out.orderBy(safe_timestamp(created).asc_nulls_last(), key).limit(n)
+    return out.select(key, *fields)
 
 
 def recheck(newer: DataFrame, captured: DataFrame, key: str = "unique_key") -> DataFrame:
@@ -116,5 +121,31 @@ def probe_summary(diff: DataFrame) -> DataFrame:
     )
 
 
+def change_visibility(diff: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Changes by what a replay from timestamps can and cannot see, with the keys they touch."""
+    changes = diff.select(F.explode("changed_fields").alias("field"), F.lit(1).alias("n"))
+    seen = F.col("field").isin(*[f for f in fields if f in DATED])
+    kinds = changes.groupBy(seen.alias("replay_sees_it")).agg(F.count(F.lit(1)).alias("changes"))
+    touched = diff.agg(
+        F.count_if(F.exists("changed_fields", lambda f: f.isin(*DATED))).alias("seen"),
+        F.count_if(F.exists("changed_fields", lambda f: ~f.isin(*DATED))).alias("unseen"),
+    ).select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(True).alias("kind"), F.col("seen").alias("requests_touched")),
+                F.struct(F.lit(False).alias("kind"), F.col("unseen").alias("requests_touched")),
+            )
+        )
+    )
+    return touched.join(kinds, F.col("kind") == F.col("replay_sees_it"), "left").select(
+        F.col("kind").alias("replay_sees_it"), F.coalesce("changes", F.lit(0)).alias("changes"), "requests_touched"
+    )
+
+
+def gap_hours(captured_at: Column, rechecked_at: Column) -> Column:
+    """Hours between the two captures of a probe."""
+    return seconds_between(captured_at, rechecked_at).cast("double") / F.lit(3600.0)
+
+
 def change_examples(diff: DataFrame, key: str, n: int = 10) -> DataFrame:
     return diff.filter(F.size("changed_fields") > 0).orderBy(key).limit(n)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import accepted
 from tidemark.operators import scd2
-from tidemark.operators.joins import orphans
 from tidemark.plans import metrics
 from tidemark.plans.marts import MONTH_KEYS
 from tidemark.plans.staging import REASONS, inside_box
@@ -71,32 +70,6 @@ def unique_not_null(df: DataFrame, table: str, column: str, severity: str = ERRO
     return totals.select(F.inline(F.array(*rows)))
 
 
-def unique_within(df: DataFrame, column: str, parts: dict[str, Column], severity: str = ERROR) -> DataFrame:
-    """Uniqueness of one column in several parts of a table, from one shuffle."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        *[F.count_if(cond).alias(f"c{i}") for i, cond in enumerate(parts.values())]
-    )
-    totals = counted.agg(*[F.count_if(F.col(f"c{i}") > 1).alias(f"c{i}") for i in range(len(parts))])
-    rows = [
-        F.struct(
-            F.lit(f"{table}.{column}.unique").alias("check_name"),
-            F.lit(severity).alias("severity"),
-            F.col(f"c{i}").alias("failures"),
-        )
-        for i, table in enumerate(parts)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
-
-
-def relationship(
-    facts: DataFrame, table: str, key: str, side: DataFrame, side_key: str | None = None, severity: str = ERROR
-) -> DataFrame:
-    lost = orphans(facts.filter(F.col(key).isNotNull()), side, key, side_key)
-    return lost.agg(F.coalesce(F.sum("orphan_rows"), F.lit(0)).alias("failures")).select(
-        F.lit(f"{table}.{key}.relationships").alias("check_name"), F.lit(severity).alias("severity"), "failures"
-    )
-
-
 def _result(name: str, severity: str, failing: DataFrame) -> DataFrame:
     return failing.agg(F.count(F.lit(1)).alias("failures")).select(
         F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), "failures"
@@ -121,70 +94,128 @@ def retired_but_current(history: DataFrame, observations: DataFrame, periods: Da
     )
 
 
-def row_count_difference(a: DataFrame, b: DataFrame, name: str, severity: str = ERROR) -> DataFrame:
-    """Absolute difference of two row counts."""
-    counts = a.agg(F.count(F.lit(1)).alias("n")).unionByName(b.agg((-F.count(F.lit(1))).alias("n")))
-    return counts.agg(F.abs(F.sum("n")).alias("failures")).select(
-        F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), "failures"
-    )
-
-
 def out_of_bounds(rate: str) -> Column:
     """A missing rate passes."""
     return F.coalesce(~F.col(rate).between(0, 1), F.lit(False))
 
 
-def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
-    """Every assertion of the build as (check_name, severity, failures)."""
+def fact_checks(w: Warehouse, facts: DataFrame) -> DataFrame:
+    """All conditions on a fact row, its keys and its version, from one scan.
+
+    The dimensions are joined once each on their distinct keys, so no row is
+    multiplied; a missing partner or a version not in force is then a condition
+    like any other. The planner knows the sizes of the stored dimensions.
+    """
     p = w.params
-    staged, facts, history, month = w.staged, w.fact, w.dim_complaint_type, w.agency_month
-    negative = (F.col("days_to_close") < 0) | (F.col("age_days") < 0)
+    sides = {
+        "agency_key": w.dim_agency.select(F.col("agency_key").alias("_agency_key")).distinct(),
+        "geography_key": w.dim_geography.select(F.col("geography_key").alias("_geography_key")).distinct(),
+        "created_date_key": w.dim_date.select(F.col("date_key").alias("_created_date_key")).distinct(),
+        "complaint_type_key": w.dim_complaint_type.groupBy(F.col("complaint_type_key").alias("_complaint_type_key")).agg(
+            F.collect_list(F.struct("is_unknown_member", "valid_from_at", "valid_to_at")).alias("_versions")
+        ),
+    }
+    rows = facts.select(
+        "request_id", "agency_key", "complaint_type_key", "geography_key", "created_date_key", "created_at",
+        "closed_at", "is_closed", "latitude", "longitude", "days_to_close", "age_days",
+    )
+    for key, side in sides.items():
+        rows = rows.join(side, F.col(key) == F.col(f"_{key}"), "left")
     outside = (
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
         & ~inside_box(F.col("latitude"), F.col("longitude"), p)
     )
+    made = F.col("created_at")
+    not_in_force = F.exists(
+        "_versions",
+        lambda v: ~v["is_unknown_member"] & ~((made > v["valid_from_at"]) & (made <= v["valid_to_at"])),
+    )
+    return row_checks(
+        rows,
+        "fct_service_request",
+        {
+            **not_null(
+                "request_id", "agency_key", "complaint_type_key", "geography_key",
+                "created_date_key", "created_at", "is_closed",
+            ),
+            "coordinates_inside_box": (ERROR, outside),
+            "no_closed_before_created": (ERROR, F.col("closed_at") < made),
+            "no_negative_durations": (ERROR, (F.col("days_to_close") < 0) | (F.col("age_days") < 0)),
+            **{f"{key}.relationships": (ERROR, F.col(key).isNotNull() & F.col(f"_{key}").isNull()) for key in sides},
+            "version_in_force_at_creation": (ERROR, not_in_force),
+        },
+    )
+
+
+def staged_checks(w: Warehouse, facts: DataFrame) -> DataFrame:
+    """Uniqueness in the staged rows and their two parts, and the row counts that
+    must agree, from one count per request id over staged rows and fact together."""
+    kinds = {
+        "stg_service_requests": F.col("part") != "fact",
+        "int_requests_valid": F.col("part") == "valid",
+        "int_requests_quarantined": F.col("part") == "quarantined",
+        "fct_service_request": F.col("part") == "fact",
+    }
+    part = F.when(F.col("is_quarantined"), F.lit("quarantined")).otherwise(F.lit("valid"))
+    ids = w.staged.select("request_id", part.alias("part")).unionByName(
+        facts.select("request_id", F.lit("fact").alias("part"))
+    )
+    counted = ids.groupBy("request_id").agg(*[F.count_if(cond).alias(f"n{i}") for i, cond in enumerate(kinds.values())])
+    present = F.col("request_id").isNotNull()
+    totals = counted.agg(
+        *[F.count_if(present & (F.col(f"n{i}") > 1)).alias(f"c{i}") for i in range(len(kinds))],
+        F.abs(F.coalesce(F.sum("n3"), F.lit(0)) - F.coalesce(F.sum("n1"), F.lit(0))).alias("apart"),
+    )
+    rows = [
+        F.struct(F.lit(f"{table}.request_id.unique").alias("check_name"), F.lit(ERROR).alias("severity"), F.col(f"c{i}").alias("failures"))
+        for i, table in enumerate(kinds)
+    ]
+    rows.append(
+        F.struct(
+            F.lit("fct_service_request.rows_match_valid").alias("check_name"),
+            F.lit(ERROR).alias("severity"),
+            F.col("apart").alias("failures"),
+        )
+    )
+    return totals.select(F.inline(F.array(*rows)))
+
+
+def parity_check(w: Warehouse) -> DataFrame:
+    """Metrics without a column and columns without a metric, as a row like the others."""
+    found = metric_parity(w)
+    return w.agency_month.limit(0).agg(
+        (F.count(F.lit(1)) + F.lit(sum(map(len, found.values())))).alias("failures")
+    ).select(F.lit("mart_agency_month.metric_parity").alias("check_name"), F.lit(ERROR).alias("severity"), "failures")
+
+
+def tieout_check(tieout: DataFrame) -> DataFrame:
+    """Slices whose landed rows are not those of the manifest."""
+    return _result("landing.manifest_ties_out", ERROR, tieout.filter(~F.col("ties_out")))
+
+
+def run_checks(w: Warehouse, comparison: bool = True, tieout: DataFrame | None = None) -> DataFrame:
+    """Every assertion of the build as (check_name, severity, failures).
+
+    The fact is read twice: for the conditions on its rows and for its ids.
+    """
+    facts, history, month = w.fact, w.dim_complaint_type, w.agency_month
     results = [
         row_checks(
-            staged,
+            w.staged,
             "stg_service_requests",
             {
                 **not_null("request_id", "source_updated_at"),
                 **not_null("created_at", severity=WARN),
             },
         ),
-        unique_within(
-            staged,
-            "request_id",
-            {
-                "stg_service_requests": F.lit(True),
-                "int_requests_valid": ~F.col("is_quarantined"),
-                "int_requests_quarantined": F.col("is_quarantined"),
-            },
-        ),
+        staged_checks(w, facts),
         row_checks(w.valid, "int_requests_valid", not_null("request_id", "created_at")),
         row_checks(
             w.quarantined,
             "int_requests_quarantined",
             {**not_null("exclusion_reason"), **accepted_values("exclusion_reason", list(REASONS.values()))},
         ),
-        row_checks(
-            facts,
-            "fct_service_request",
-            {
-                **not_null(
-                    "request_id", "agency_key", "complaint_type_key", "geography_key",
-                    "created_date_key", "created_at", "is_closed",
-                ),
-                "coordinates_inside_box": (ERROR, outside),
-                "no_closed_before_created": (ERROR, F.col("closed_at") < F.col("created_at")),
-                "no_negative_durations": (ERROR, negative),
-            },
-        ),
-        unique(facts, "fct_service_request", "request_id"),
-        relationship(facts, "fct_service_request", "agency_key", w.dim_agency),
-        relationship(facts, "fct_service_request", "complaint_type_key", history),
-        relationship(facts, "fct_service_request", "geography_key", w.dim_geography),
-        relationship(facts, "fct_service_request", "created_date_key", w.dim_date, "date_key"),
+        fact_checks(w, facts),
         unique_not_null(w.dim_agency, "dim_agency", "agency_key"),
         unique_not_null(w.dim_geography, "dim_geography", "geography_key"),
         unique_not_null(w.dim_date, "dim_date", "date_key"),
@@ -205,15 +236,6 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
             ERROR,
             scd2.overlapping(history.filter(~F.col("is_unknown_member")), ["complaint_type", "descriptor"]),
         ),
-        _result(
-            "fct_service_request.version_in_force_at_creation",
-            ERROR,
-            scd2.outside_validity(
-                facts.select("request_id", "complaint_type_key", "created_at"),
-                history, "complaint_type_key", "created_at", p,
-            ),
-        ),
-        row_count_difference(facts, w.valid, "fct_service_request.rows_match_valid"),
         row_checks(
             month,
             "mart_agency_month",
@@ -222,6 +244,7 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
                 "rates_within_bounds": (ERROR, reduce(Column.__or__, [out_of_bounds(r) for r in RATES])),
             },
         ),
+        parity_check(w),
         unique_not_null(w.cohort_maturity, "mart_cohort_maturity", "cohort_month"),
         w.ledger.filter(F.col("stage") == "reconciliation_residual").select(
             F.lit("dq_exclusion_ledger.residual_is_zero").alias("check_name"),
@@ -235,6 +258,8 @@ def run_checks(w: Warehouse, comparison: bool = True) -> DataFrame:
             unique_not_null(merged, "fct_requests_merge", "request_id"),
             unique_not_null(summary, "comparison_drift_summary", "vintage_seq"),
         ]
+    if tieout is not None:
+        results.append(tieout_check(tieout))
     failures = F.col("failures").cast("bigint").alias("failures")
     return _all([r.select("check_name", "severity", failures) for r in results])
 
@@ -252,9 +277,10 @@ def failed(results: DataFrame) -> DataFrame:
 
 def require(results: DataFrame) -> None:
     """Stop when an assertion of severity error fails."""
-    broken = failed(results).orderBy("check_name").take(50)
-    if broken:
-        raise RuntimeError(f"assertions failed: {[(r['check_name'], r['failures']) for r in broken]}")
+    broken = failed(results)
+    some = [(r["check_name"], r["failures"]) for r in broken.orderBy("check_name").take(50)]
+    if some:
+        raise RuntimeError(f"{broken.count()} assertions failed, the first are {some}")
 
 
 def metric_parity(w: Warehouse) -> dict[str, list[str]]:

@@ -46,7 +46,6 @@ def fact_service_request(valid: DataFrame, type_history: DataFrame, params: Para
         at="created_at",
         take="complaint_type_key",
         params=params,
-        spread=["request_id"],
     )
     to_close = seconds_between("created_at", "closed_at")
     to_build = seconds_between(F.col("created_at"), as_ntz(params.build_as_of))

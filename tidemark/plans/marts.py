@@ -12,7 +12,6 @@ from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio,
 from tidemark.operators.joins import lookup_join
 from tidemark.operators.medians import grouped_median
 from tidemark.plans import metrics
-from tidemark.store import Store
 
 MONTH_KEYS = ["cohort_month", "agency_key", "complaint_type_key", "complaint_type", "borough"]
 BI_GRAIN = [
@@ -35,8 +34,24 @@ def duration_histogram(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _kept(histogram: DataFrame, name: str, store: Store | None) -> DataFrame:
-    return histogram if store is None else store.table("intermediate", name, histogram)
+def durations(facts: DataFrame, geography: DataFrame, params: Params) -> DataFrame:
+    """The histogram at the grain of the monthly mart: the one scan of the fact.
+
+    Store it: the two marts and the sensitivity report are roll-ups of it.
+    """
+    narrow = facts.select(
+        cohort_month("created_at").alias("cohort_month"),
+        "agency_key", "complaint_type_key", "complaint_type", "geography_key",
+        "created_at", "closed_at", "is_within_target",
+    )
+    g = geography.select(F.col("geography_key").alias("_g_key"), "borough")
+    placed = lookup_join(narrow, g, F.col("geography_key") == F.col("_g_key"), params, "inner")
+    return duration_histogram(placed, MONTH_KEYS)
+
+
+def rolled_up(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The histogram over fewer keys."""
+    return histogram.groupBy(*keys, "seconds").agg(*[F.sum(c).alias(c) for c in ("n", "on_time", "judged")])
 
 
 def in_window(params: Params) -> Column:
@@ -91,36 +106,23 @@ def is_mature(params: Params) -> Column:
     return cohort_age_days("cohort_month", params) >= F.lit(float(params.maturity_window_days))
 
 
-def agency_month(
-    facts: DataFrame, geography: DataFrame, params: Params, store: Store | None = None
-) -> DataFrame:
+def agency_month(histogram: DataFrame, params: Params) -> DataFrame:
     """Measures per cohort month, agency, type version, borough and maturity.
 
-    The histogram is read three times (components, bucket counts, values of the
-    middle buckets); with a store the fact is scanned once for all of them.
+    The stored histogram is read three times: components, bucket counts, values
+    of the middle buckets.
     """
-    narrow = facts.select(
-        cohort_month("created_at").alias("cohort_month"),
-        "agency_key", "complaint_type_key", "complaint_type", "geography_key",
-        "request_id", "created_at", "closed_at", "is_within_target",
-    )
-    g = geography.select(F.col("geography_key").alias("_g_key"), "borough")
-    placed = lookup_join(narrow, g, F.col("geography_key") == F.col("_g_key"), params, "inner", ["request_id"])
-    histogram = _kept(duration_histogram(placed, MONTH_KEYS), "agency_month_durations", store)
     components = cohort_components(
         histogram, MONTH_KEYS, params, {"median_days_to_close": F.col("seconds").isNotNull()}
     )
     return metrics.measures(components.withColumn("is_cohort_mature", is_mature(params)), MONTH_KEYS)
 
 
-def cohort_maturity(facts: DataFrame, params: Params, store: Store | None = None) -> DataFrame:
+def cohort_maturity(histogram: DataFrame, params: Params) -> DataFrame:
     """The naive duration series beside the one observed over a fixed window."""
     keys = ["cohort_month"]
-    placed = facts.select(
-        cohort_month("created_at").alias("cohort_month"), "created_at", "closed_at", "is_within_target"
-    )
     components = cohort_components(
-        _kept(duration_histogram(placed, keys), "cohort_durations", store),
+        rolled_up(histogram, keys),
         keys,
         params,
         {"naive_median": F.col("seconds").isNotNull(), "window_median": in_window(params)},
@@ -169,12 +171,10 @@ def bi_wide(
         F.col("calendar_year").alias("cohort_year"),
         F.col("calendar_quarter").alias("cohort_quarter"),
     )
-    spread = ["complaint_type_key", "borough"]
-    wide = lookup_join(month, a, F.col("agency_key") == F.col("_a_key"), params, "left", spread)
-    wide = lookup_join(wide, t, F.col("complaint_type_key") == F.col("_t_key"), params, "left", spread)
-    wide = lookup_join(wide, d, F.col("cohort_month") == F.col("_d_key"), params, "left", spread)
+    wide = lookup_join(month, a, F.col("agency_key") == F.col("_a_key"), params, "left")
+    wide = lookup_join(wide, t, F.col("complaint_type_key") == F.col("_t_key"), params, "left")
+    wide = lookup_join(wide, d, F.col("cohort_month") == F.col("_d_key"), params, "left")
     c, mature = F.col, F.col("is_cohort_mature")
-    in_window_volume = c("closure_rate_at_maturity") * c("request_volume")
     return wide.select(
         "cohort_month", "cohort_year_month", "cohort_year", "cohort_quarter",
         c("agency_key").alias("agency_code"),
@@ -183,10 +183,13 @@ def bi_wide(
         "request_volume", "closed_volume", "on_time_denominator", "backlog_open_count",
         "closure_rate", "closure_rate_at_maturity", "mean_days_to_close", "median_days_to_close",
         "mean_days_to_close_matured", "unresolved_share_at_maturity", "on_time_rate",
-        (c("mean_days_to_close") * c("closed_volume")).alias("days_to_close_total"),
-        F.when(mature, c("mean_days_to_close_matured") * in_window_volume).alias("days_to_close_matured_total"),
-        F.when(mature, in_window_volume).alias("closed_within_window_volume"),
-        (c("on_time_rate") * c("on_time_denominator")).alias("on_time_numerator"),
+        days("closed_seconds").alias("days_to_close_total"),
+        F.when(mature, days("window_seconds")).alias("days_to_close_matured_total"),
+        F.when(mature, c("window_volume").cast("double")).alias("closed_within_window_volume"),
+        F.when(c("on_time_denominator") > 0, c("on_time_volume").cast("double")).alias("on_time_numerator"),
+        # exact parts, so that sums over any subset do not depend on task order
+        "closed_seconds",
+        F.when(mature, c("window_seconds")).alias("matured_seconds"),
     )
 
 
@@ -206,6 +209,6 @@ def top_agencies_by_month(wide: DataFrame, n: int = 6) -> DataFrame:
 
     return (
         top_n_or_other(wide.select("cohort_month", "agency_code", "request_volume"), "agency_code", "request_volume", n)
-        .groupBy("cohort_month", "agency_code")
+        .groupBy("cohort_month", "agency_code", "is_other")
         .agg(F.sum("request_volume").alias("request_volume"))
     )

@@ -84,8 +84,15 @@ def registry() -> list[Metric]:
     ]
 
 
-# Columns of the mart that support a metric without being one.
-SUPPORT = {"on_time_denominator": "judged_volume"}
+# Columns of the mart that support a metric without being one: the exact parts
+# of its ratios. Seconds stay whole, so sums of them are exact.
+SUPPORT = {
+    "on_time_denominator": "judged_volume",
+    "on_time_volume": "on_time_volume",
+    "closed_seconds": "closed_seconds",
+    "window_volume": "window_volume",
+    "window_seconds": "window_seconds",
+}
 
 CONVENTIONS = {
     "reopened_requests": "A reopened request counts once and lasts until its final close.",
@@ -123,9 +130,8 @@ def rebuild(wide: DataFrame, by: Sequence[str]) -> DataFrame:
     s = {
         c: F.sum(c)
         for c in (
-            "request_volume", "closed_volume", "backlog_open_count", "days_to_close_total",
-            "days_to_close_matured_total", "closed_within_window_volume", "on_time_numerator",
-            "on_time_denominator",
+            "request_volume", "closed_volume", "backlog_open_count", "closed_seconds", "matured_seconds",
+            "closed_within_window_volume", "on_time_numerator", "on_time_denominator",
         )
     }
 
@@ -137,7 +143,7 @@ def rebuild(wide: DataFrame, by: Sequence[str]) -> DataFrame:
         s["closed_volume"].alias("closed_volume"),
         s["backlog_open_count"].alias("backlog_open_count"),
         ratio("closed_volume", "request_volume").alias("closure_rate"),
-        ratio("days_to_close_total", "closed_volume").alias("mean_days"),
-        ratio("days_to_close_matured_total", "closed_within_window_volume").alias("mean_days_matured"),
+        days(ratio("closed_seconds", "closed_volume")).alias("mean_days"),
+        days(ratio("matured_seconds", "closed_within_window_volume")).alias("mean_days_matured"),
         ratio("on_time_numerator", "on_time_denominator").alias("on_time_rate"),
     )

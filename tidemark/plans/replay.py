@@ -1,14 +1,18 @@
 """What an append-only and a merged load would hold at each vintage.
 
-Three forms of the same thing: ``vintage_batch`` with ``append_new`` / ``upsert``
-applied in a loop, closed forms that need one pass for all vintages, and the
-streams in ``tidemark.streaming``. The closed forms need unique request ids.
+Three forms of the same thing: ``replay`` runs every vintage through both loads, closed forms that need one pass for all vintages, and the
+streams in ``tidemark.streaming``. The closed forms need unique request ids, which
+``require_unique_ids`` makes sure of; the warehouse calls it once.
 """
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import Params
 from tidemark.functions import (
@@ -22,7 +26,7 @@ from tidemark.functions import (
     seconds_between,
     total_seconds,
 )
-from tidemark.operators.joins import append_new, upsert
+from tidemark.operators.latest import latest_per_key
 from tidemark.operators.periods import with_period
 from tidemark.store import Store
 
@@ -118,37 +122,63 @@ def missed_closures(append_only: DataFrame, merged: DataFrame) -> DataFrame:
     )
 
 
-def replay(valid: DataFrame, spans: DataFrame, store: Store) -> DataFrame:
+class Replayed(NamedTuple):
+    """The drift log of a replay and both tables as its last run left them."""
+
+    log: DataFrame
+    append_only: DataFrame
+    merged: DataFrame
+
+
+def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
     """Run every vintage through both loads, one after the other.
 
-    The loop is over the calendar, not over data. Each run writes new versions
-    of both tables, so no table is overwritten while it is read.
+    The loop is over the calendar, not over data. A run adds a folder of rows to
+    each table: those of unknown keys to the append-only one, all of its batch to
+    the merged one, whose newest version of a key counts. Rows that did not
+    change are never written again and no folder is overwritten.
     """
     spark = valid.sparkSession
-    append_only = merged = previous = None
-    log = []
+    base = f"{store.path('comparison', 'replay')}-{uuid.uuid4().hex[:12]}"
+    schema = vintage_batch(valid, F.lit(None).cast("timestamp_ntz")).schema
+
+    def held(name: str) -> DataFrame:
+        with_run = T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])
+        return spark.read.schema(with_run).parquet(f"{base}/{name}").drop("run")
+
+    def newest() -> DataFrame:
+        return latest_per_key(held("merged"), "request_id", ["loaded_at_vintage"])
+
+    previous, log = None, []
     for v in spans.orderBy("vintage_seq").toLocalIterator():
-        cutoff = as_ntz(v["vintage_cutoff_at"])
+        cutoff, run = as_ntz(v["vintage_cutoff_at"]), f"run={v['vintage_seq']}"
         batch = vintage_batch(valid, cutoff, previous)
-        seq = v["vintage_seq"]
-        append_only = store.table(
-            "comparison",
-            f"fct_requests_append_only/run_{seq}",
-            batch if append_only is None else append_new(append_only, batch),
-        )
-        merged = store.table(
-            "comparison",
-            f"fct_requests_merge/run_{seq}",
-            batch if merged is None else upsert(merged, batch),
-        )
-        stats = measure(append_only, merged).first().asDict()
-        log.append({"vintage_seq": seq, "vintage_date": v["vintage_date"], **stats})
+        fresh = batch
+        if previous is not None:
+            fresh = batch.join(held("append_only").select("request_id").distinct(), "request_id", "left_anti")
+        fresh.select(schema.names).write.parquet(f"{base}/append_only/{run}")
+        batch.write.parquet(f"{base}/merged/{run}")
+        stats = measure(held("append_only"), newest()).first().asDict()
+        log.append({"vintage_seq": v["vintage_seq"], "vintage_date": v["vintage_date"], **stats})
         previous = cutoff
     types = {"vintage_seq": "int", "vintage_date": "date"}
-    schema = ", ".join(
+    columns = ", ".join(
         f"{c} {types.get(c, 'double' if c.endswith('avg_days_to_close') else 'bigint')}" for c in LOG_COLUMNS
     )
-    return spark.createDataFrame([tuple(r[c] for c in LOG_COLUMNS) for r in log], schema)
+    rows = spark.createDataFrame([tuple(r[c] for c in LOG_COLUMNS) for r in log], columns)
+    return Replayed(rows, held("append_only"), newest())
+
+
+def require_unique_ids(valid: DataFrame) -> DataFrame:
+    """The rows as they are, after making sure that no request id repeats.
+
+    The closed forms count rows as requests; a repeated id needs the loop.
+    """
+    repeated = valid.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    n = repeated.count()
+    if n:
+        raise ValueError(f"{n} request ids repeat: the closed forms need unique ids, use replay()")
+    return valid
 
 
 def _open_start(spans: DataFrame) -> tuple[DataFrame, Column]:

@@ -11,6 +11,7 @@ from tidemark.config import Params
 from tidemark.functions import cohort_age_days, cohort_month, days, safe_ratio, seconds_between, total_seconds
 from tidemark.operators.joins import lookup_join
 from tidemark.plans.staging import WARN_FLAGS
+from tidemark.store import Store
 
 
 def status_is_closed() -> Column:
@@ -23,15 +24,16 @@ def agency_performance(
     """Largest agencies with their means rebuilt from components."""
     floor = params.report_min_volume if min_volume is None else min_volume
     mature = F.col("is_cohort_mature")
-    in_window = F.when(mature, F.col("closure_rate_at_maturity") * F.col("request_volume"))
+
+    def mean_days(seconds: Column, volume: Column) -> Column:
+        return days(safe_ratio(F.sum(seconds), F.sum(volume)))
+
     per_agency = month.groupBy("agency_key").agg(
         F.sum("request_volume").alias("requests"),
         F.sum("closed_volume").alias("closed"),
         safe_ratio(F.sum("closed_volume"), F.sum("request_volume")).alias("closure_rate"),
-        safe_ratio(F.sum(F.col("mean_days_to_close") * F.col("closed_volume")), F.sum("closed_volume")).alias(
-            "mean_days_naive"
-        ),
-        safe_ratio(F.sum(F.col("mean_days_to_close_matured") * in_window), F.sum(in_window)).alias(
+        mean_days(F.col("closed_seconds"), F.col("closed_volume")).alias("mean_days_naive"),
+        mean_days(F.when(mature, F.col("window_seconds")), F.when(mature, F.col("window_volume"))).alias(
             "mean_days_matured"
         ),
         F.sum("backlog_open_count").alias("backlog"),
@@ -88,7 +90,7 @@ def status_crosstab(facts: DataFrame) -> DataFrame:
 
 def _agency_codes(facts: DataFrame, agency: DataFrame, params: Params) -> DataFrame:
     a = agency.select(F.col("agency_key").alias("_a_key"), "agency_code")
-    return lookup_join(facts, a, F.col("agency_key") == F.col("_a_key"), params, "inner", facts.columns)
+    return lookup_join(facts, a, F.col("agency_key") == F.col("_a_key"), params, "inner")
 
 
 def status_disagreement(facts: DataFrame, agency: DataFrame, params: Params) -> DataFrame:
@@ -142,17 +144,14 @@ def closure_rate_by_status(facts: DataFrame, code: str) -> DataFrame:
     )
 
 
-def maturity_sensitivity(facts: DataFrame, params: Params, windows: Sequence[int] | None = None) -> DataFrame:
+def maturity_sensitivity(durations: DataFrame, params: Params, windows: Sequence[int] | None = None) -> DataFrame:
     """Does the direction of the corrected trend depend on the window?
 
-    One scan: requests are counted per cohort and duration, and only those
-    counts are repeated for each window.
+    Reads the histogram of the marts, not the fact: only its counts per cohort
+    and duration are repeated for each window.
     """
     windows = list(windows or params.sensitivity_windows)
-    histogram = facts.groupBy(
-        cohort_month("created_at").alias("cohort_month"),
-        seconds_between("created_at", "closed_at").alias("seconds"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    histogram = durations.groupBy("cohort_month", "seconds").agg(F.sum("n").alias("n"))
     inside = F.col("seconds") <= F.col("window_days") * 86400
     by_cohort = (
         histogram.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows])))
@@ -205,21 +204,39 @@ def flagged_but_kept(facts: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def backlog_share(facts: DataFrame) -> DataFrame:
-    """Open backlog per agency, its share, and the share of the largest so far."""
+def backlog_share(facts: DataFrame, store: Store) -> DataFrame:
+    """Open backlog per agency, its share, and the share of the largest so far.
+
+    Agencies are free text, so their number has no bound: they are ranked within
+    ranges of the order, and the totals of the ranges before are added. Only one
+    row per range passes through a single task.
+    """
     open_count = facts.groupBy("agency_key").agg(F.count_if(~F.col("is_closed")).alias("backlog"))
-    # One row per agency from here on.
-    ranked = Window.orderBy(F.col("backlog").desc(), "agency_key")
-    upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("backlog").over(Window.partitionBy())
-    return open_count.select(
+    ranges = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("backlog").desc(), F.col("agency_key").asc()]
+    # Bounds of ranges come from a sample; storing fixes them.
+    stored = store.table(
+        "intermediate",
+        "backlog_ranges",
+        open_count.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()),
+    )
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy(F.col("_range").alias("_r"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("backlog").alias("_b"))
+        .select(
+            "_r",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank"),
+            F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_upto"),
+            F.sum("_b").over(Window.partitionBy()).alias("_total"),
+        )
+    )
+    within = Window.partitionBy("_range").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stored.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).select(
         "agency_key",
         "backlog",
-        F.row_number().over(ranked).alias("backlog_rank"),
-        safe_ratio(F.col("backlog"), total).alias("share"),
-        safe_ratio(F.sum("backlog").over(upto), total).alias("cumulative_share"),
+        (F.row_number().over(within) + F.col("_rank")).alias("backlog_rank"),
+        safe_ratio(F.col("backlog"), "_total").alias("share"),
+        safe_ratio(F.sum("backlog").over(upto) + F.col("_upto"), "_total").alias("cumulative_share"),
     )
-
-
-def reconciliation(ledger: DataFrame) -> DataFrame:
-    return ledger.select("step", "stage", "description", "row_count", "delta_from_previous").orderBy("step", "stage")

@@ -62,7 +62,11 @@ class Warehouse:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return dimensions.type_observations(self.valid, self.periods, self.params)
+        return self.store.table(
+            "intermediate",
+            "type_observations",
+            dimensions.type_observations(self.valid, self.periods, self.params),
+        )
 
     @cached_property
     def dim_agency(self) -> DataFrame:
@@ -74,7 +78,7 @@ class Warehouse:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dimensions.dim_date(self.spark, self.params)
+        return self.store.table("marts", "dim_date", dimensions.dim_date(self.spark, self.params))
 
     @cached_property
     def dim_complaint_type(self) -> DataFrame:
@@ -93,33 +97,44 @@ class Warehouse:
         )
 
     @cached_property
-    def agency_month(self) -> DataFrame:
+    def durations(self) -> DataFrame:
+        """Histogram of the fact that both marts and the sensitivity report read."""
         return self.store.table(
-            "marts", "mart_agency_month", marts.agency_month(self.fact, self.dim_geography, self.params, self.store)
+            "intermediate", "durations", marts.durations(self.fact, self.dim_geography, self.params)
         )
 
+    @cached_property
+    def agency_month(self) -> DataFrame:
+        return self.store.table("marts", "mart_agency_month", marts.agency_month(self.durations, self.params))
+
     @cached_property
     def cohort_maturity(self) -> DataFrame:
+        return self.store.table("marts", "mart_cohort_maturity", marts.cohort_maturity(self.durations, self.params))
+
+    @cached_property
+    def bi_wide(self) -> DataFrame:
         return self.store.table(
-            "marts", "mart_cohort_maturity", marts.cohort_maturity(self.fact, self.params, self.store)
+            "marts",
+            "mart_bi_wide",
+            marts.bi_wide(self.agency_month, self.dim_agency, self.dim_complaint_type, self.dim_date, self.params),
         )
 
     @cached_property
-    def bi_wide(self) -> DataFrame:
-        return marts.bi_wide(self.agency_month, self.dim_agency, self.dim_complaint_type, self.dim_date, self.params)
+    def replayable(self) -> DataFrame:
+        return replay.require_unique_ids(self.valid)
 
     @cached_property
     def append_only(self) -> DataFrame:
-        return replay.append_only_table(self.valid, self.periods, self.params)
+        return replay.append_only_table(self.replayable, self.periods, self.params)
 
     @cached_property
     def merged(self) -> DataFrame:
-        return replay.merge_table(self.valid, self.periods, self.params)
+        return replay.merge_table(self.replayable, self.periods, self.params)
 
     @cached_property
     def drift_log(self) -> DataFrame:
         return self.store.table(
-            "comparison", "vintage_drift_log", replay.drift(self.valid, self.periods, self.params)
+            "comparison", "vintage_drift_log", replay.drift(self.replayable, self.periods, self.params)
         )
 
     @cached_property

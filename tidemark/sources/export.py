@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,18 @@ def export_wide(wide: DataFrame, where: str) -> None:
     """CSV with header and Parquet, in grain order.
 
     The sort is by range, so the part files follow each other in order and are
-    written by many tasks; nothing passes through a single one.
+    written by many tasks; nothing passes through a single one. Both files come
+    from one sort. Hand in a stored table: it is what a lost task is redone from.
     """
-    ordered = in_grain_order(round_floats(wide))
-    ordered.write.mode("overwrite").option("header", "true").csv(f"{where}/csv")
-    ordered.write.mode("overwrite").parquet(f"{where}/parquet")
+    ordered = in_grain_order(round_floats(wide)).persist()
+    try:
+        ordered.write.mode("overwrite").option("header", "true").csv(f"{where}/csv")
+        ordered.write.mode("overwrite").parquet(f"{where}/parquet")
+    finally:
+        ordered.unpersist()
+
+
+def read_export(spark: SparkSession, where: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The CSV and the Parquet of an export, under the schema of what was exported."""
+    csv = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(f"{where}/csv")
+    return csv, spark.read.schema(schema).parquet(f"{where}/parquet")

@@ -184,15 +184,17 @@ def manifest_tieout(landing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def require_complete(manifest: DataFrame) -> None:
     """Refuse to build on a partial pull."""
-    open_slices = [r["slice"] for r in manifest.filter(~F.col("complete")).select("slice").orderBy("slice").take(20)]
-    if open_slices:
-        raise RuntimeError(f"pull is incomplete, open slices include {open_slices}")
+    open_slices = manifest.filter(~F.col("complete"))
+    some = [r["slice"] for r in open_slices.select("slice").orderBy("slice").take(20)]
+    if some:
+        raise RuntimeError(f"pull is incomplete: {open_slices.count()} open slices, the first are {some}")
 
 
 def require_tieout(tieout: DataFrame) -> None:
-    off = tieout.filter(~F.col("ties_out")).orderBy("slice").take(20)
-    if off:
-        raise RuntimeError(f"landed rows differ from the manifest: {[r.asDict() for r in off]}")
+    off = tieout.filter(~F.col("ties_out"))
+    some = [r.asDict() for r in off.orderBy("slice").take(20)]
+    if some:
+        raise RuntimeError(f"landed rows differ from the manifest in {off.count()} slices, the first are {some}")
 
 
 def write_sample(

@@ -3,11 +3,17 @@
 A table that several later steps read is written once and read back. That cuts
 the lineage, lets column pruning and filters reach the scan, gives the planner
 real sizes, and survives the loss of any executor.
+
+Each write makes a new version of its table in a folder of its own. What was
+handed out before keeps reading the version it was made from, so two calls with
+different inputs never disturb each other. ``open`` finds the newest complete
+version, also from a later session.
 """
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -17,42 +23,58 @@ from pyspark.sql import DataFrame, SparkSession
 LAYERS = ("raw", "staging", "intermediate", "marts", "comparison")
 
 
-def shared_root(spark: SparkSession) -> str | None:
+def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
     Only a local master may fall back to a temporary folder; on a cluster
-    without a shared folder the answer is None and nothing is written.
+    without a shared folder nothing can be stored safely, so this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         return tempfile.mkdtemp(prefix="tidemark-")
-    return None
+    raise RuntimeError("no shared folder: set spark.checkpoint.dir or give the store a root")
 
 
 class Store:
-    """Tables under one root. Sample and full builds take different roots."""
+    """Tables under one root. Sample and full builds take different roots.
+
+    With ``reuse``, a table that has a complete version is opened instead of
+    written again.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, reuse: bool = False):
         self.spark = spark
-        base = root if root is not None else shared_root(spark)
-        self.root = None if base is None else f"{base}/tidemark-{uuid.uuid4().hex[:12]}"
+        base = shared_root(spark) if root is None else root
+        self.root = f"{base}/tidemark-{uuid.uuid4().hex[:12]}"
+        self.reuse = reuse
 
     @classmethod
-    def at(cls, spark: SparkSession, root: str) -> "Store":
+    def at(cls, spark: SparkSession, root: str, reuse: bool = False) -> "Store":
         """A store that lives exactly at ``root``, so a later session finds it."""
-        store = cls(spark, root)
+        store = cls(spark, root, reuse)
         store.root = root.rstrip("/")
         return store
 
     def path(self, layer: str, name: str) -> str:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}")
-        if self.root is None:
-            raise RuntimeError("no shared folder: set spark.checkpoint.dir or give the store a root")
         return f"{self.root}/{layer}/{name}"
 
+    def versions(self, layer: str, name: str) -> list[str]:
+        """Folders of the complete versions of a table, oldest first."""
+        jvm = self.spark._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.path(layer, name))
+        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, "v*/_SUCCESS")) if fs.exists(base) else []
+        return sorted(str(found.getPath().getParent().toString()) for found in done or [])
+
+    def open(self, layer: str, name: str) -> DataFrame | None:
+        """The newest complete version of a table, if there is one."""
+        found = self.versions(layer, name)
+        return self.spark.read.parquet(found[-1]) if found else None
+
     def table(
         self,
         layer: str,
@@ -60,27 +82,19 @@ class Store:
         df: DataFrame,
         partition_by: Iterable[str] = (),
     ) -> DataFrame:
-        """Materialise ``df`` as a table; without a root hand the plan through.
+        """Write ``df`` as the next version of a table and read it back.
 
         A partitioned table is rebalanced first: a partition's rows come
         together into few files, and one that holds most rows is split.
         """
-        if self.root is None:
-            return df
-        where, columns = self.path(layer, name), list(partition_by)
+        if self.reuse and layer != "intermediate":
+            held = self.open(layer, name)
+            if held is not None:
+                return held
+        where = f"{self.path(layer, name)}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        columns = list(partition_by)
         if columns:
-            df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(where)
+            df.hint("rebalance", *columns).write.partitionBy(*columns).parquet(where)
         else:
-            df.write.mode("overwrite").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def view(self, name: str, df: DataFrame) -> DataFrame:
-        """Name a plan without storing it."""
-        df.createOrReplaceTempView(name)
-        return df
-
-    def append(self, layer: str, name: str, df: DataFrame) -> DataFrame:
-        """Add rows to a table, never touching those already there."""
-        where = self.path(layer, name)
-        df.write.mode("append").parquet(where)
+            df.write.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
