@@ -30,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 CUTOFF = "1998-03-31 23:59:59"
 PREVIOUS_CUTOFF = "1998-02-28 23:59:59"
 CAPTURED_UPTO = "2001-08-05 23:59:59"
+DELIVERIES = ("2001-08-03 23:59:59", CAPTURED_UPTO)
 PAGE_AFTER = ("1997-06-30 00:00:00", "5000")
 PAGE_ROWS = 1000
 PROBE_ROWS = 3000
@@ -268,14 +269,14 @@ def replay_loop(w: Warehouse) -> DataFrame:
     return replay.replay(w.replayable, cal.periods(w.spark, quarters), w.store).log
 
 
-def _arrivals(w: Warehouse) -> tuple[DataFrame, DataFrame]:
-    """The landing in two deliveries: what was ingested early, and the rest."""
-    early = F.col("_ingested_at") <= CAPTURED_UPTO
-    return w.landing.filter(early), w.landing.filter(~early)
+def _arrivals(w: Warehouse) -> list[DataFrame]:
+    """The landing in three deliveries, by the time of ingestion."""
+    at, (first, second) = F.col("_ingested_at"), DELIVERIES
+    return [w.landing.filter(at <= first), w.landing.filter((at > first) & (at <= second)), w.landing.filter(at > second)]
 
 
 def stream_ingest(w: Warehouse) -> DataFrame:
-    """Two deliveries of NDJSON, each taken in by a run that resumes."""
+    """Deliveries of NDJSON, each taken in by a run that resumes."""
     root = f"{w.store.path('raw', 'stream_ingest')}-{uuid.uuid4().hex[:8]}"
     for delivery in _arrivals(w):
         delivery.write.mode("append").option("compression", "gzip").json(f"{root}/arrivals")
@@ -288,14 +289,15 @@ def stream_ingest(w: Warehouse) -> DataFrame:
 
 
 def _streamed(w: Warehouse, name: str) -> tuple[str, list[str]]:
-    """Run both deliveries through one of the two loads; answer its folder."""
+    """Run the deliveries through one of the two loads; answer its folder. The merged
+    table settles into a base after the second."""
     root = f"{w.store.path('comparison', name)}-{uuid.uuid4().hex[:8]}"
     order = ["_ingested_at", "closed_date"]
     target = f"{root}/table"
     sink = (
         incremental.append_only_sink(target, "unique_key", order, src.LANDING_SCHEMA)
         if name == "stream_append_only"
-        else incremental.merge_sink(target, "unique_key", order)
+        else incremental.merge_sink(target, "unique_key", order, src.LANDING_SCHEMA, settle_every=2)
     )
     for delivery in _arrivals(w):
         delivery.write.mode("append").parquet(f"{root}/arrivals")
