@@ -13,7 +13,10 @@ batches talk to parts of the key space by short messages:
 
 A batch sends a key once however many of its documents have it, so a passage that a
 third of all documents share is one entry per batch in the part that owns it. Texts
-are shuffled once; each step reads the same exchange. Batches are cut by size in bytes.
+are shuffled once; each step reads the same exchange. Batches are cut by size in bytes;
+their keys take about ten times that in a task. For very large inputs take larger
+batches (``batch_bytes`` of 256 MB cuts 100 TB into 400,000), so that the messages
+between batches and at most ``MOST_PARTS`` parts hold many keys each.
 
 Documents equal to one with a smaller id are known before (by the digest of the text)
 and only wait for step 3. A null doc_id is smaller than none and larger than none.
@@ -34,6 +37,7 @@ from tidemark.llm.common import partitions
 
 WIDTH = 50
 BATCH_BYTES = 8 << 20
+MOST_PARTS = 1 << 16
 BLOCK = 1 << 20
 MESSAGE = "batch int, part int, payload binary"
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -265,10 +269,11 @@ class Exchange:
         spark = docs.sparkSession
         rows = docs.select(F.col("doc_id").cast("long"), "text")
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.parts = max(partitions(spark), -(-size // batch_bytes))
-        batch = F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+        count = max(partitions(spark), -(-size // batch_bytes))
+        self.parts = min(count, MOST_PARTS)
+        batch = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
         text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-        self.batches = rows.select(batch.alias("batch"), "doc_id", text.alias("text")).repartition(self.parts, "batch")
+        self.batches = rows.select(batch.alias("batch"), "doc_id", text.alias("text")).repartition(count, "batch")
         digests = rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("doc_id IS NOT NULL")
         first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         first = first.where(F.col("first") < F.col("last")).select(F.col("digest").alias("of"), "first")
