@@ -36,6 +36,7 @@ PAGE_ROWS = 1000
 PROBE_ROWS = 3000
 EXAMPLES = 10
 SAMPLE_PER_MONTH = 50
+ROUNDTRIP_STAMP = "2001-08-09 06:00:00"
 TOP_AGENCIES = 3
 MIN_VOLUME = 1000
 DETAIL_CODES = ["BUILDING", "MACHINERY"]
@@ -144,6 +145,23 @@ def manifest_tieout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(src.manifest_tieout(w.landing, promised_slices(spark, sf_dir)))
 
 
+def landing_roundtrip(w: Warehouse) -> DataFrame:
+    """The landing appended as gzip NDJSON under a new stamp and scanned back."""
+    where = f"{w.store.path('raw', 'roundtrip')}-{uuid.uuid4().hex[:8]}"
+    src.append_ndjson(w.landing.drop(src.INGESTED_AT), where, ROUNDTRIP_STAMP)
+    back = src.scan_ndjson(w.spark, where)
+    return back.groupBy(src.slice_label("created_date").alias("slice"), src.INGESTED_AT).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("unique_key").alias("distinct_keys")
+    )
+
+
+def written_sample(w: Warehouse) -> DataFrame:
+    """A written sample of each slice: what its manifest says against what is read back."""
+    where = f"{w.store.path('raw', 'sample')}-{uuid.uuid4().hex[:8]}"
+    manifest = src.write_sample(w.landing, where, w.params, w.store, SAMPLE_PER_MONTH)
+    return src.manifest_tieout(src.scan_ndjson(w.spark, where), manifest)
+
+
 def source_slice(w: Warehouse) -> DataFrame:
     start, end = F.lit("1997-01-01 00:00:00"), F.lit("1997-04-01 00:00:00")
     sliced = src.source_slice(w.landing, start, end, agencies=["building", "furniture"], columns=["unique_key", "agency"])
@@ -330,6 +348,8 @@ REGISTERED: dict[str, Query] = {
     "source_aggregates": _over_warehouse(lambda w: src.source_aggregates(w.landing)),
     "month_slices": _over_warehouse(month_slices),
     "manifest_tieout": manifest_tieout,
+    "landing_roundtrip": _over_warehouse(landing_roundtrip),
+    "written_sample": _over_warehouse(written_sample),
     "keyset_page": _over_warehouse(keyset_page),
     "systematic_sample": _over_warehouse(systematic_sample),
     # staging
