@@ -95,6 +95,10 @@ class Spoilt(Warehouse):
         rate = F.when(F.col("agency_key").startswith("M"), F.lit(1.5)).otherwise(F.col("closure_rate"))
         return self.sound.agency_month.withColumn("closure_rate", rate).withColumn("guess", F.lit(0.5))
 
+    @cached_property
+    def replayable(self) -> DataFrame:
+        return self.sound.replayable
+
     @cached_property
     def merged(self) -> DataFrame:
         rows = self.sound.merged
