@@ -2,7 +2,8 @@
 
 Documents are compared as bytes. Stretches of text that may repeat (see ``windows``)
 go to the part of the key space that owns them, each distinct stretch of a batch once,
-with the smallest document that has it. A part takes the batches one after another:
+with the smallest document that has it. A part indexes its distinct stretches batch by
+batch:
 
 * a new batch gets a suffix array: its suffixes, to the depth of a window, in order,
   with the smallest document of each;
@@ -35,6 +36,7 @@ from tidemark.llm import windows
 from tidemark.llm.windows import WIDTH, Batch, Exchange, Keys
 
 INNER = 16
+BATCH_SUFFIXES = 1 << 18
 _BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 
 
@@ -125,35 +127,68 @@ class Family:
         return out
 
 
-def _suffixes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of a message's stretches to the depth of a window, in order, and the document of each.
+def _read(payload: bytes) -> tuple[list[bytes], list[int]]:
+    """The stretches of a message and the document of each."""
+    n = int.from_bytes(payload[:4], "little")
+    at = 4 + 12 * n
+    ends = (np.cumsum(np.frombuffer(payload, "<u4", n, 4), dtype=np.int64) + at).tolist()
+    docs = np.frombuffer(payload, "<i8", n, 4 + 4 * n).tolist()
+    return [payload[x:y] for x, y in zip([at, *ends], ends)], docs
+
+
+def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of stretches to the depth of a window, in order, and how many each stretch has.
 
     A byte that is not zero ends each, since zeros at the end would not count in comparisons.
     """
-    n = int.from_bytes(payload[:4], "little")
-    size = np.frombuffer(payload, "<u4", n, 4).astype(np.int64)
-    docs = np.frombuffer(payload, "<i8", n, 4 + 4 * n)
-    text = np.frombuffer(payload, np.uint8, offset=4 + 12 * n)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    text = np.frombuffer(b"".join(texts), np.uint8)
     count = size - WIDTH + 1
     start = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(count.sum())
     keys = np.ones((len(start), WIDTH + 1), np.uint8)
     keys[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(text, WIDTH)[start]
-    return keys.view(f"S{WIDTH + 1}").ravel(), np.repeat(docs, count)
+    return keys.view(f"S{WIDTH + 1}").ravel(), count
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """For each message a bit per suffix: whether a smaller document has it."""
-    sent = asked.column("payload").to_pylist()
-    family = Family()
-    for payload in sent:
-        family.add(*_suffixes(payload))
-    bits = []
-    for payload in sent:
-        keys, docs = _suffixes(payload)
+    """For each message a bit per suffix: whether a smaller document has it.
+
+    Equal stretches of several messages enter the index once, with their smallest
+    document; the others hold nothing that document does not have.
+    """
+    sent = [_read(p) for p in asked.column("payload").to_pylist()]
+    low: dict[bytes, int] = {}
+    for texts, docs in sent:
+        for t, d in zip(texts, docs):
+            if low.setdefault(t, d) > d:
+                low[t] = d
+    family, distinct, batches = Family(), list(low), []
+    at = 0
+    while at < len(distinct):
+        end, size = at, 0
+        while end < len(distinct) and size < BATCH_SUFFIXES:
+            size += len(distinct[end]) - WIDTH + 1
+            end += 1
+        keys, count = _suffixes(distinct[at:end])
+        docs = np.repeat(np.fromiter((low[t] for t in distinct[at:end]), np.int64, end - at), count)
+        family.add(keys, docs)
+        batches.append((distinct[at:end], count, docs))
+        at = end
+    older: dict[bytes, np.ndarray] = {}
+    for texts, count, docs in batches:
+        keys, _ = _suffixes(texts)
         order = np.argsort(keys, kind="stable")
         smaller = np.empty(len(keys), bool)
         smaller[order] = family.smallest(keys[order]) < docs[order]
-        bits.append(np.packbits(smaller).tobytes())
+        ends = np.cumsum(count).tolist()
+        older.update(zip(texts, (smaller[x:y] for x, y in zip([0, *ends], ends))))
+    every = np.ones(max(map(len, distinct)), bool)
+    bits = [
+        np.packbits(
+            np.concatenate([older[t] if d == low[t] else every[: len(t) - WIDTH + 1] for t, d in zip(texts, docs)])
+        ).tobytes()
+        for texts, docs in sent
+    ]
     return pa.table(
         {
             "batch": asked.column("batch").combine_chunks(),
