@@ -17,12 +17,12 @@ from tidemark.catalog.queries import REGISTERED, fresh_warehouse, warehouse
 from tidemark.session import local_session
 
 TABLES = [
-    "staged", "dim_agency", "dim_geography", "dim_complaint_type", "fact", "durations", "agency_month",
+    "staged", "observations", "dim_agency", "dim_geography", "dim_complaint_type", "fact", "durations", "agency_month",
     "cohort_maturity", "bi_wide", "drift_log",
 ]
 # Reports and operators over those tables; none of them only reads one back.
 HEADLINE = [
-    "landing_profile", "latest_per_key", "dq_ledger", "type_observations",
+    "landing_profile", "latest_per_key", "dq_ledger",
     "bi_export", "bi_reaggregate", "agency_performance", "append_only_table", "merge_table",
     "table_disagreement", "maturity_sensitivity", "status_disagreement",
     "snapshot_diff", "field_change_counts", "systematic_sample", "checks_summary",
