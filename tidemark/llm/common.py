@@ -62,15 +62,18 @@ def partitions(spark: SparkSession) -> int:
 SET_BITS = 24
 
 
-def term_set(terms: DataFrame) -> bytes:
+def term_set(terms: DataFrame, hashed: bool = False) -> bytes:
     """The terms of a one-column table as a bitmap over their hashes.
 
+    ``hashed``: the terms are hashes themselves, and their own low bits count.
+
     The size is fixed (2^24 bits, brought to the driver in at most 512 pieces of 4 KB),
     so it may be broadcast whatever the table holds. A fuller set only lets more terms
     through; who uses it compares the terms themselves afterwards.
     """
     (name,) = terms.columns
-    place = F.xxhash64(name).bitwiseAND(F.lit((1 << SET_BITS) - 1)) + 1
+    own = F.col(name) if hashed else F.xxhash64(name)
+    place = own.bitwiseAND(F.lit((1 << SET_BITS) - 1)) + 1
     pieces = (
         terms.where(F.col(name).isNotNull())
         .groupBy(F.bitmap_bucket_number(place).alias("n"))
