@@ -57,3 +57,13 @@ def test_long_text_and_empty_table(make_docs):
     assert [(s.start, s.kind) for s in r.spans] == [(250_000, 0)]
     assert pii.find_all(make_docs([])).collect() == []
     assert pii.redact(make_docs([])).collect() == []
+
+
+def test_copies_count_once_on_both_sides(make_docs):
+    """A thousandfold text that holds the term does not hide it, nor do copies of the surroundings."""
+    plain = [(i, f"Plain text number {i} about the weather of day {i}.") for i in range(200)]
+    near = [(300 + i, f"note {i * 7} says Zorblax wrote from z@mail.org twice about item {i} z@mail.org Zorblax") for i in range(5)]
+    copies = [(1000 + i, "Zorblax alone, far from any address.") for i in range(300)]
+    docs = make_docs([*plain, *near, *copies, *[(2000 + i, near[0][1]) for i in range(40)]])
+    rows = pii.disclosing(docs, pii.scan(docs)).where("term = 'Zorblax'").collect()
+    assert [(r.entity, r.n_with, r.n_docs, r.posterior) for r in rows] == [("email:z@mail.org", 5, 6, 5 / 6)]

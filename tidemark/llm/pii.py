@@ -6,15 +6,16 @@ points to one entity. A term t discloses entity e if
 
 * t stands near e in at least ``support`` different surroundings (copies of a
   passage count once),
-* P(e | t), those surroundings over the documents with t, is at least ``posterior``,
+* P(e | t), the documents with t near e over the documents with t, is at least
+  ``posterior``; documents of one text count as one, here and in all counts below,
 * the pointwise mutual information log2(P(e | t) / P(e)) is at least ``bits``.
 
 Every occurrence of such a term becomes a span of kind ``term``. Spans are removed or
 generalised to a placeholder of their kind.
 
 Candidate terms travel as a bitmap of fixed size and are compared themselves
-afterwards; counts are summed per batch before the shuffle, so a term or an entity in
-a third of all documents is one row per task.
+afterwards. Pairs of term and document are made distinct by both and then counted in
+every task, so a term or an entity in a third of all documents is in no task alone.
 
 Null texts count as empty. A row is known by the hash of its id and text, so repeated
 rows share their spans and are all returned; an empty table gives an empty result and
@@ -24,7 +25,6 @@ columns besides doc_id and text are ignored (``redact`` keeps them).
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,9 +73,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int]]:
-    """(entity, term, surroundings) for the words near each span that are in no span."""
+def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, bool]]:
+    """(entity, term, surroundings, whole) for the words near each span that are in no span.
+
+    Not whole: the term is only a piece of a word here, cut by a span or at the edge.
+    """
     found = []
+    all_words = set(WORD.findall(text)) if spans else set()
     for start, kind, end in spans:
         value = text[start:end].lower()
         entity = KINDS[kind] + ":" + (value if kind < 2 else _digits(value))
@@ -83,20 +87,20 @@ def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[st
         right = [m[0] for m in WORD.finditer(text, end, min(len(text), end + 200))][:AROUND]
         near = [w for w in left + right if w[0].isalpha() and not any(c.isdigit() or c == "@" for c in w)]
         mark = xxhash.xxh64_intdigest(" ".join(left + right).encode()) >> 1
-        found += [(entity, t, mark) for t in dict.fromkeys(near)]
+        found += [(entity, t, mark, t in all_words) for t in dict.fromkeys(near)]
     return found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long"), "text")
+    return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("doc"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """k, doc_id, spans (start, kind, end) by pattern, near (entity, term, mark) of every row."""
+    """k, doc_id, doc (hash of the text), spans (start, kind, end) by pattern, near (entity, term, mark, whole) of every row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("mark", pa.int64())]))
+        near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("mark", pa.int64()), ("whole", pa.bool_())]))
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             spans = [base_spans(t) for t in texts]
@@ -105,57 +109,66 @@ def scan(docs: DataFrame) -> DataFrame:
                 [
                     b.column(0),
                     b.column(1),
+                    b.column(3),
                     pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in spans], span),
-                    pa.array([[dict(zip(("entity", "term", "mark"), s)) for s in x] for x in around], near),
+                    pa.array([[dict(zip(("entity", "term", "mark", "whole"), s)) for s in x] for x in around], near),
                 ],
-                ["k", "doc_id", "spans", "near"],
+                ["k", "doc_id", "doc", "spans", "near"],
             )
 
     schema = (
-        "k long, doc_id long, spans array<struct<start:int,kind:int,end:int>>,"
-        " near array<struct<entity:string,term:string,mark:long>>"
+        "k long, doc_id long, doc long, spans array<struct<start:int,kind:int,end:int>>,"
+        " near array<struct<entity:string,term:string,mark:long,whole:boolean>>"
     )
     return _keyed(docs).mapInArrow(find, schema)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_docs for the terms of a one-column table, over all documents."""
+def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, doc for the terms of a one-column table, over all documents; equal texts once."""
     bits = docs.sparkSession.sparkContext.broadcast(term_set(terms))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(bits.value)
         for b in batches:
-            counts: Counter[bytes] = Counter()
-            for text in b.column(0).to_pylist():
-                counts.update(w for w in set((text or b"").split()) if known[w])
+            seen = dict(zip(b.column(1).to_pylist(), b.column(0).to_pylist()))
+            pairs = [(w, doc) for doc, text in seen.items() for w in set((text or b"").split()) if known[w]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"]
+                [pa.array([w for w, _ in pairs], pa.binary()).cast(pa.string()), pa.array([d for _, d in pairs], pa.int64())], ["t", "doc"]
             )
 
     (name,) = terms.columns
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "t string, n long")
-    counted = counted.groupBy("t").agg(F.sum("n").alias("n_docs"))
-    return terms.distinct().join(counted, F.col(name) == F.col("t")).select(F.col("t").alias("term"), "n_docs")
+    found = docs.select(F.col("text").cast("binary"), F.xxhash64("text").alias("doc")).mapInArrow(find, "t string, doc long")
+    wanted = terms.distinct().select(F.col(name).alias("wanted"))
+    return found.join(wanted, F.col("t") == F.col("wanted"), "left_semi").select(F.col("t").alias("term"), "doc").distinct()
 
 
 def disclosing(
     docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS
 ) -> DataFrame:
-    """entity, term, n_near, n_docs, posterior, bits of the pairs beyond the thresholds."""
-    near = scanned.select(F.inline("near")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= support)
-    pairs = written(pairs)
-    entities = near.select("entity", "mark").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_entity"))
-    counts = document_counts(docs, pairs.select("term").distinct()).withColumnRenamed("term", "t")
-    total = scanned.count()
-    p = F.least(F.col("n_near") / F.col("n_docs"), F.lit(1.0))
+    """entity, term, n_near, n_with, n_docs, posterior, bits of the pairs beyond the thresholds.
+
+    n_near: surroundings of the term at the entity; n_with: documents with them; n_docs:
+    documents with the term.
+    """
+    near = scanned.select("doc", F.inline("near")).distinct()
+    marks = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
+    marks = marks.where(F.col("n_near") >= support)
+    together = near.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_with"))
+    pairs = written(marks.join(together, ["entity", "term"]))
+    entities = near.select("entity", "doc").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_entity"))
+    wanted = pairs.select("term").distinct()
+    pieces = near.where(~F.col("whole")).select("term", "doc").join(wanted, "term", "left_semi")
+    holding = documents_with(docs, wanted).unionByName(pieces).distinct()
+    counts = holding.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("n_docs"))
+    total = scanned.select("doc").distinct().count()
+    p = F.col("n_with") / F.col("n_docs")
     return (
         pairs.join(counts, F.col("term") == F.col("t"))
         .join(entities, F.col("entity") == F.col("e"))
         .withColumn("posterior", p)
         .withColumn("bits", F.log2(F.col("posterior") * total / F.col("n_entity")))
         .where((F.col("posterior") >= posterior) & (F.col("bits") >= bits))
-        .select("entity", "term", "n_near", "n_docs", "posterior", "bits")
+        .select("entity", "term", "n_near", "n_with", "n_docs", "posterior", "bits")
     )
 
 
