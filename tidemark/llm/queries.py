@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, html_main, mixing, pii, ppm, quality_rules, simhash, substring, suffix
+from tidemark.llm import (
+    classifier, decontaminate, html_main, mixing, packing, pii, ppm, quality_rules, simhash, substring, suffix,
+)
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +83,16 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op5_html_main, op6_quality_rules, op7_substring, op8_pii, op9_suffix, op10_ppm)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op5_html_main, op6_quality_rules, op7_substring,
+        op8_pii, op9_suffix, op10_ppm, op11_packing,
+    )
 }
 
 OP3_SQL = r"""
