@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    classifier, decontaminate, html_main, mixing, packing, pii, ppm, quality_rules, simhash, substring, suffix,
+    classifier, decontaminate, html_main, mixing, packing, periodic, pii, ppm, quality_rules, simhash, substring, suffix,
 )
 from tidemark.llm.common import table
 
@@ -87,11 +87,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find(periodic.planted(table(spark, sf_dir, "documents")), digest=True)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op5_html_main, op6_quality_rules, op7_substring,
-        op8_pii, op9_suffix, op10_ppm, op11_packing,
+        op8_pii, op9_suffix, op10_ppm, op11_packing, op13_periodic,
     )
 }
 
