@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    classifier, decontaminate, html_main, mixing, packing, periodic, pii, ppm, quality_rules, simhash, substring, suffix,
+    classifier, collocations, decontaminate, html_main, mixing, packing, periodic, pii, ppm, quality_rules, simhash,
+    substring, suffix,
 )
 from tidemark.llm.common import table
 
@@ -87,6 +88,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("words", "k")
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find(periodic.planted(table(spark, sf_dir, "documents")), digest=True)
 
@@ -95,7 +100,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_decontaminate, op3_mixing, op4_classifier, op5_html_main, op6_quality_rules, op7_substring,
-        op8_pii, op9_suffix, op10_ppm, op11_packing, op13_periodic,
+        op8_pii, op9_suffix, op10_ppm, op11_packing, op12_collocations, op13_periodic,
     )
 }
 
@@ -198,4 +203,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_mixing": OP3_SQL, "op6_quality_rules": OP6_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM w, range(1, 6) t(k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM g WHERE k > 1 AND f >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.a, n.n, i, l.f AS l, r.f AS r,
+         ((1000 * c.a::HUGEINT * n.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c
+  JOIN n USING (lang)
+  JOIN g l ON l.lang = c.lang AND l.k = c.i AND l.phrase = array_to_string(c.p[1:c.i], ' ')
+  JOIN g r ON r.lang = c.lang AND r.k = c.k - c.i AND r.phrase = array_to_string(c.p[c.i + 1:c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+alone AS (
+  SELECT * FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = b.lang AND x.k > b.k AND 100 * x.a >= 100 * b.a
+                    AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL, "op3_mixing": OP3_SQL, "op6_quality_rules": OP6_SQL, "op12_collocations": OP12_SQL,
+}
