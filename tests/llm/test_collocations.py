@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import collocations
@@ -61,13 +63,15 @@ def test_odd_rows(make_docs, odd_rows):
     assert sorted(tuple(r) for r in got) == brute([(None, t) for _, t in rows], 4, 5, 100)
 
 
-def test_long_stripes_go_out_in_rows(spark, monkeypatch):
+def test_rows_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(collocations, "ROW_ENTRIES", 16)
-    counter = collocations._Counter("en")
-    counter.add(" ".join(f"the w{i}" for i in range(100)).encode())
-    batch = counter.stripes(0, 0, None)
-    assert [len(x) for x in batch.column(2)] == [16] * 6 + [5]
-    assert sum(sum(x.as_py()) for x in batch.column(3)) == 200
+    text = " ".join(f"the w{i}" for i in range(100))
+    (chunk,) = collocations.encode(spark.createDataFrame([("en", text)], "lang string, text string")).collect()
+    words, ids = pa.array(chunk.names), np.frombuffer(chunk.ids, "<i4")
+    rows = [r for b in collocations.counted("en", words, ids, 0, None, True) for r in b.to_pylist()]
+    assert [len(r["counts"]) for r in rows if r["next"]] == [16] * 6 + [5]
+    assert sum(sum(r["counts"]) for r in rows if r["next"]) == 200
+    assert sum(sum(r["counts"]) for r in rows if r["hashes"]) == 199
 
 
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
