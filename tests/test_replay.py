@@ -84,6 +84,26 @@ def test_closed_form_equals_the_loop(spark, valid, params, store):
         assert stored.exceptAll(table.select(stored.columns)).count() == 0
 
 
+def test_figures_by_changes_equal_the_comparison_of_whole_tables(spark, valid, params, store):
+    spans = periods(spark, params)
+    by_changes, compared = replay.replay(valid, spans, store), replay.replay_compared(valid, spans, store)
+    for a, b in zip(by_changes, compared):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(a.columns).collect()), key=repr)
+
+
+def test_repeated_ids_are_measured_on_both_tables(spark, valid, params, store):
+    twice = valid.unionByName(valid.filter("request_id = 'restated'"))
+    spans = periods(spark, params)
+    log = replay.replay(twice, spans, store).log.orderBy("vintage_seq").collect()
+    assert log[0].append_row_count == 6 and log[0].append_distinct_requests == 5
+
+
+def test_replay_of_no_rows(spark, valid, params, store):
+    log, appended, merged = replay.replay(valid.filter("false"), periods(spark, params), store)
+    assert {r.merge_row_count for r in log.collect()} == {0} and log.first().merge_avg_days_to_close is None
+    assert appended.collect() == merged.collect() == []
+
+
 def test_closed_form_equals_the_loop_on_rows_around_the_cutoffs(spark, ntz, params, store):
     """Creations and closes before the window, on, and just after cutoffs."""
     instants = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Params
 from tidemark.functions import changed, surrogate_key
-from tidemark.operators.joins import lookup_join
+from tidemark.operators.joins import fits_broadcast, lookup_join
 from tidemark.operators.periods import with_period
 
 # The members that stand for "missing".
@@ -114,8 +114,11 @@ def as_of_lookup(
     """Attach column ``take`` of the version in force at ``at``.
 
     ``match`` maps history columns to fact expressions. Versions of a key do not
-    overlap, so a fact finds one version or none and is never multiplied.
+    overlap, so a fact finds one version or none and is never multiplied. A history
+    within ``params.broadcast_max_rows`` is broadcast; a larger one is carried along.
     """
+    if not fits_broadcast(history, params.broadcast_max_rows):
+        return carry_forward(facts, history, match, at, take)
     side = history.select(
         *[F.col(c).alias(f"_h_{c}") for c in match],
         F.col("valid_from_at").alias("_h_from"),
@@ -125,10 +128,70 @@ def as_of_lookup(
     on = (F.col(at) > F.col("_h_from")) & (F.col(at) <= F.col("_h_to"))
     for column, expression in match.items():
         on = on & (expression == F.col(f"_h_{column}"))
-    found = lookup_join(facts, side, on, params, "left")
+    found = facts.join(F.broadcast(side), on, "left")
     return found.select(*[F.col(c) for c in facts.columns], F.col(f"_h_{take}").alias(take))
 
 
+def time_slots(facts: DataFrame, at: str, slots: int) -> Column:
+    """An expression that maps an instant ``_ts`` to one of ``slots`` ranges that hold like numbers of facts.
+
+    The bounds are approximate quantiles of the facts, at most ``slots`` - 1 of them.
+    """
+    shares = [i / slots for i in range(1, slots)]
+    seconds = F.unix_micros(F.col(at).cast("timestamp"))
+    bounds = facts.agg(F.percentile_approx(seconds, shares, 1000).alias("b")).first()["b"] or [] if shares else []
+    own = F.unix_micros(F.col("_ts").cast("timestamp"))
+    return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < own)) if bounds else F.lit(0)
+
+
+def carry_forward(
+    facts: DataFrame,
+    history: DataFrame,
+    match: dict[str, Column],
+    at: str,
+    take: str,
+    slots: int = 64,
+) -> DataFrame:
+    """The as-of lookup for a history of any size: no fact meets more than one version.
+
+    Facts and versions of a key are put in one order of time, and each fact takes the
+    last version before it, if that is still in force. Time is cut into ``slots`` ranges
+    with about as many facts each, so a key that holds a third of the facts is sorted in
+    as many pieces; the version in force where a piece begins is found beforehand from
+    one row per key and range.
+    """
+    keys = [f"_k{i}" for i in range(len(match))]
+    slot = time_slots(facts, at, slots)
+    version = F.struct(
+        F.col("valid_from_at").alias("since"), F.col("valid_to_at").alias("to"), F.col(take).alias("take")
+    )
+    versions = (
+        history.select(*[F.col(c).alias(k) for c, k in zip(match, keys)], F.col("valid_from_at").alias("_ts"), version.alias("_v"))
+        .dropna(subset=keys)
+        .withColumn("_slot", slot)
+    )
+    rows = facts.select(
+        *[e.alias(k) for e, k in zip(match.values(), keys)], F.col(at).alias("_ts"), F.struct(*facts.columns).alias("_f")
+    ).withColumn("_slot", slot)
+
+    # the version that is in force where a range of a key begins
+    wanted = rows.select(*keys, "_slot").distinct().withColumn("_v", F.lit(None).cast(versions.schema["_v"].dataType))
+    ends = versions.select(*keys, "_slot", "_v").unionByName(wanted).groupBy(*keys, "_slot").agg(F.max("_v").alias("_v"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_v", F.last("_v", ignorenulls=True).over(earlier)).filter(F.col("_v").isNotNull())
+
+    # of equal instants a fact comes first: a version holds after its start
+    nothing = F.lit(None).cast(rows.schema["_f"].dataType).alias("_f")
+    events = (
+        rows.select(*keys, "_slot", "_ts", F.lit(1).alias("_kind"), "_f", F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
+        .unionByName(versions.select(*keys, "_slot", "_ts", F.lit(2).alias("_kind"), nothing, "_v"))
+        .unionByName(carried.select(*keys, "_slot", F.col("_v.since").alias("_ts"), F.lit(0).alias("_kind"), nothing, "_v"))
+    )
+    order = Window.partitionBy(*keys, "_slot").orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = events.withColumn("_v", F.last("_v", ignorenulls=True).over(order)).filter(F.col("_f").isNotNull())
+    return last.select("_f.*", F.when(F.col("_ts") <= F.col("_v.to"), F.col("_v.take")).alias(take))
+
+
 def overlapping(history: DataFrame, key: Sequence[str]) -> DataFrame:
     """Versions that begin before the previous one of their key has ended."""
     w = Window.partitionBy(*key).orderBy("valid_from_at")

@@ -1,16 +1,19 @@
 """What an append-only and a merged load would hold at each vintage.
 
-Three forms of the same thing: ``replay`` runs every vintage through both loads, closed forms that need one pass for all vintages, and the
-streams in ``tidemark.streaming``. The closed forms need unique request ids, which
-``require_unique_ids`` makes sure of; the warehouse calls it once.
+Three forms of the same thing: ``replay`` runs every vintage through both loads, closed
+forms need one pass for all vintages, and the streams are in ``tidemark.streaming``. The
+closed forms need unique request ids, which ``require_unique_ids`` makes sure of; the
+warehouse calls it once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from decimal import Decimal
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +46,8 @@ LOG_COLUMNS = [
 ]
 
 
-def _state(rows: DataFrame, known_close: Column, loaded_at: Column) -> DataFrame:
-    """Rows in the shape both loads store, given the close each one knows."""
+def _state(rows: DataFrame, known_close: Column, loaded_at: Column, also: Sequence[str] = ()) -> DataFrame:
+    """Rows in the shape both loads store, given the close each one knows; ``also`` names columns to keep."""
     known = F.col("_known")
     return (
         rows.withColumn("_known", known_close)
@@ -59,6 +62,7 @@ def _state(rows: DataFrame, known_close: Column, loaded_at: Column) -> DataFrame
             observable_watermark("created_at", known).alias("source_updated_at"),
             *ATTRIBUTES,
             F.col("_loaded").alias("loaded_at_vintage"),
+            *also,
         )
     )
 
@@ -130,13 +134,100 @@ class Replayed(NamedTuple):
     merged: DataFrame
 
 
+def _log_frame(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """The log from exact totals; the two means are divided as everywhere else."""
+    kinds = {"vintage_seq": "int", "vintage_date": "date", "append_seconds": "decimal(38,0)", "merge_seconds": "decimal(38,0)"}
+    totals = [c for c in LOG_COLUMNS if not c.endswith("avg_days_to_close")] + ["append_seconds", "merge_seconds"]
+    rows = spark.createDataFrame([tuple(r[c] for c in totals) for r in log], ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in totals))
+    means = {
+        f"{k}_avg_days_to_close": days(safe_ratio(F.col(f"{k}_seconds"), F.col(f"{k}_closed_count"))) for k in ("append", "merge")
+    }
+    return rows.withColumns(means).select(LOG_COLUMNS)
+
+
 def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
     """Run every vintage through both loads, one after the other.
 
-    The loop is over the calendar, not over data. A run adds a folder of rows to
-    each table: those of unknown keys to the append-only one, all of its batch to
-    the merged one, whose newest version of a key counts. Rows that did not
-    change are never written again and no folder is overwritten.
+    The loop is over the calendar, not over data: the rows are dealt once to the one or two
+    vintages that hear of them, and a run reads its own rows, writes them as its folder and
+    counts them in the same job. Every figure of the log is the last run's figure and what
+    the batch changes, so a run costs what arrives with it.
+
+    That needs each request id once. Where ids repeat, ``replay_compared`` measures both
+    tables after each run instead.
+    """
+    if valid.groupBy("request_id").count().filter(F.col("count") > 1).limit(1).count():
+        return replay_compared(valid, spans, store)
+    spark = valid.sparkSession
+    base = f"{store.path('comparison', 'replay')}-{uuid.uuid4().hex[:12]}"
+    calendar = spans.orderBy("vintage_seq").collect()  # bounded by the parameters
+    cutoffs = F.array(*[as_ntz(v["vintage_cutoff_at"]) for v in calendar])
+
+    def run_of(at: Column) -> Column:
+        """The first run whose cutoff is not before an instant; null where there is none."""
+        earlier = F.size(F.filter(cutoffs, lambda c: c < at))
+        return F.when(at.isNotNull() & (earlier < len(calendar)), earlier)
+
+    first, known = F.col("_first"), F.col("_known_in")
+    dealt = (
+        valid.withColumns({"_first": run_of(F.col("created_at")), "_known_in": run_of(F.col("closed_at"))})
+        .filter(first.isNotNull())
+        .withColumn("run", F.explode(F.array_distinct(F.array(first, F.greatest(first, F.coalesce(known, first))))))
+        .withColumn("fresh", F.col("run") == first)
+        .select("request_id", "created_at", "closed_at", *ATTRIBUTES, "fresh", "run")
+    )
+    dealt.hint("rebalance", "run").write.partitionBy("run").parquet(f"{base}/dealt")
+    kept = T.StructType([f for f in dealt.schema.fields if f.name != "run"])
+    schema = vintage_batch(valid, F.lit(None).cast("timestamp_ntz")).schema
+    with_fresh = T.StructType([*schema.fields, T.StructField("fresh", T.BooleanType())])
+
+    def state(rows: DataFrame, cutoff: Column) -> DataFrame:
+        return _state(rows, close_as_of("closed_at", cutoff), cutoff, ["fresh"])
+
+    there = {r["run"] for r in spark.read.schema(dealt.schema).parquet(f"{base}/dealt").select("run").distinct().collect()}
+    fresh, closed = F.col("fresh"), F.col("is_closed_at_vintage")
+    secs = seconds_between("created_at", "closed_at")
+    figures = {
+        "rows": F.count_if(fresh),
+        "append_closed": F.count_if(fresh & closed),
+        "append_s": total_seconds(F.when(fresh, secs)),
+        "restated": F.count_if(~fresh & closed),
+        "merge_s": total_seconds(secs),
+    }
+    total = dict.fromkeys(figures, 0)
+    log = []
+    for run, v in enumerate(calendar):
+        if run in there:
+            seen = Observation()
+            rows = spark.read.schema(kept).parquet(f"{base}/dealt/run={run}")
+            batch = state(rows, as_ntz(v["vintage_cutoff_at"]))
+            batch.observe(seen, *[c.alias(k) for k, c in figures.items()]).write.parquet(f"{base}/batches/run={run}")
+            for k, n in seen.get.items():
+                total[k] += n or 0
+        n, both = total["rows"], total["append_closed"] + total["restated"]
+        log.append(
+            {
+                "vintage_seq": v["vintage_seq"], "vintage_date": v["vintage_date"],
+                "append_row_count": n, "append_distinct_requests": n, "append_closed_count": total["append_closed"],
+                "merge_row_count": n, "merge_distinct_requests": n, "merge_closed_count": both,
+                "rows_disagreeing": total["restated"], "closures_missed_by_append": total["restated"],
+                "append_seconds": Decimal(total["append_s"]), "merge_seconds": Decimal(total["merge_s"]),
+            }
+        )
+    if there:
+        batches = spark.read.schema(with_fresh).parquet(*[f"{base}/batches/run={run}" for run in sorted(there)])
+    else:
+        batches = spark.createDataFrame([], with_fresh)
+    merged = latest_per_key(batches.drop("fresh"), "request_id", ["loaded_at_vintage"])
+    return Replayed(_log_frame(spark, log), batches.filter("fresh").drop("fresh"), merged)
+
+
+def replay_compared(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
+    """The replay for any rows: after each run both tables are measured as they stand.
+
+    A run adds a folder of rows to each table: those of unknown keys to the append-only one,
+    all of its batch to the merged one, whose newest version of a key counts. Rows that did
+    not change are never written again and no folder is overwritten.
     """
     spark = valid.sparkSession
     base = f"{store.path('comparison', 'replay')}-{uuid.uuid4().hex[:12]}"

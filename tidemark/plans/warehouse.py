@@ -137,6 +137,11 @@ class Warehouse:
             "comparison", "vintage_drift_log", replay.drift(self.replayable, self.periods, self.params)
         )
 
+    @cached_property
+    def replayed(self) -> replay.Replayed:
+        """Every vintage run through both loads: the log, and the tables as the last run left them."""
+        return replay.replay(self.replayable, self.periods, self.store)
+
     @cached_property
     def drift_summary(self) -> DataFrame:
         return replay.drift_summary(self.drift_log)
