@@ -421,27 +421,6 @@ PARTS["drifted"] = (
     FROM x GROUP BY ALL
     """,
 )
-# The same over the ends of quarters.
-PARTS["quarters"] = (
-    [],
-    f"""
-    WITH ends AS (
-      SELECT last_day(q::DATE + INTERVAL 2 MONTH) AS d
-      FROM generate_series(date_trunc('quarter', DATE '{P.vintage_first}')::TIMESTAMP,
-                           date_trunc('quarter', {BUILD})::TIMESTAMP, INTERVAL 3 MONTH) AS g(q)
-      WHERE last_day(q::DATE + INTERVAL 2 MONTH) <= {BUILD}::DATE
-      UNION SELECT {BUILD}::DATE
-    )
-    SELECT d AS vintage_date, d::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 SECOND AS cutoff,
-      row_number() OVER (ORDER BY d)::BIGINT AS seq
-    FROM ends
-    """,
-)
-for _name, _reads in (("seen", ["valid", "quarters"]), ("drifted", ["quarterly_seen", "quarters"])):
-    PARTS[f"quarterly_{_name}"] = (
-        _reads,
-        PARTS[_name][1].replace("FROM periods", "FROM quarters").replace("JOIN seen", "JOIN quarterly_seen"),
-    )
 _AR = ratio("append_closed_count", "append_row_count")
 _MR = ratio("merge_closed_count", "merge_row_count")
 PARTS["drift_errors"] = (
@@ -661,23 +640,30 @@ final(
 )
 final("append_only_table", ["append_only"], rounded("append_only", _STATE_FLOATS))
 final("merge_table", ["merged"], rounded("merged", _STATE_FLOATS))
-_BEFORE = f"TIMESTAMP '{q.PREVIOUS_CUTOFF}'"
-PARTS["two_runs"] = (
+_RUNS = ", ".join(f"TIMESTAMP '{c}'" for c in q.RUNS)
+PARTS["three_runs"] = (
     ["valid"],
-    f"SELECT *, CASE WHEN created_at <= {_BEFORE} THEN {_BEFORE} ELSE {_AT} END AS entered "
-    f"FROM valid WHERE created_at <= {_AT}",
+    f"""SELECT * FROM (
+      SELECT *, (SELECT min(c) FROM unnest([{_RUNS}]) u(c) WHERE created_at <= c) AS entered,
+        (SELECT min(c) FROM unnest([{_RUNS}]) u(c) WHERE closed_at <= c) AS learned
+      FROM valid) WHERE entered IS NOT NULL""",
 )
-PARTS["run_append"] = (["two_runs"], state("two_runs", "CASE WHEN closed_at <= entered THEN closed_at END", "entered"))
+PARTS["run_append"] = (["three_runs"], state("three_runs", "CASE WHEN closed_at <= entered THEN closed_at END", "entered"))
 PARTS["run_merge"] = (
-    ["two_runs"],
+    ["three_runs"],
     state(
-        "two_runs",
-        f"CASE WHEN closed_at <= {_AT} THEN closed_at END",
-        f"CASE WHEN closed_at > {_BEFORE} AND closed_at <= {_AT} THEN {_AT} ELSE entered END",
+        "three_runs",
+        "CASE WHEN learned IS NOT NULL THEN closed_at END",
+        "greatest(entered, coalesce(learned, entered))",
     ),
 )
-final("incremental_append", ["run_append"], rounded("run_append", _STATE_FLOATS))
-final("incremental_merge", ["run_merge"], rounded("run_merge", _STATE_FLOATS))
+for _name in ("incremental", "materialized"):
+    final(f"{_name}_append", ["run_append"], rounded("run_append", _STATE_FLOATS))
+    final(f"{_name}_merge", ["run_merge"], rounded("run_merge", _STATE_FLOATS))
+final("materialized_stack", *FINAL["materialized_merge"])
+final("replayed_append", *FINAL["append_only_table"])
+final("replayed_merge", *FINAL["merge_table"])
+final("as_of_carried", ["facts"], "SELECT request_id, complaint_type_key FROM facts")
 final(
     "missed_closures", ["seen"],
     "SELECT request_id, closed_at FROM seen WHERE close_cutoff > first_cutoff",
@@ -691,10 +677,7 @@ final(
 )
 final("high_water_mark", ["merged"], "SELECT max(source_updated_at) AS high_water_mark FROM merged")
 final("drift_log", ["drifted"], rounded("drifted", ["append_avg_days_to_close", "merge_avg_days_to_close"]))
-final(
-    "replay_loop", ["quarterly_drifted"],
-    rounded("quarterly_drifted", ["append_avg_days_to_close", "merge_avg_days_to_close"]),
-)
+final("replay_loop", *FINAL["drift_log"])
 final("drift_summary", ["drift_errors"], "SELECT * FROM drift_errors ORDER BY vintage_seq")
 final(
     "drift_worst_vintage", ["drift_errors"],
@@ -994,6 +977,16 @@ final(
     f"SELECT * FROM landing QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY {OLDEST_FIRST}) = 1",
 )
 final("stream_merge", ["newest"], "SELECT * FROM newest")
+final("stream_keyed_merge", *FINAL["stream_merge"])
+final(
+    "stream_changes", ["landing"],
+    f"""WITH d AS (
+         SELECT DISTINCT unique_key, 1 + (_ingested_at > '{q.DELIVERIES[0]}')::BIGINT + (_ingested_at > '{q.DELIVERIES[1]}')::BIGINT AS delivery
+         FROM landing),
+       c AS (
+         SELECT *, CASE WHEN min(delivery) OVER (PARTITION BY unique_key) = delivery THEN 'new' ELSE 'restated' END AS change FROM d)
+       SELECT delivery, change, count(*) AS requests, count(unique_key) AS with_key FROM c GROUP BY ALL""",
+)
 final(
     "event_durations", [],
     f"""WITH e AS (SELECT event_type, {secs("ts", "(date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 SECOND)")} AS s

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog.faults import Spoilt
 from tidemark.functions import as_ntz, days_between, rounded, seconds_between
-from tidemark.operators import periods as cal
+from tidemark.materialized import Materialized
 from tidemark.operators import sampling, snapshots
 from tidemark.operators.joins import append_new, orphans, upsert
 from tidemark.operators.latest import latest_per_key, paired_states
+from tidemark.operators.scd2 import NO_DESCRIPTOR, UNKNOWN, carry_forward
 from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources import export
 from tidemark.sources import landing as src
 from tidemark.sources.tables import ORDER_PARAMS, landing_from_orders, read
 from tidemark.store import Store
-from tidemark.streaming import incremental, ingest
+from tidemark.streaming import incremental, ingest, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # compared with.
 CUTOFF = "1998-03-31 23:59:59"
 PREVIOUS_CUTOFF = "1998-02-28 23:59:59"
+RUNS = (PREVIOUS_CUTOFF, CUTOFF, "2001-08-01 23:59:59")
+TABLE_BUCKETS = 16
 CAPTURED_UPTO = "2001-08-05 23:59:59"
 DELIVERIES = ("2001-08-03 23:59:59", CAPTURED_UPTO)
 PAGE_AFTER = ("1997-06-30 00:00:00", "5000")
@@ -275,16 +280,33 @@ def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(out)
 
 
-def _two_runs(w: Warehouse) -> tuple[DataFrame, DataFrame]:
-    """A first full run at the earlier cutoff and the batch of the next one."""
-    earlier, later = as_ntz(PREVIOUS_CUTOFF), as_ntz(CUTOFF)
-    return replay.vintage_batch(w.valid, earlier), replay.vintage_batch(w.valid, later, earlier)
+def _runs(w: Warehouse) -> list[DataFrame]:
+    """The batches of three runs: a first full one, the next month's, and the final vintage's."""
+    cutoffs = [as_ntz(c) for c in RUNS]
+    return [replay.vintage_batch(w.valid, at, before) for before, at in zip([None, *cutoffs], cutoffs)]
 
 
-def replay_loop(w: Warehouse) -> DataFrame:
-    """Every quarter's vintage run through both loads, over all rows."""
-    quarters = w.params.with_(vintage_cadence="quarter")
-    return replay.replay(w.replayable, cal.periods(w.spark, quarters), w.store).log
+def _in_sessions(w: Warehouse, name: str, run: Callable[[Materialized, DataFrame], None]) -> DataFrame:
+    """The three runs against a stored table, each with a handle that knows only its folder."""
+    path = f"{w.store.path('comparison', name)}-{uuid.uuid4().hex[:8]}"
+    batches = _runs(w)
+
+    def session() -> Materialized:
+        return Materialized(w.spark, path, batches[0].schema, "request_id", TABLE_BUCKETS, "source_updated_at")
+
+    for batch in batches:
+        run(session(), batch)
+    session().expire(keep=1)
+    return session().read()
+
+
+def as_of_carried(w: Warehouse) -> DataFrame:
+    """The version of each request's type, found by carrying versions forward in time."""
+    rows = w.valid.select("request_id", "created_at", "complaint_type", "descriptor")
+    match = {"complaint_type": F.col("complaint_type"), "descriptor": F.coalesce("descriptor", F.lit(NO_DESCRIPTOR))}
+    history = w.dim_complaint_type.filter(~F.col("is_unknown_member"))
+    found = carry_forward(rows, history, match, "created_at", "complaint_type_key")
+    return found.select("request_id", F.coalesce("complaint_type_key", F.lit(UNKNOWN)).alias("complaint_type_key"))
 
 
 def _arrivals(w: Warehouse) -> list[DataFrame]:
@@ -334,6 +356,39 @@ def stream_merge(w: Warehouse) -> DataFrame:
     return incremental.read_merged(w.spark, target, src.LANDING_SCHEMA, "unique_key", order)
 
 
+def _keyed(w: Warehouse) -> tuple[str, str]:
+    """The deliveries merged as keyed state; the second one is lost once, after its changes
+    were written, and repeated. Answers the folders of changes and progress."""
+    root = f"{w.store.path('comparison', 'stream_keyed')}-{uuid.uuid4().hex[:8]}"
+    order = ["_ingested_at", "closed_date"]
+
+    def lost(batch_id: int) -> None:
+        raise RuntimeError("lost before the batch was committed")
+
+    for n, delivery in enumerate(_arrivals(w)):
+        delivery.write.mode("append").parquet(f"{root}/arrivals")
+        source = w.spark.readStream.schema(src.LANDING_SCHEMA).parquet(f"{root}/arrivals")
+        if n == 1:
+            try:
+                keyed.merge_available(source, f"{root}/changes", f"{root}/progress", "unique_key", order, lost)
+            except StreamingQueryException:
+                pass
+        keyed.merge_available(source, f"{root}/changes", f"{root}/progress", "unique_key", order)
+    return f"{root}/changes", f"{root}/progress"
+
+
+def stream_keyed_merge(w: Warehouse) -> DataFrame:
+    return keyed.read_state(w.spark, _keyed(w)[1], src.LANDING_SCHEMA)
+
+
+def stream_changes(w: Warehouse) -> DataFrame:
+    """New and restated requests of each delivery."""
+    changes = keyed.read_changes(w.spark, _keyed(w)[0], src.LANDING_SCHEMA)
+    return changes.groupBy((F.col(keyed.BATCH) + 1).alias("delivery"), keyed.CHANGE).agg(
+        F.count(F.lit(1)).alias("requests"), F.count("unique_key").alias("with_key")
+    )
+
+
 def checks_on_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All assertions over tables with planted faults, and over a manifest with some."""
     w = warehouse(spark, sf_dir)
@@ -380,9 +435,15 @@ REGISTERED: dict[str, Query] = {
     "vintage_batch": _over_warehouse(lambda w: replay.vintage_batch(w.valid, as_ntz(CUTOFF), as_ntz(PREVIOUS_CUTOFF))),
     "append_only_table": _over_warehouse(lambda w: w.append_only),
     "merge_table": _over_warehouse(lambda w: w.merged),
-    "incremental_append": _over_warehouse(lambda w: append_new(*_two_runs(w))),
-    "incremental_merge": _over_warehouse(lambda w: upsert(*_two_runs(w))),
-    "replay_loop": _over_warehouse(replay_loop),
+    "incremental_append": _over_warehouse(lambda w: reduce(append_new, _runs(w))),
+    "incremental_merge": _over_warehouse(lambda w: reduce(upsert, _runs(w))),
+    "materialized_append": _over_warehouse(lambda w: _in_sessions(w, "materialized_append", Materialized.append_new)),
+    "materialized_merge": _over_warehouse(lambda w: _in_sessions(w, "materialized_merge", Materialized.upsert)),
+    "materialized_stack": _over_warehouse(lambda w: _in_sessions(w, "materialized_stack", Materialized.stack)),
+    "replay_loop": _over_warehouse(lambda w: w.replayed.log),
+    "replayed_append": _over_warehouse(lambda w: w.replayed.append_only),
+    "replayed_merge": _over_warehouse(lambda w: w.replayed.merged),
+    "as_of_carried": _over_warehouse(as_of_carried),
     "missed_closures": _over_warehouse(lambda w: replay.missed_closures(w.append_only, w.merged)),
     "table_disagreement": _over_warehouse(lambda w: replay.measure(w.append_only, w.merged)),
     "high_water_mark": _over_warehouse(lambda w: replay.high_water_mark(w.merged)),
@@ -418,6 +479,8 @@ REGISTERED: dict[str, Query] = {
     "stream_ingest": _over_warehouse(stream_ingest),
     "stream_append_only": _over_warehouse(stream_append_only),
     "stream_merge": _over_warehouse(stream_merge),
+    "stream_keyed_merge": _over_warehouse(stream_keyed_merge),
+    "stream_changes": _over_warehouse(stream_changes),
     # assertions
     "checks_summary": _over_warehouse(checks.run_checks),
     "checks_on_faults": checks_on_faults,
