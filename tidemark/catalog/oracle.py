@@ -13,7 +13,7 @@ from tidemark.catalog import queries as q
 from tidemark.operators.snapshots import DATED, PROBE_FIELDS
 from tidemark.plans import ledger as ledger_texts
 from tidemark.plans.staging import WARN_FLAGS
-from tidemark.sources.landing import LANDING_COLUMNS
+from tidemark.sources.landing import LANDING_COLUMNS, SOURCE_COLUMNS
 from tidemark.sources.tables import ORDER_PARAMS as P
 
 BUILD = f"TIMESTAMP '{P.build_as_of}'"
@@ -44,6 +44,12 @@ def key_of(*parts: str) -> str:
 # Named parts: name -> (parts it reads, SQL).
 PARTS: dict[str, tuple[list[str], str]] = {}
 
+def content_of(*columns: str) -> str:
+    """The same sum over hashes of whole rows as the query makes."""
+    whole = ", ".join(f"coalesce({c}, '~')" for c in columns)
+    return f"sum(('0x' || substr(md5(concat_ws('|', {whole})), 1, 12))::BIGINT)::BIGINT"
+
+
 PARTS["landing"] = (
     [],
     f"""
@@ -537,7 +543,7 @@ final(
 final(
     "landing_roundtrip", ["landing"],
     f"""SELECT substr(created_date, 1, 7) AS slice, '{q.ROUNDTRIP_STAMP}' AS _ingested_at, count(*) AS row_count,
-         count(DISTINCT unique_key) AS distinct_keys FROM landing GROUP BY 1""",
+         count(DISTINCT unique_key) AS distinct_keys, {content_of(*SOURCE_COLUMNS)} AS content FROM landing GROUP BY 1""",
 )
 final(
     "written_sample", ["newest"],
@@ -551,6 +557,19 @@ final(
        WHERE (created_at, request_id) > (TIMESTAMP '{q.PAGE_AFTER[0]}', '{q.PAGE_AFTER[1]}')
        ORDER BY created_at, request_id LIMIT {q.PAGE_ROWS}""",
 )
+final(
+    "keyset_walk", ["valid"],
+    f"""WITH r AS (
+         SELECT *, (row_number() OVER (ORDER BY created_at, request_id) - 1) // {q.WALK_ROWS} + 1 AS page FROM valid)
+       SELECT page::BIGINT AS page, count(*) AS page_rows, max(created_at) AS last_created_at,
+         max_by(request_id, (created_at, request_id)) AS last_request_id, {content_of('request_id')} AS ids FROM r GROUP BY page""",
+)
+final(
+    "distinct_sketches", ["landing"],
+    """SELECT coalesce(substr(created_date, 1, 7), 'none') AS slice, count(*) AS row_count,
+         count(DISTINCT unique_key) AS exact_keys, TRUE AS within_bound FROM landing GROUP BY 1
+       UNION ALL SELECT 'all', count(*), count(DISTINCT unique_key), TRUE FROM landing""",
+)
 final(
     "systematic_sample", ["valid"],
     f"""WITH r AS (
@@ -786,6 +805,7 @@ final(
     ),
 )
 final("snapshot_recheck", *FINAL["field_change_counts"])
+final("snapshot_diff_digests", *FINAL["snapshot_diff"])
 final(
     "probe_summary", ["diffed"],
     f"""SELECT count(*) AS sample_size, count(*) FILTER (NOT disappeared) AS refetched,
@@ -966,11 +986,17 @@ final(
     [f"bad_{n}" if n in _SPOILT else n for n in _READ] + ["tieout"],
     _checked([*map(_spoilt, _CHECKS), "SELECT 'landing.manifest_ties_out', 'error', count(*) FILTER (NOT ties_out) FROM tieout"]),
 )
+final(
+    "stream_manifest", ["landing"],
+    f"""SELECT coalesce(substr(created_date, 1, 7), 'none') AS slice, count(*) AS rows, max(created_date) AS last_sort,
+         max_by(unique_key, (created_date, unique_key)) AS last_key, TRUE AS complete, count(*) AS landed_rows,
+         {content_of(*LANDING_COLUMNS)} AS content FROM landing GROUP BY 1""",
+)
 PARTS["tieout"] = FINAL["manifest_tieout"]
 final(
     "stream_ingest", ["landing"],
-    """SELECT substr(created_date, 1, 7) AS slice, count(*) AS row_count, count(DISTINCT _ingested_at) AS ingestions
-       FROM landing GROUP BY 1""",
+    f"""SELECT substr(created_date, 1, 7) AS slice, count(*) AS row_count, count(DISTINCT _ingested_at) AS ingestions,
+         {content_of(*LANDING_COLUMNS)} AS content FROM landing GROUP BY 1""",
 )
 final(
     "stream_append_only", ["landing"],

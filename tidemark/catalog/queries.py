@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 from tidemark.catalog.faults import Spoilt
 from tidemark.functions import as_ntz, days_between, rounded, seconds_between
 from tidemark.materialized import Materialized
-from tidemark.operators import sampling, snapshots
+from tidemark.operators import digests, sampling, snapshots
+from tidemark.operators.distinct import DistinctCounts, relative_error, slice_sketches
 from tidemark.operators.joins import append_new, orphans, upsert
 from tidemark.operators.latest import latest_per_key, paired_states
+from tidemark.operators.pages import ClusteredPages
 from tidemark.operators.scd2 import NO_DESCRIPTOR, UNKNOWN, carry_forward
 from tidemark.plans import checks, ledger, marts, replay, reports, staging
 from tidemark.plans.warehouse import Warehouse
@@ -38,6 +40,8 @@ CAPTURED_UPTO = "2001-08-05 23:59:59"
 DELIVERIES = ("2001-08-03 23:59:59", CAPTURED_UPTO)
 PAGE_AFTER = ("1997-06-30 00:00:00", "5000")
 PAGE_ROWS = 1000
+WALK_ROWS = 2500
+DIGEST_BUCKETS = 4096
 PROBE_ROWS = 3000
 EXAMPLES = 10
 SAMPLE_PER_MONTH = 50
@@ -80,6 +84,12 @@ def presented(df: DataFrame) -> DataFrame:
     return df.select(*[show(f) for f in df.schema.fields])
 
 
+def content_of(*columns: str) -> Column:
+    """A sum over hashes of whole rows: a field that is lost or swapped in any row changes it."""
+    whole = F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in columns])
+    return F.sum(F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10).cast("bigint"))
+
+
 def _over_warehouse(make: Callable[[Warehouse], DataFrame]) -> Query:
     return lambda spark, sf_dir: presented(make(warehouse(spark, sf_dir)))
 
@@ -156,8 +166,9 @@ def landing_roundtrip(w: Warehouse) -> DataFrame:
     src.append_ndjson(w.landing.drop(src.INGESTED_AT), where, ROUNDTRIP_STAMP)
     back = src.scan_ndjson(w.spark, where)
     return back.groupBy(src.slice_label("created_date").alias("slice"), src.INGESTED_AT).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct("unique_key").alias("distinct_keys")
-    )
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("unique_key").alias("distinct_keys"),
+        content_of(*src.SOURCE_COLUMNS).alias("content"),
+    )
 
 
 def written_sample(w: Warehouse) -> DataFrame:
@@ -205,19 +216,32 @@ def _diff(w: Warehouse) -> DataFrame:
     return snapshots.compare_states(captured, "unique_key", snapshots.PROBE_FIELDS)
 
 
-def snapshot_recheck(w: Warehouse) -> DataFrame:
-    """The same comparison from two captured frames, as a probe makes it."""
+def _captures(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """The captured frames of an earlier ingestion and of now."""
     narrow = w.landing.select("unique_key", "_ingested_at", *snapshots.PROBE_FIELDS, "location_type")
     earlier = latest_per_key(narrow.filter(F.col("_ingested_at") <= CAPTURED_UPTO), "unique_key", _PROBE_ORDER)
     now = latest_per_key(narrow, "unique_key", _PROBE_ORDER)
     a = snapshots.capture(earlier, scope="all")
-    b = snapshots.recheck(now.filter(~F.coalesce(F.col("location_type") == PURGED, F.lit(False))), a)
-    diff = snapshots.snapshot_diff(a, b, "unique_key", snapshots.PROBE_FIELDS)
+    return a, snapshots.recheck(now.filter(~F.coalesce(F.col("location_type") == PURGED, F.lit(False))), a)
+
+
+def snapshot_recheck(w: Warehouse) -> DataFrame:
+    """The same comparison from two captured frames, as a probe makes it."""
+    diff = snapshots.snapshot_diff(*_captures(w), "unique_key", snapshots.PROBE_FIELDS)
     return snapshots.field_change_counts(diff, snapshots.PROBE_FIELDS)
 
 
+def snapshot_diff_digests(w: Warehouse) -> DataFrame:
+    """The same rows from two captured frames, of which only differing buckets are joined."""
+    return _shown(digests.diff_by_digests(*_captures(w), "unique_key", snapshots.PROBE_FIELDS, DIGEST_BUCKETS))
+
+
 def snapshot_diff(w: Warehouse) -> DataFrame:
-    return _diff(w).select(
+    return _shown(_diff(w))
+
+
+def _shown(diff: DataFrame) -> DataFrame:
+    return diff.select(
         "unique_key",
         "disappeared",
         F.array_join("changed_fields", ",").alias("changed_fields"),
@@ -263,6 +287,22 @@ def keyset_page(w: Warehouse) -> DataFrame:
     return sampling.keyset_page(rows, "created_at", "request_id", PAGE_ROWS, after)
 
 
+def keyset_walk(w: Warehouse) -> DataFrame:
+    """Every page of a walk over clustered storage: how many rows it has, and the cursor it ends at."""
+    rows = w.valid.select("created_at", "request_id", "agency_code", "complaint_type")
+    where = f"{w.store.path('intermediate', 'pages')}-{uuid.uuid4().hex[:8]}"
+    pages = ClusteredPages.cluster(rows, where, "created_at", "request_id")
+    summed = [
+        p.agg(
+            F.lit(n).alias("page"), F.count(F.lit(1)).alias("page_rows"), F.max("created_at").alias("last_created_at"),
+            F.max_by("request_id", F.struct("created_at", "request_id")).alias("last_request_id"),
+            content_of("request_id").alias("ids"),
+        )
+        for n, p in enumerate(pages.walk(WALK_ROWS), 1)
+    ]
+    return reduce(DataFrame.unionByName, summed)
+
+
 def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary seconds and days from each event to the last second of its
     month, per event type. Event times carry microseconds."""
@@ -324,8 +364,60 @@ def stream_ingest(w: Warehouse) -> DataFrame:
     return (
         ingest.landed(w.spark, f"{root}/landing")
         .groupBy(src.slice_label("created_date").alias("slice"))
-        .agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("_ingested_at").alias("ingestions"))
+        .agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_distinct("_ingested_at").alias("ingestions"),
+            content_of(*src.LANDING_SCHEMA.names).alias("content"),
+        )
+    )
+
+
+def stream_manifest(w: Warehouse) -> DataFrame:
+    """Deliveries of NDJSON taken in with the progress of each slice; the second run is lost
+    once between the two. The manifest against the rows that landed, which it must tie out with."""
+    root = f"{w.store.path('raw', 'stream_manifest')}-{uuid.uuid4().hex[:8]}"
+    arrivals, landing, progress = f"{root}/arrivals", f"{root}/landing", f"{root}/progress"
+
+    def lost(batch_id: int) -> None:
+        raise RuntimeError("lost between rows and progress")
+
+    for n, delivery in enumerate(_arrivals(w)):
+        delivery.write.mode("append").option("compression", "gzip").json(arrivals)
+        if n == 1:
+            try:
+                ingest.ingest_slices(w.spark, arrivals, landing, progress, after_rows=lost)
+            except StreamingQueryException:
+                pass
+        ingest.ingest_slices(w.spark, arrivals, landing, progress)
+    promised = src.slice_counts(w.landing).select(F.coalesce("slice", F.lit("none")).alias("slice"), F.col("row_count").alias("rows"))
+    manifest = ingest.slice_manifest(w.spark, landing, promised)
+    src.require_complete(manifest)
+    landed = ingest.landed_slices(w.spark, landing).groupBy("slice").agg(
+        F.count(F.lit(1)).alias("landed_rows"), content_of(*src.LANDING_SCHEMA.names).alias("content")
+    )
+    return manifest.join(landed, "slice", "full_outer")
+
+
+def distinct_sketches(w: Warehouse) -> DataFrame:
+    """Distinct keys per month slice and over all, by united sketches next to the exact counts.
+
+    The sketches are taken in by two sessions: the slices of even months, then the others.
+    """
+    path = f"{w.store.path('intermediate', 'distinct')}-{uuid.uuid4().hex[:8]}"
+    label = F.coalesce(src.slice_label("created_date"), F.lit("none"))
+    even = F.coalesce(F.substring(label, 6, 2).try_cast("int") % 2 == 0, F.lit(False))
+    for part in (even, ~even):
+        DistinctCounts(w.spark, path).replace(slice_sketches(w.landing.filter(part), label, "unique_key"))
+    kept = DistinctCounts(w.spark, path)
+    estimates = kept.per_slice().withColumnRenamed("rows", "row_count").unionByName(
+        kept.over().select(F.lit("all").alias("slice"), F.col("rows").alias("row_count"), "distinct_keys")
+    )
+    exact = src.landing_profile(w.landing).select(
+        F.when(F.col("scope") == "all", F.lit("all")).otherwise(F.coalesce("slice", F.lit("none"))).alias("slice"),
+        F.col("distinct_keys").alias("exact_keys"),
     )
+    off = F.abs(F.col("distinct_keys") - F.col("exact_keys"))
+    bound = F.greatest(F.lit(4 * relative_error()) * F.col("exact_keys"), F.lit(1))
+    return estimates.join(exact, "slice", "left").select("slice", "row_count", "exact_keys", (off <= bound).alias("within_bound"))
 
 
 def _streamed(w: Warehouse, name: str) -> tuple[str, list[str]]:
@@ -406,6 +498,8 @@ REGISTERED: dict[str, Query] = {
     "landing_roundtrip": _over_warehouse(landing_roundtrip),
     "written_sample": _over_warehouse(written_sample),
     "keyset_page": _over_warehouse(keyset_page),
+    "keyset_walk": _over_warehouse(keyset_walk),
+    "distinct_sketches": _over_warehouse(distinct_sketches),
     "systematic_sample": _over_warehouse(systematic_sample),
     # staging
     "latest_per_key": _over_warehouse(latest_current),
@@ -471,12 +565,14 @@ REGISTERED: dict[str, Query] = {
         lambda w: snapshots.field_change_counts(_diff(w), snapshots.PROBE_FIELDS)
     ),
     "snapshot_recheck": _over_warehouse(snapshot_recheck),
+    "snapshot_diff_digests": _over_warehouse(snapshot_diff_digests),
     "probe_summary": _over_warehouse(lambda w: snapshots.probe_summary(_diff(w))),
     "probe_capture": _over_warehouse(probe_capture),
     "change_visibility": _over_warehouse(change_visibility),
     "change_examples": _over_warehouse(change_examples),
     # streams
     "stream_ingest": _over_warehouse(stream_ingest),
+    "stream_manifest": _over_warehouse(stream_manifest),
     "stream_append_only": _over_warehouse(stream_append_only),
     "stream_merge": _over_warehouse(stream_merge),
     "stream_keyed_merge": _over_warehouse(stream_keyed_merge),
