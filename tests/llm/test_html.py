@@ -70,6 +70,29 @@ def test_pages(spark):
     got = {r.page_id: r.text for r in found}
     assert got[1] == "Title " + " ".join(f"Paragraph {i} of the störy, with a link in it." for i in range(6))
     assert got[2] == got[None] == ""
+    assert got[3] == "no markup at all"
     assert got[5].count("long") == 60_000
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_main.extract(empty).collect() == []
+
+
+def test_no_text_of_the_article_is_lost(extractor):
+    story = "".join(f"<p>Paragraph {i} of the story, with some words in it, and more of them.</p>" for i in range(8))
+    plain = " ".join(f"Paragraph {i} of the story, with some words in it, and more of them." for i in range(8))
+    for source, want in (
+        (f"<article>{story}<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>", f"{plain} Energy is E=m here."),
+        (f"<article>{story}<p>x <svg> three</p><p>four is here, and here.</p><p>five</p></article>", f"{plain} x three four is here, and here. five"),
+        (f"<article><noscript><p>Noscript words in the article, as they are.</p></noscript>{story}</article>", f"Noscript words in the article, as they are. {plain}"),
+        (f"<html><body><script>var a = 1;{story}", plain),
+        ("<p>a &#" + "1" * 5000 + "; b &#" + "0" * 5000 + "65;</p>", "a \ufffd b A"),
+    ):
+        assert extractor.texts([source]) == [want]
+
+
+def test_odd_pages_are_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for source in ("<b><i>" * 8000 + "</p></u>" * 8000, "<x" * 20_000, "</p>" * 20_000, "<script>" * 20_000, "<li>" * 20_000):
+        read(source)
+    assert time.process_time() - began < 5

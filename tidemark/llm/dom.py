@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)",
     re.S,
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -19,10 +20,12 @@ _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of the HTML standard: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong"
-    " sub sup time tt u var wbr img label".split()
+    " sub sup time tt u var wbr img label"
+    " math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder mtable mtr mtd semantics annotation"
+    " svg g path text tspan object canvas noscript template".split()
 )
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -35,6 +38,21 @@ SCOPE = {
 }
 
 
+_REFERENCE = re.compile(r"&#(?:([0-9]{9,})|[xX]([0-9a-fA-F]{9,}));?")
+# Where an element of RAW that is never closed ends.
+_BLOCK = re.compile(r"<(?:/?(?:body|html|head|div|main|article|section)|p|h[1-6]|ul|ol|dl|table|footer|header|nav|aside)\b", re.I)
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; a number of any length that is too large is U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0")
+        return "\ufffd" if len(digits) > 8 else f"&#{'' if m[1] else 'x'}{digits or 0};"
+
+    return html.unescape(_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
 @dataclass
 class Page:
     """Nodes in page order, parents first; pieces of text with their node; None ends a block."""
@@ -54,13 +72,21 @@ def tokens(attrs: str) -> tuple[str, ...]:
 def read(source: str) -> Page:
     """The nodes of a page; scripts, styles, markup and the head's title leave no text."""
     page, stack, at = Page(), [0], 0
+    open_: Counter[str] = Counter()  # open elements by name, so that a stray end costs nothing
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            open_[tags[node]] -= 1
+        del stack[k:]
+
     tags, parents, names, pieces = page.tags, page.parents, page.names, page.pieces
     search = _TOKEN.search
+    endless: set[str] = set()  # raw elements without another end
     while at < len(source):
         m = search(source, at)
         text = source[at : m.start()] if m else source[at:]
         if text:
-            pieces.append((stack[-1], html.unescape(text)))
+            pieces.append((stack[-1], unescape(text)))
         if not m:
             break
         at = m.end()
@@ -70,32 +96,39 @@ def read(source: str) -> Page:
         if tag not in INLINE:
             pieces.append(None)
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if tags[stack[k]] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and tags[stack[k]] not in INLINE:
                     break  # an inline end does not close a block
             continue
         if tag in RAW:
             if not (m["attrs"] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                if tag not in endless:
+                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                    if end is None:
+                        endless.add(tag)
+                if tag in endless:
+                    block = _BLOCK.search(source, at)
+                    at = block.start() if block else len(source)
+                else:
+                    at = end.end()
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in SCOPE[tag]:
                     break
                 if tags[stack[k]] in CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     # a row also ends where a cell of it was open
                     if tag == "tr" and len(stack) > 1 and tags[stack[-1]] == "tr":
-                        del stack[-1:]
+                        close(len(stack) - 1)
                     break
-        if tag not in INLINE and tag not in VOID:
+        if tag not in INLINE and tag not in VOID and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if tags[stack[k]] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if tags[stack[k]] not in INLINE:
                     break
@@ -106,6 +139,7 @@ def read(source: str) -> Page:
         names.append(tokens(m["attrs"] or "") if m["attrs"] else ())
         if not (m["attrs"] or "").endswith("/"):
             stack.append(len(tags) - 1)
+            open_[tag] += 1
     return page
 
 

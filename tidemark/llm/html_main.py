@@ -205,9 +205,13 @@ class Extractor:
 def decode(page: Page, logits: np.ndarray, own: np.ndarray) -> list[bool]:
     """Whether each node is kept, in the best labelling without contradictions.
 
-    Inline elements are part of their block: they share its log-odds and its label.
+    Inline elements are part of their block: they share its log-odds and its label. The root
+    is labelled like any node, for text that stands in no other; a page without an element
+    is its text.
     """
     n = len(logits)
+    if n == 1:
+        return [True]
     inline = [page.tags[i] in INLINE and i > 0 for i in range(n)]
     block = list(range(n))
     for i in range(1, n):
@@ -225,7 +229,7 @@ def decode(page: Page, logits: np.ndarray, own: np.ndarray) -> list[bool]:
         else:
             keep[up] += max(k, d - STOP)
             through[up] += max(through[i], k - START, d)
-    state = ["through"] * n
+    state = ["keep" if keep[0] - START > max(through[0], drop[0]) else "through"] * n
     for i in range(1, n):
         up, k, d = state[page.parents[i]], keep[i], drop[i]
         if block[i] != i:
