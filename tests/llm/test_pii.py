@@ -67,3 +67,24 @@ def test_copies_count_once_on_both_sides(make_docs):
     docs = make_docs([*plain, *near, *copies, *[(2000 + i, near[0][1]) for i in range(40)]])
     rows = pii.disclosing(docs, pii.scan(docs)).where("term = 'Zorblax'").collect()
     assert [(r.entity, r.n_with, r.n_docs, r.posterior) for r in rows] == [("email:z@mail.org", 5, 6, 5 / 6)]
+
+
+def test_patterns_take_linear_time_and_match_as_written():
+    import random
+    import re
+    import time
+
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab@@..1-_ 29é") for _ in range(rng.randrange(30)))
+        want = [(m.start(), 0, m.end()) for m in email.finditer(t)]
+        want += [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[1] < 2] == sorted(want), t
+    assert pii.base_spans("x " + "1" * 5000 + ".1.1.1 y") == []
+    assert pii.base_spans("x " + "0" * 5000 + "1.1.1.1 y") == [(2, 1, 5009)]
+    began = time.process_time()
+    for t in ("1" * 10**6, "a" * 10**6 + " b@c", "1." * 300_000, "a@" * 300_000):
+        pii.base_spans(t)
+    assert time.process_time() - began < 8

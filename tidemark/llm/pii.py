@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Known, term_set, written
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is looked for from its @: a run of characters without one costs nothing.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A match can only begin where a run of digits does.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,15 +58,35 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    """The leftmost addresses that do not overlap: before each @ as much as is left of its run."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[free:at][::-1]
+        local = LOCAL.match(before).end()
+        domain = DOMAIN.match(text, at + 1) if local else None
+        if domain:
+            found.append((at - local, 0, domain.end()))
+            free = domain.end()
+        else:
+            free = at + 1
+        at = text.find("@", free)
+    return found
+
+
+def _small(part: str) -> bool:
+    """Whether a run of digits is at most 255, however long it is."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the direct identifiers, in order."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += _emails(text)
     if re.search("[0-9]", text):
-        found += [
-            (m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))
-        ]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
         for m in CARD.finditer(text):
             d = _digits(m[0])
             if 14 <= len(d) <= 19 and luhn(d):
