@@ -82,5 +82,27 @@ def test_tree_follows_only_needed_edges():
     assert all((fps[i] ^ fps[c]).bit_count() == far for i, kids in enumerate(tree.children) for far, c in kids.items())
 
 
+def test_rows_without_an_id_link_others_and_ids_may_repeat(make_docs):
+    """A and C are only linked through B."""
+    rng = random.Random(7)
+    while True:
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        b = list(words)
+        b[10] = "x"
+        c = list(b)
+        c[90] = "y"
+        a, b, c = (" ".join(x) for x in (words, b, c))
+        bits = [simhash.fingerprint(t.encode()) & (1 << 64) - 1 for t in (a, b, c)]
+        far = lambda i, j: (bits[i] ^ bits[j]).bit_count()
+        if far(0, 1) <= 4 and far(1, 2) <= 4 and far(0, 2) > 4:
+            break
+    got = simhash.near_duplicates(make_docs([(1, a), (None, b), (3, c), (None, "else " * 9)])).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(1, 1), (None, 1), (3, 1), (None, None)], key=repr)
+
+    x, y = ("one two three four " * 9, "nothing like the other text " * 9)
+    got = simhash.near_duplicates(make_docs([(5, x), (5, y), (9, x), (8, y), (1, x), (2, y)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (5, 1), (5, 2), (8, 2), (9, 1)]
+
+
 def test_empty_table(make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []

@@ -198,13 +198,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    Nodes are fingerprints, so a row without an id links others like any row and gets the
+    smallest id it reaches (null where it reaches none), and rows of one id with different
+    texts are as far apart as their texts.
+    """
     fps = written(fingerprints(docs, shingle))
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    stars = components(links(nodes.where(F.col("node").isNotNull()), radius))
-    named = nodes.join(stars, "node", "left").select(
-        F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    stars = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    classes = nodes.join(stars, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("of"), F.coalesce("component", "fp").alias("class"), "first"
     )
+    smallest = classes.groupBy(F.col("class").alias("c")).agg(F.min("first").alias("component_id"))
+    named = classes.join(smallest, F.col("class") == F.col("c")).select("of", "component_id")
     return fps.join(named, F.col("fp") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
