@@ -99,3 +99,17 @@ def test_empty_tables(make_docs):
     assert rules.judged(rules.ledger(empty)).collect() == []
     assert rules.ablations(rules.ledger(empty)).count() == 0
     assert rules.passing(empty).collect() == []
+
+
+def test_null_and_equal_ids_fill_their_targets(make_docs):
+    for doc_id, text in ((None, None), (7, None), (None, "same words here now")):
+        rows = [(doc_id, text or f"w{i} " * 20, s) for s in "abc" for i in range(100)]
+        got = mixing.mix(make_docs(rows)).collect()
+        taken, target = defaultdict(int), {}
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert r.taken <= 2 * r.size
+        assert len(got) == 300
+        for s in "abc":
+            assert target[s] - 2 * 20 <= taken[s] <= target[s], (doc_id, s)

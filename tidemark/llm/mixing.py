@@ -10,8 +10,9 @@ all tasks like any other.
 
 A larger budget always has a larger threshold, so mixes of growing budgets nest.
 
-Null text has size 0, a null source is a source of its own and comes last. Documents
-of one hash are taken together. A repeated row is counted as often as it appears.
+Null text has size 0, a null source is a source of its own and comes last. Null and
+repeated ids are told apart by their text and, where that is equal too, by number. A
+repeated row is counted as often as it appears.
 An empty table gives an empty mix; columns besides doc_id, text, source are ignored.
 """
 
@@ -31,14 +32,31 @@ HASH_BITS = 60
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and the document's hash of 60 bits."""
-    return docs.select(
-        "doc_id",
-        "source",
-        F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10)
-        .cast("long")
-        .alias("hash"),
+    """doc_id, source, size in words and the row's hash of 60 bits.
+
+    The hash is of the id and the text, so neither null nor repeated ids stand or fall
+    together. Rows equal in both are numbered, and the number is hashed with them: which
+    of them has which number makes no difference. A group of equal rows is numbered piece
+    by piece, as the input's partitions hold it.
+    """
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    rows = written(
+        docs.select(
+            "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"),
+            F.spark_partition_id().alias("part"),
+        )
+    )
+    pieces = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    several = pieces.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("n > 1").select("key")
+    pieces = pieces.join(several, "key", "left_semi")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(pieces.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("key")) - 1
+    numbered = rows.join(offsets, ["key", "part"]).withColumn("number", F.col("offset") + within).drop("offset")
+    alone = rows.join(offsets, ["key", "part"], "left_anti").withColumn("number", F.lit(0).cast("long"))
+    own = F.md5(F.concat_ws("\x1f", "key", F.col("number").cast("string")))
+    return alone.unionByName(numbered).select(
+        "doc_id", "source", "size", F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias("hash")
     )
 
 

@@ -107,8 +107,8 @@ QUERIES: dict[str, Query] = {
 OP3_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(md5(key || chr(31) || (row_number() OVER (PARTITION BY key) - 1)), 1, 15))::BIGINT AS h
+  FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || chr(31) || md5(coalesce(text, ''))) AS key FROM documents)),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
