@@ -44,7 +44,7 @@ def test_stages(spark, make_docs, tmp_path):
 
 def test_registered():
     names = entry_points.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert set(queries.SQL) <= set(entry_points.oracle_sql())
 
