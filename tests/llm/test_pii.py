@@ -88,3 +88,24 @@ def test_patterns_take_linear_time_and_match_as_written():
     for t in ("1" * 10**6, "a" * 10**6 + " b@c", "1." * 300_000, "a@" * 300_000):
         pii.base_spans(t)
     assert time.process_time() - began < 8
+
+
+def test_terms_beyond_their_bound_change_nothing(spark, monkeypatch):
+    """Counting stops at the bound of a term; the pairs and their figures are those of counting on."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        who = i % 6
+        near = f"mister name{who} common writes from p{who}@x.org about w{rng.randrange(50)} and w{rng.randrange(50)}"
+        rows.append((i, near if i % 2 else f"common words name{who} of w{rng.randrange(50)} here common"))
+    docs = spark.createDataFrame(rows + [(100 + i, f"common talk number {i}") for i in range(40)], "doc_id long, text string").coalesce(2)
+
+    def found():
+        return sorted(tuple(r) for r in pii.disclosing(docs, pii.scan(docs), 2, 0.3, 0.5).collect())
+
+    bounded = found()
+    monkeypatch.setattr(pii, "_most", lambda pairs, posterior: __import__("numpy").full(pii.PLACES, 1 << 40))
+    assert bounded == found() and bounded
+    assert not any(r[1] == "common" for r in bounded)

@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,22 +147,52 @@ def scan(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(find, schema)
 
 
-def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, doc for the terms of a one-column table, over all documents; equal texts once."""
-    bits = docs.sparkSession.sparkContext.broadcast(term_set(terms))
+#: Places of the table that tells a task how often a term may occur.
+PLACES = 1 << 16
+
+
+def _most(pairs: DataFrame, posterior: float) -> np.ndarray:
+    """Per place of a term's hash: in how many documents it can be at most and still disclose an entity.
+
+    The posterior is n_with / n_docs, so n_docs may be n_with / posterior. At most 2^16 rows
+    come to the driver; terms that share a place share the larger number.
+    """
+    place = F.xxhash64("term").bitwiseAND(F.lit(PLACES - 1))
+    found = np.zeros(PLACES, np.int64)
+    for at, n in pairs.groupBy(place.alias("at")).agg(F.max("n_with")).collect():
+        found[at] = int(n / posterior)
+    return found
+
+
+def documents_with(docs: DataFrame, pairs: DataFrame, posterior: float) -> DataFrame:
+    """term, doc for the terms of ``pairs``, over all documents; equal texts once.
+
+    A task stops naming documents of a term once they are more than any of its entities
+    allows: the term is out then, however many others there are.
+    """
+    terms = pairs.select("term").distinct()
+    spark = docs.sparkSession.sparkContext
+    bits, most = spark.broadcast(term_set(terms)), spark.broadcast(_most(pairs, posterior))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(bits.value)
+        known, allowed = Known(bits.value), most.value
+        named: dict[bytes, set[int]] = {}
         for b in batches:
             seen = dict(zip(b.column(1).to_pylist(), b.column(0).to_pylist()))
-            pairs = [(w, doc) for doc, text in seen.items() for w in set((text or b"").split()) if known[w]]
+            out: list[tuple[bytes, int]] = []
+            for doc, text in seen.items():
+                for w in set((text or b"").split()):
+                    if known[w]:
+                        own = named.setdefault(w, set())
+                        if doc not in own and len(own) <= allowed[xxhash.xxh64_intdigest(w, 42) & (PLACES - 1)]:
+                            own.add(doc)
+                            out.append((w, doc))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in pairs], pa.binary()).cast(pa.string()), pa.array([d for _, d in pairs], pa.int64())], ["t", "doc"]
+                [pa.array([w for w, _ in out], pa.binary()).cast(pa.string()), pa.array([d for _, d in out], pa.int64())], ["t", "doc"]
             )
 
-    (name,) = terms.columns
     found = docs.select(F.col("text").cast("binary"), F.xxhash64("text").alias("doc")).mapInArrow(find, "t string, doc long")
-    wanted = terms.distinct().select(F.col(name).alias("wanted"))
+    wanted = terms.select(F.col("term").alias("wanted"))
     return found.join(wanted, F.col("t") == F.col("wanted"), "left_semi").select(F.col("t").alias("term"), "doc").distinct()
 
 
@@ -171,7 +202,7 @@ def disclosing(
     """entity, term, n_near, n_with, n_docs, posterior, bits of the pairs beyond the thresholds.
 
     n_near: surroundings of the term at the entity; n_with: documents with them; n_docs:
-    documents with the term.
+    documents with the term, exact for the pairs that are returned.
     """
     near = scanned.select("doc", F.inline("near")).distinct()
     marks = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
@@ -181,7 +212,7 @@ def disclosing(
     entities = near.select("entity", "doc").distinct().groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n_entity"))
     wanted = pairs.select("term").distinct()
     pieces = near.where(~F.col("whole")).select("term", "doc").join(wanted, "term", "left_semi")
-    holding = documents_with(docs, wanted).unionByName(pieces).distinct()
+    holding = documents_with(docs, pairs, posterior).unionByName(pieces).distinct()
     counts = holding.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("n_docs"))
     total = scanned.select("doc").distinct().count()
     p = F.col("n_with") / F.col("n_docs")
