@@ -2,9 +2,11 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import substring, suffix
+from tidemark.llm import substring, suffix, windows
 
 WIDTH = 50
 
@@ -56,9 +58,41 @@ def test_bytes(make_docs, odd_rows, batch_bytes):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_levels_stay_few():
-    import numpy as np
+def test_bytes_over_several_levels(make_docs, odd_rows, monkeypatch):
+    """With arrays of a few hundred suffixes a part scans and merges levels; the result is the same."""
+    want = sorted(suffix.dedup(make_docs(odd_rows)).collect(), key=repr)
+    answer, sizes = suffix._answer, []
+    monkeypatch.setattr(suffix, "BATCH_SUFFIXES", 1 << 8)
+    merged = suffix.Family.merged
+    monkeypatch.setattr(suffix.Family, "merged", staticmethod(lambda a, b: sizes.append(len(a[0])) or merged(a, b)))
+    texts = sorted({t.encode()[:400] for _, t in odd_rows if t and len(t.encode()) >= 60})
+    payload = b"".join(
+        (
+            len(texts).to_bytes(4, "little"),
+            np.array([len(t) for t in texts], "<u4").tobytes(),
+            np.arange(len(texts), 0, -1).astype("<i8").tobytes(),
+            *texts,
+        )
+    )
+    asked = pa.table({"batch": pa.array([0], pa.int32()), "part": pa.array([0], pa.int32()), "payload": pa.array([payload], pa.binary())})
+    bits = np.unpackbits(np.frombuffer(answer(asked).column("payload")[0].as_py(), np.uint8))
+    low = {}
+    for doc, t in zip(range(len(texts), 0, -1), texts):
+        for i in range(len(t) - 49):
+            low[t[i : i + 50]] = min(low.get(t[i : i + 50], doc), doc)
+    expected = [low[t[i : i + 50]] < doc for doc, t in zip(range(len(texts), 0, -1), texts) for i in range(len(t) - 49)]
+    assert bits[: len(expected)].astype(bool).tolist() == expected and any(expected) and sizes
+    assert sorted(suffix.dedup(make_docs(odd_rows), batch_bytes=1 << 12).collect(), key=repr) == want
+
+
+def test_rows_without_ids_spread_over_batches(make_docs):
+    rows = [(None, f"row {i} of many") for i in range(400)] + [(7, f"text {i}") for i in range(400)]
+    ex = windows.Exchange(make_docs(rows), batch_bytes=1 << 8)
+    sizes = {r["batch"]: r["count"] for r in ex.batches.groupBy("batch").count().collect()}
+    assert sum(sizes.values()) == 800 and len(sizes) > 20 and max(sizes.values()) < 100
 
+
+def test_levels_stay_few():
     rng = np.random.default_rng(0)
     family, seen = suffix.Family(), {}
     for doc in rng.permutation(200).tolist():

@@ -86,31 +86,50 @@ class _Asked:
 
 
 class Family:
-    """Suffix arrays of sizes that grow geometrically: (suffixes in order, smallest document of each)."""
+    """Suffix arrays of sizes that grow geometrically: distinct suffixes in order, and their numbers.
+
+    ``low`` has the smallest document of each number.
+    """
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.low = np.empty(0, np.int64)
 
-    @staticmethod
-    def array(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct suffixes in order, with the smallest document of each."""
+    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Takes a batch and returns the number of each of its suffixes."""
         order = np.argsort(suffixes, kind="stable")
         suffixes, docs = suffixes[order], docs[order]
-        first = np.flatnonzero(np.append(True, suffixes[1:] != suffixes[:-1]))
-        return suffixes[first], np.minimum.reduceat(docs, first)
-
-    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> None:
-        keys, low = self.array(suffixes, docs)
-        for held, held_low in self.levels:
-            at, same = self.scan(held, keys)
-            np.minimum.at(held_low, at[same], low[same])
-            keys, low = keys[~same], low[~same]
-        if not len(keys):
-            return
-        self.levels.append((keys, low))
+        head = np.append(True, suffixes[1:] != suffixes[:-1])
+        keys, low = suffixes[head], np.minimum.reduceat(docs, np.flatnonzero(head))
+        numbers, new = np.empty(len(keys), np.int64), np.arange(len(keys))
+        for held, held_numbers in self.levels:
+            at, same = self.scan(held, keys[new])
+            known = numbers[new[same]] = held_numbers[at[same]]
+            self.low[known] = np.minimum(self.low[known], low[new[same]])
+            new = new[~same]
+        numbers[new] = len(self.low) + np.arange(len(new))
+        self.low = np.concatenate((self.low, low[new]))
+        if len(new):
+            self.levels.append((keys[new], numbers[new]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, a_low), (b, b_low) = self.levels.pop(), self.levels.pop()
-            self.levels.append(self.array(np.concatenate((b, a)), np.concatenate((b_low, a_low))))
+            small, large = self.levels.pop(), self.levels.pop()
+            self.levels.append(self.merged(large, small))
+        out = np.empty(len(order), np.int64)
+        out[order] = numbers[np.cumsum(head) - 1]
+        return out
+
+    @staticmethod
+    def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Two levels, which share no suffix, as one: the entries of b go to their places among a's."""
+        place = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+        others = np.ones(len(a[0]) + len(b[0]), bool)
+        others[place] = False
+        out = []
+        for x, y in zip(a, b):
+            z = np.empty(len(others), x.dtype)
+            z[place], z[others] = y, x
+            out.append(z)
+        return out[0], out[1]
 
     @staticmethod
     def scan(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +140,9 @@ class Family:
     def smallest(self, keys: np.ndarray) -> np.ndarray:
         """The smallest document of keys that are all in some level."""
         out = np.full(len(keys), np.iinfo(np.int64).max)
-        for held, low in self.levels:
+        for held, numbers in self.levels:
             at, same = self.scan(held, keys)
-            out[same] = low[at[same]]
+            out[same] = self.low[numbers[at[same]]]
         return out
 
 
@@ -153,9 +172,12 @@ def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _answer(asked: pa.Table) -> pa.Table:
     """For each message a bit per suffix: whether a smaller document has it.
 
+    A negative part is a batch's note to itself and comes back as it is.
     Equal stretches of several messages enter the index once, with their smallest
     document; the others hold nothing that document does not have.
     """
+    if asked.column("part")[0].as_py() < 0:
+        return asked.select(["batch", "part", "payload"])
     sent = [_read(p) for p in asked.column("payload").to_pylist()]
     low: dict[bytes, int] = {}
     for texts, docs in sent:
@@ -171,15 +193,11 @@ def _answer(asked: pa.Table) -> pa.Table:
             end += 1
         keys, count = _suffixes(distinct[at:end])
         docs = np.repeat(np.fromiter((low[t] for t in distinct[at:end]), np.int64, end - at), count)
-        family.add(keys, docs)
-        batches.append((distinct[at:end], count, docs))
+        batches.append((distinct[at:end], count, docs, family.add(keys, docs)))
         at = end
     older: dict[bytes, np.ndarray] = {}
-    for texts, count, docs in batches:
-        keys, _ = _suffixes(texts)
-        order = np.argsort(keys, kind="stable")
-        smaller = np.empty(len(keys), bool)
-        smaller[order] = family.smallest(keys[order]) < docs[order]
+    for texts, count, docs, numbers in batches:
+        smaller = family.low[numbers] < docs
         ends = np.cumsum(count).tolist()
         older.update(zip(texts, (smaller[x:y] for x, y in zip([0, *ends], ends))))
     every = np.ones(max(map(len, distinct)), bool)
@@ -213,19 +231,17 @@ def dedup(docs: DataFrame, digest: bool = False, batch_bytes: int = windows.BATC
         n, batch, _ = windows.opened(left, mail)
         return windows.messages(n, Keys.of(batch, symbols, INNER, parts).asked())
 
-    def asked(left: pa.Table, mail: pa.Table) -> tuple[int, Batch, _Asked, dict[int, bytes]]:
+    def ask_stretches(left: pa.Table, mail: pa.Table) -> pa.Table:
         n, batch, answers = windows.opened(left, mail)
         repeated = Keys.of(batch, symbols, INNER, parts).repeated(answers[1])
-        return n, batch, _Asked(batch, repeated, parts), answers[2]
-
-    def ask_stretches(left: pa.Table, mail: pa.Table) -> pa.Table:
-        n, _, stretches, _ = asked(left, mail)
-        return windows.messages(n, stretches.payloads())
+        return windows.messages(n, _Asked(batch, repeated, parts).payloads() | {-1 - n: repeated.tobytes()})
 
     def cut(left: pa.Table, mail: pa.Table) -> pa.Table:
-        _, batch, stretches, answers = asked(left, mail)
+        n, batch, answers = windows.opened(left, mail)
+        repeated = np.frombuffer(answers[2].pop(-1 - n), np.uint64)
+        stretches = _Asked(batch, repeated, parts)
         gone: dict[bytes, np.ndarray] = {}  # starts, in a stretch, of windows of smaller documents
-        for p, bits in answers.items():
+        for p, bits in answers[2].items():
             texts = stretches.by_part[p]
             flags = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
             ends = np.cumsum([len(t) - WIDTH + 1 for t in texts]).tolist()

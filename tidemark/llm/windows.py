@@ -16,7 +16,8 @@ third of all documents share is one entry per batch in the part that owns it. Te
 are shuffled once; each step reads the same exchange. Batches are cut by size in bytes;
 their keys take about ten times that in a task. For very large inputs take larger
 batches (``batch_bytes`` of 256 MB cuts 100 TB into 400,000), so that the messages
-between batches and at most ``MOST_PARTS`` parts hold many keys each.
+between batches and at most ``MOST_PARTS`` parts hold many keys each. A row's batch
+follows from its id and its text, so rows without an id, or of one id, lie in many.
 
 Documents equal to one with a smaller id are known before (by the digest of the text)
 and only wait for step 3. A null doc_id is smaller than none and larger than none.
@@ -271,15 +272,16 @@ class Exchange:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         count = max(partitions(spark), -(-size // batch_bytes))
         self.parts = min(count, MOST_PARTS)
-        batch = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
+        digest = F.md5(F.coalesce("text", F.lit("")))
+        place = lambda d: F.pmod(F.xxhash64("doc_id", d), F.lit(count)).cast("int").alias("batch")
         text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-        self.batches = rows.select(batch.alias("batch"), "doc_id", text.alias("text")).repartition(count, "batch")
-        digests = rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("doc_id IS NOT NULL")
+        self.batches = rows.select(place(digest), "doc_id", text.alias("text")).repartition(count, "batch")
+        digests = rows.select("doc_id", digest.alias("digest")).where("doc_id IS NOT NULL")
         first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         first = first.where(F.col("first") < F.col("last")).select(F.col("digest").alias("of"), "first")
         copies = digests.join(first, (F.col("digest") == F.col("of")) & (F.col("doc_id") > F.col("first"))).distinct()
         self.copies = copies.select(
-            batch.alias("batch"),
+            place(F.col("digest")),
             F.lit(0).alias("step"),
             F.lit(0).alias("part"),
             F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), "digest")).alias("payload"),
