@@ -1,6 +1,6 @@
 import re
 
-from tidemark.llm import pii
+from tidemark.llm import pii, queries
 
 
 def test_patterns():
@@ -109,3 +109,22 @@ def test_terms_beyond_their_bound_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(pii, "_most", lambda pairs, posterior: __import__("numpy").full(pii.PLACES, 1 << 40))
     assert bounded == found() and bounded
     assert not any(r[1] == "common" for r in bounded)
+
+
+def test_the_query_counts_spans_of_each_kind(make_docs, tmp_path, spark):
+    """Kinds in any order and number: a span counts for its kind, not for its place in the list."""
+    import hashlib
+
+    rows = [
+        (1, "4111 1111 1111 1111 then 10.0.0.1 and a@b.cd, +1 (706) 555-3138, x@y.zz"),
+        (2, "10.0.0.1 and 10.0.0.2 and 10.0.0.3"), (3, "a@b.cd a@b.ce a@b.cf a@b.cg"), (4, None), (5, "é +1 (706) 555-3138"),
+        (5, "10.0.0.1"), (None, "4111-1111-1111-1111"),
+    ]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_pii(spark, str(tmp_path)).drop("spans").collect()
+    want = []
+    for d, t in rows:
+        base = pii.base_spans(t or "")
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        want.append((d, *[sum(s[1] == k for s in base) for k in range(4)], digest))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

@@ -63,13 +63,16 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of a kind."""
+    # one parameter only: Spark hands a second one the place in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_all(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)
-    ]
     return found.select(
-        "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+        "doc_id", *[_of_kind("base", k).alias(f"n_{pii.KINDS[k]}") for k in range(4)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
     )
 
 
