@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalog import queries
 from tidemark.operators import digests, snapshots
 from tidemark.operators.distinct import DistinctCounts, relative_error, slice_sketches
 from tidemark.operators.pages import ClusteredPages
@@ -44,6 +45,16 @@ def test_a_page_opens_only_its_files(table, tmp_path):
     assert pages.page(10, (F.lit(10**6), F.lit(""))).collect() == []
 
 
+def test_the_sum_over_rows_has_no_bound_on_rows(spark):
+    """Fails by an overflow where the sum of 48-bit hashes is kept in 64 bits."""
+    import hashlib
+
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("k"))
+    want = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(200_000))
+    assert want > 1 << 63
+    assert rows.agg(queries.content_of("k")).first()[0] == want % (1 << 63)
+
+
 def test_rows_without_a_cursor_are_refused(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "at int, key string")
     with pytest.raises(ValueError, match="1 rows"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.errors import StreamingQueryException
@@ -85,9 +86,13 @@ def presented(df: DataFrame) -> DataFrame:
 
 
 def content_of(*columns: str) -> Column:
-    """A sum over hashes of whole rows: a field that is lost or swapped in any row changes it."""
+    """A sum over hashes of whole rows: a field that is lost or swapped in any row changes it.
+
+    The sum is taken modulo 2^63: hashes have 48 bits, so some 65,000 rows pass a bigint.
+    """
     whole = F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in columns])
-    return F.sum(F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10).cast("bigint"))
+    number = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10)
+    return (F.sum(number.cast("decimal(20,0)")) % F.lit(Decimal(1 << 63))).cast("bigint")
 
 
 def _over_warehouse(make: Callable[[Warehouse], DataFrame]) -> Query:
