@@ -45,6 +45,30 @@ def test_a_page_opens_only_its_files(table, tmp_path):
     assert pages.page(10, (F.lit(10**6), F.lit(""))).collect() == []
 
 
+def test_numbered_rows_lie_in_the_pages_of_a_walk_without_a_job_per_page(table, spark, tmp_path, monkeypatch):
+    pages = ClusteredPages.cluster(table, str(tmp_path / "p"), "at", "key", files=12)
+    walked = [(n, tuple(r)) for n, p in enumerate(pages.walk(70), 1) for r in p.collect()]
+    got = [(r.page, tuple(r)[:3]) for r in pages.numbered(70).collect()]
+    assert sorted(got) == walked and len({n for n, _ in got}) == -(-ROWS // 70)
+
+    class Stub:
+        valid = table.select(
+            F.timestamp_seconds("at").cast("timestamp_ntz").alias("created_at"), F.col("key").alias("request_id"),
+            F.lit("a").alias("agency_code"), F.lit("t").alias("complaint_type"),
+        )
+
+        class store:
+            path = staticmethod(lambda layer, name: str(tmp_path / name))
+
+    monkeypatch.setattr(ClusteredPages, "page", lambda *a: pytest.fail("a job for one page"))
+    monkeypatch.setattr(queries, "WALK_ROWS", 70)
+    assert queries.keyset_walk(Stub).count() == -(-ROWS // 70)
+
+
+def test_numbered_rows_of_an_empty_table(table, tmp_path):
+    assert ClusteredPages.cluster(table.filter("false"), str(tmp_path / "p"), "at", "key").numbered(10).collect() == []
+
+
 def test_the_sum_over_rows_has_no_bound_on_rows(spark):
     """Fails by an overflow where the sum of 48-bit hashes is kept in 64 bits."""
     import hashlib

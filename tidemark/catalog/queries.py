@@ -297,15 +297,11 @@ def keyset_walk(w: Warehouse) -> DataFrame:
     rows = w.valid.select("created_at", "request_id", "agency_code", "complaint_type")
     where = f"{w.store.path('intermediate', 'pages')}-{uuid.uuid4().hex[:8]}"
     pages = ClusteredPages.cluster(rows, where, "created_at", "request_id")
-    summed = [
-        p.agg(
-            F.lit(n).alias("page"), F.count(F.lit(1)).alias("page_rows"), F.max("created_at").alias("last_created_at"),
-            F.max_by("request_id", F.struct("created_at", "request_id")).alias("last_request_id"),
-            content_of("request_id").alias("ids"),
-        )
-        for n, p in enumerate(pages.walk(WALK_ROWS), 1)
-    ]
-    return reduce(DataFrame.unionByName, summed)
+    return pages.numbered(WALK_ROWS).groupBy("page").agg(
+        F.count(F.lit(1)).alias("page_rows"), F.max("created_at").alias("last_created_at"),
+        F.max_by("request_id", F.struct("created_at", "request_id")).alias("last_request_id"),
+        content_of("request_id").alias("ids"),
+    )
 
 
 def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:

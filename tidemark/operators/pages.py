@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,18 @@ class ClusteredPages:
             yield page
             kinds = (self.schema[self.sort].dataType, self.schema[self.tie].dataType)
             after = (F.lit(last["s"]).cast(kinds[0]), F.lit(last["t"]).cast(kinds[1]))
+
+    def numbered(self, n: int, name: str = "page") -> DataFrame:
+        """All rows with the number, from 1, of the page of a walk by n that returns them.
+
+        A walk takes a job per page, so many pages are better numbered at once: a row's place
+        is its place in its file and the rows of the files before it. Cursors are unique, as
+        a walk needs them.
+        """
+        before = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+        starts = self.bounds.select(F.col("file").alias("_file"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.where}/rows").withColumn("_in", F.col("_metadata.file_path"))
+        own = F.row_number().over(Window.partitionBy("_in").orderBy(self.sort, self.tie))
+        placed = rows.withColumn("_own", own).join(F.broadcast(starts), F.col("_in") == F.col("_file"))
+        page = F.floor((F.col("_start") + F.col("_own") - 1) / n).cast("bigint") + 1
+        return placed.select(*self.schema.names, page.alias(name))
