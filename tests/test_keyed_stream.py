@@ -67,3 +67,28 @@ def test_the_store_of_the_session_is_put_back(spark):
     with keyed.rocksdb(spark):
         assert spark.conf.get(keyed.PROVIDER) == keyed.ROCKSDB
     assert spark.conf.get(keyed.PROVIDER, None) == before
+
+
+def test_changes_are_found_without_a_python_call_per_key(spark, feed):
+    """Keys are compared by Spark's own aggregate: no worker is started for a row or a key."""
+    arrive, stream, target, progress = feed
+    arrive(PARTS[0])
+    with keyed.rocksdb(spark):
+        query = keyed.changes(stream(), "id", ["at", "closed"]).writeStream.outputMode("update").format("noop")
+        query = query.option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_equal_and_older_rows_are_no_change_however_often_they_come(spark, feed):
+    arrive, stream, target, progress = feed
+    for _ in range(3):
+        arrive([("a", 2, None, "x"), (None, 1, None, None)])
+        keyed.merge_available(stream(), target, progress, "id", ["at", "closed"])
+    arrive([("a", 2, "c", None), ("a", 1, "z", "z")])
+    keyed.merge_available(stream(), target, progress, "id", ["at", "closed"])
+    got = keyed.read_changes(spark, target, spark.createDataFrame([], SCHEMA).schema).collect()
+    assert sorted(((r.id, r.closed, r.change, r.batch_id) for r in got), key=repr) == sorted(
+        [("a", None, "new", 0), (None, None, "new", 0), ("a", "c", "restated", 3)], key=repr
+    )

@@ -15,10 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed value: the class name of Spark's own store.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,37 +26,6 @@ STATE, CHANGE, BATCH = "newest", "change", "batch_id"
 NEW, RESTATED = "new", "restated"
 
 
-class NewestRow(StatefulProcessor):
-    """Keeps the newest row of a key; emits it when it moves.
-
-    ``order`` is compared first, then every other column, descending with null last, which
-    is the rule of ``latest_per_key``.
-    """
-
-    def __init__(self, schema: T.StructType, order: Sequence[str]):
-        self.schema = schema
-        names = schema.names
-        self.out = Row(*names, CHANGE)
-        self.compared = [names.index(c) for c in [*order, *[n for n in names if n not in order]]]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState(STATE, self.schema)
-
-    def _rank(self, row: Sequence) -> tuple:
-        return tuple((row[i] is not None, row[i]) if row[i] is not None else (False,) for i in self.compared)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        width = len(self.schema)
-        newest = max((tuple(r)[:width] for r in rows), key=self._rank)
-        before = tuple(self.held.get()) if self.held.exists() else None
-        if before is None or self._rank(newest) > self._rank(before):
-            self.held.update(newest)
-            yield self.out(*newest, NEW if before is None else RESTATED)
-
-    def close(self) -> None:
-        pass
-
-
 def _key(key: str) -> list[Column]:
     """Two columns that are never null; all null keys are one key."""
     c = F.col(key).cast("string")
@@ -65,13 +33,28 @@ def _key(key: str) -> list[Column]:
 
 
 def changes(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Streaming changes of the merged table: the rows, and whether the key is new or restated."""
-    schema = rows.schema
-    out = T.StructType([*schema.fields, T.StructField(CHANGE, T.StringType())])
-    return (
-        rows.select("*", *_key(key))
+    """Streaming changes of the merged table: the rows, and whether the key is new or restated.
+
+    The state of a key is its newest row with the time of the batch that brought it, and the
+    time of the key's first batch. ``order`` is compared first, then every other column,
+    descending with null last, which is the rule of ``latest_per_key``; of equal rows the one
+    that came first stays. A batch's time is fixed in its offsets, so a repeated batch has it again;
+    the clock of the driver must not be set back between two runs.
+    """
+    names = rows.schema.names
+    compared = [*order, *[n for n in names if n not in order]]
+    came = F.unix_micros(F.current_timestamp())
+    newest = F.max(F.struct(*compared, (-F.col("_came")).alias("_came")))
+    held = (
+        rows.select("*", *_key(key), came.alias("_came"))
         .groupBy("_absent", "_key")
-        .transformWithState(NewestRow(schema, order), out, outputMode="Update", timeMode="None")
+        .agg(newest.alias(STATE), F.min("_came").alias("_first"))
+    )
+    # update mode hands out every key of a batch; those it did not move are no change
+    moved = held.withColumn("_now", came).filter(F.col(f"{STATE}._came") == -F.col("_now"))
+    return moved.select(
+        *[F.col(f"{STATE}.{n}").alias(n) for n in names],
+        F.when(F.col("_first") == F.col("_now"), NEW).otherwise(RESTATED).alias(CHANGE),
     )
 
 
@@ -121,5 +104,6 @@ def read_changes(spark: SparkSession, target: str, schema: T.StructType) -> Data
 def read_state(spark: SparkSession, checkpoint: str, schema: T.StructType) -> DataFrame:
     """The merged table: the state as the last finished batch left it."""
     with rocksdb(spark):
-        held = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
-        return held.select(*[F.col(f"value.{f.name}").cast(f.dataType).alias(f.name) for f in schema.fields])
+        # the state of an aggregate names each value by its function
+        held = spark.read.format("statestore").load(checkpoint)
+        return held.select(*[F.col(f"value.max.{f.name}").cast(f.dataType).alias(f.name) for f in schema.fields])
