@@ -86,3 +86,11 @@ def test_lookup_carries_a_history_beyond_the_bound(facts, history, params):
 def test_empty_sides(facts, history):
     assert looked_up(facts.filter("false"), history).collect() == []
     assert looked_up(facts, history.filter("false")).filter("version is not null").count() == 0
+
+
+def test_the_sorts_stay_apart_however_small_or_large(facts, history):
+    """As many partitions as ranges or more; merged ones would be sorted by too few tasks."""
+    got = looked_up(facts, history).withColumn("p", F.spark_partition_id())
+    assert got.select("p").distinct().count() > 32
+    plan = looked_up(facts, history)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -158,7 +158,8 @@ def carry_forward(
     last version before it, if that is still in force. Time is cut into ``slots`` ranges
     with about as many facts each, so a key that holds a third of the facts is sorted in
     as many pieces; the version in force where a piece begins is found beforehand from
-    one row per key and range.
+    one row per key and range. The pieces are dealt to a number of partitions that is fixed:
+    left to merge, they grow with the facts until a task's sort no longer fits its memory.
     """
     keys = [f"_k{i}" for i in range(len(match))]
     slot = time_slots(facts, at, slots)
@@ -187,8 +188,9 @@ def carry_forward(
         .unionByName(versions.select(*keys, "_slot", "_ts", F.lit(2).alias("_kind"), nothing, "_v"))
         .unionByName(carried.select(*keys, "_slot", F.col("_v.since").alias("_ts"), F.lit(0).alias("_kind"), nothing, "_v"))
     )
+    parts = max(slots, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = Window.partitionBy(*keys, "_slot").orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = events.withColumn("_v", F.last("_v", ignorenulls=True).over(order)).filter(F.col("_f").isNotNull())
+    last = events.repartition(parts, *keys, "_slot").withColumn("_v", F.last("_v", ignorenulls=True).over(order)).filter(F.col("_f").isNotNull())
     return last.select("_f.*", F.when(F.col("_ts") <= F.col("_v.to"), F.col("_v.take")).alias(take))
 
 
