@@ -32,15 +32,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than there are cores.
-
-    A scan of many files has far more splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _stamp(c: Column) -> Column:
     return c.cast("string")
 
@@ -51,11 +42,15 @@ def _milli_degrees(c: Column) -> Column:
 
 
 def landing_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spread(
-        read(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-            "l_returnflag", "l_linestatus", "l_shipdate",
-        )
+    """The log, with the ingestions of a request side by side.
+
+    Parts are joined first and lines dealt by order after that, so all later joins find the
+    lines of an order together and leave them so. What keeps one row per request then drops
+    the others before its shuffle. It also spreads a scan of few splits over the cores.
+    """
+    line = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
     )
     orders = read(spark, sf_dir, "orders")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -65,11 +60,12 @@ def landing_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # No hints: the planner knows the size of every scan and broadcasts only
     # the sides that fit; skewed order keys are split by the adaptive join.
     rows = (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .repartition("l_orderkey")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
 
     c = F.col
