@@ -23,3 +23,7 @@ def test_lines_of_an_order_lie_in_one_task(spark):
     placed = keyed.withColumn("task", F.spark_partition_id())
     tasks = placed.groupBy("unique_key").agg(F.count_distinct("task").alias("n"))
     assert tasks.agg(F.max("n")).first()[0] == 1 and tasks.count() > 1000
+
+
+def test_sample_reads_a_stored_state(warehouse):
+    assert "windowspecdefinition(unique_key" not in plan(queries.written_sample(warehouse))

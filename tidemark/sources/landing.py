@@ -201,8 +201,11 @@ def write_sample(
     landing: DataFrame, where: str, params: Params, store: Store, per_slice: int = 500
 ) -> DataFrame:
     """Write a systematic sample of each month slice as gzip NDJSON and answer
-    its manifest, (slice, rows, complete)."""
+    its manifest, (slice, rows, complete).
+
+    The current state is stored: positions, sample and manifest each read it."""
     current = latest_per_key(landing, "unique_key", [INGESTED_AT, "closed_date"])
+    current = store.table("intermediate", "sampled_state", current)
     sliced = current.withColumn("slice", slice_label("created_date"))
     sample = systematic_sample(sliced, "slice", "unique_key", params, store, per_slice)
     sample.write.mode("overwrite").partitionBy("slice").option("compression", "gzip").json(where)
