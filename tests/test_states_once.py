@@ -25,5 +25,9 @@ def test_lines_of_an_order_lie_in_one_task(spark):
     assert tasks.agg(F.max("n")).first()[0] == 1 and tasks.count() > 1000
 
 
+def test_digests_compare_stored_captures(warehouse):
+    assert "Window" not in plan(queries.snapshot_diff_digests(warehouse))
+
+
 def test_sample_reads_a_stored_state(warehouse):
     assert "windowspecdefinition(unique_key" not in plan(queries.written_sample(warehouse))

@@ -237,8 +237,19 @@ def snapshot_recheck(w: Warehouse) -> DataFrame:
 
 
 def snapshot_diff_digests(w: Warehouse) -> DataFrame:
-    """The same rows from two captured frames, of which only differing buckets are joined."""
-    return _shown(digests.diff_by_digests(*_captures(w), "unique_key", snapshots.PROBE_FIELDS, DIGEST_BUCKETS))
+    """The same rows from two captured frames, of which only differing buckets are joined.
+
+    Frames and digests are stored, as the comparison reads each more than once.
+    """
+    fields = snapshots.PROBE_FIELDS
+    a, b = _captures(w)
+    a = w.store.table("intermediate", "captured", a)
+    b = w.store.table("intermediate", "rechecked", b)
+    own, theirs = (
+        w.store.table("intermediate", name, digests.bucket_digests(df, "unique_key", fields, DIGEST_BUCKETS))
+        for name, df in (("captured_digests", a), ("rechecked_digests", b))
+    )
+    return _shown(digests.diff_by_digests(a, b, "unique_key", fields, DIGEST_BUCKETS, (own, theirs)))
 
 
 def snapshot_diff(w: Warehouse) -> DataFrame:
