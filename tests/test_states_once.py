@@ -29,5 +29,9 @@ def test_digests_compare_stored_captures(warehouse):
     assert "Window" not in plan(queries.snapshot_diff_digests(warehouse))
 
 
+def test_probe_reads_a_stored_state(warehouse):
+    assert "Window" not in plan(queries.probe_capture(warehouse))
+
+
 def test_sample_reads_a_stored_state(warehouse):
     assert "windowspecdefinition(unique_key" not in plan(queries.written_sample(warehouse))

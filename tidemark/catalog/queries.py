@@ -280,7 +280,9 @@ def change_examples(w: Warehouse) -> DataFrame:
 
 
 def probe_capture(w: Warehouse) -> DataFrame:
-    return snapshots.capture(staging.current_rows(w.landing), PROBE_ROWS, "complete_month")
+    # The newest month is looked up first, so the state is stored and read twice.
+    current = w.store.table("intermediate", "probe_state", staging.current_rows(w.landing))
+    return snapshots.capture(current, PROBE_ROWS, "complete_month")
 
 
 def _exported(w: Warehouse) -> tuple[DataFrame, DataFrame]:
