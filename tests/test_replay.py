@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,15 @@ def test_figures_by_changes_equal_the_comparison_of_whole_tables(spark, valid, p
         assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(a.columns).collect()), key=repr)
 
 
+def test_all_runs_are_dealt_in_one_pass(spark, valid, params, store):
+    """One stored table for all runs, and neither final table is a shuffle away from it."""
+    _, *tables = replay.replay(valid, periods(spark, params), store)
+    assert len(os.listdir(f"{store.root}/comparison")) == 1
+    for table in tables:
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_repeated_ids_are_measured_on_both_tables(spark, valid, params, store):
     twice = valid.unionByName(valid.filter("request_id = 'restated'"))
     spans = periods(spark, params)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from decimal import Decimal
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,12 +146,13 @@ def _log_frame(spark: SparkSession, log: list[dict]) -> DataFrame:
 
 
 def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
-    """Run every vintage through both loads, one after the other.
+    """Run every vintage through both loads.
 
-    The loop is over the calendar, not over data: the rows are dealt once to the one or two
-    vintages that hear of them, and a run reads its own rows, writes them as its folder and
-    counts them in the same job. Every figure of the log is the last run's figure and what
-    the batch changes, so a run costs what arrives with it.
+    A row is heard of by one or two vintages, whatever the others hold, so the runs need not
+    wait for each other: one pass deals the rows to their runs in the state known there and
+    stores the batches of all runs. One job counts what each run changes, and the log adds
+    that up along the calendar, one run after the other. The append-only table has the batch
+    rows of new requests; the merged one has the last batch row of each request.
 
     That needs each request id once. Where ids repeat, ``replay_compared`` measures both
     tables after each run instead.
@@ -159,7 +160,6 @@ def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
     if valid.groupBy("request_id").count().filter(F.col("count") > 1).limit(1).count():
         return replay_compared(valid, spans, store)
     spark = valid.sparkSession
-    base = f"{store.path('comparison', 'replay')}-{uuid.uuid4().hex[:12]}"
     calendar = spans.orderBy("vintage_seq").collect()  # bounded by the parameters
     cutoffs = F.array(*[as_ntz(v["vintage_cutoff_at"]) for v in calendar])
 
@@ -168,23 +168,18 @@ def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
         earlier = F.size(F.filter(cutoffs, lambda c: c < at))
         return F.when(at.isNotNull() & (earlier < len(calendar)), earlier)
 
-    first, known = F.col("_first"), F.col("_known_in")
+    first, last, run = F.col("_first"), F.col("_last"), F.col("run")
     dealt = (
         valid.withColumns({"_first": run_of(F.col("created_at")), "_known_in": run_of(F.col("closed_at"))})
         .filter(first.isNotNull())
-        .withColumn("run", F.explode(F.array_distinct(F.array(first, F.greatest(first, F.coalesce(known, first))))))
-        .withColumn("fresh", F.col("run") == first)
-        .select("request_id", "created_at", "closed_at", *ATTRIBUTES, "fresh", "run")
+        .withColumn("_last", F.greatest(first, F.coalesce("_known_in", first)))
+        .withColumn("run", F.explode(F.array_distinct(F.array(first, last))))
+        .withColumns({"fresh": run == first, "newest": run == last})
     )
-    dealt.hint("rebalance", "run").write.partitionBy("run").parquet(f"{base}/dealt")
-    kept = T.StructType([f for f in dealt.schema.fields if f.name != "run"])
-    schema = vintage_batch(valid, F.lit(None).cast("timestamp_ntz")).schema
-    with_fresh = T.StructType([*schema.fields, T.StructField("fresh", T.BooleanType())])
-
-    def state(rows: DataFrame, cutoff: Column) -> DataFrame:
-        return _state(rows, close_as_of("closed_at", cutoff), cutoff, ["fresh"])
+    cutoff = F.get(cutoffs, run)
+    states = _state(dealt, close_as_of("closed_at", cutoff), cutoff, ["run", "fresh", "newest"])
+    batches = store.table("comparison", f"replay-{uuid.uuid4().hex[:12]}", states)
 
-    there = {r["run"] for r in spark.read.schema(dealt.schema).parquet(f"{base}/dealt").select("run").distinct().collect()}
     fresh, closed = F.col("fresh"), F.col("is_closed_at_vintage")
     secs = seconds_between("created_at", "closed_at")
     figures = {
@@ -194,16 +189,14 @@ def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
         "restated": F.count_if(~fresh & closed),
         "merge_s": total_seconds(secs),
     }
+    # at most one row per run
+    changes = {r["run"]: r for r in batches.groupBy("run").agg(*[c.alias(k) for k, c in figures.items()]).collect()}
     total = dict.fromkeys(figures, 0)
     log = []
-    for run, v in enumerate(calendar):
-        if run in there:
-            seen = Observation()
-            rows = spark.read.schema(kept).parquet(f"{base}/dealt/run={run}")
-            batch = state(rows, as_ntz(v["vintage_cutoff_at"]))
-            batch.observe(seen, *[c.alias(k) for k, c in figures.items()]).write.parquet(f"{base}/batches/run={run}")
-            for k, n in seen.get.items():
-                total[k] += n or 0
+    for at, v in enumerate(calendar):
+        if at in changes:
+            for k in figures:
+                total[k] += changes[at][k] or 0
         n, both = total["rows"], total["append_closed"] + total["restated"]
         log.append(
             {
@@ -214,12 +207,8 @@ def replay(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
                 "append_seconds": Decimal(total["append_s"]), "merge_seconds": Decimal(total["merge_s"]),
             }
         )
-    if there:
-        batches = spark.read.schema(with_fresh).parquet(*[f"{base}/batches/run={run}" for run in sorted(there)])
-    else:
-        batches = spark.createDataFrame([], with_fresh)
-    merged = latest_per_key(batches.drop("fresh"), "request_id", ["loaded_at_vintage"])
-    return Replayed(_log_frame(spark, log), batches.filter("fresh").drop("fresh"), merged)
+    extra = ["run", "fresh", "newest"]
+    return Replayed(_log_frame(spark, log), batches.filter("fresh").drop(*extra), batches.filter("newest").drop(*extra))
 
 
 def replay_compared(valid: DataFrame, spans: DataFrame, store: Store) -> Replayed:
