@@ -63,3 +63,10 @@ def test_root_comes_from_the_session(spark):
 def test_without_a_shared_folder_a_cluster_stops(master):
     with pytest.raises(RuntimeError):
         Store(session(None, master))
+
+
+def test_a_stored_file_has_a_bound_on_its_rows(spark, store, monkeypatch):
+    """A scan packs files into tasks by their size, so this bounds what a task sorts."""
+    monkeypatch.setattr("tidemark.store.ROWS_PER_FILE", 10)
+    held = store.table("staging", "bounded", spark.range(100, numPartitions=2).toDF("id"))
+    assert len(held.inputFiles()) == 10 and held.count() == 100

@@ -26,7 +26,7 @@ from tidemark.plans.warehouse import Warehouse
 from tidemark.sources import export
 from tidemark.sources import landing as src
 from tidemark.sources.tables import ORDER_PARAMS, landing_from_orders, read
-from tidemark.store import Store
+from tidemark.store import ROWS_PER_FILE, Store
 from tidemark.streaming import incremental, ingest, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,7 +446,7 @@ def _streamed(w: Warehouse, name: str) -> tuple[str, list[str]]:
         else incremental.merge_sink(target, "unique_key", order, src.LANDING_SCHEMA, settle_every=2)
     )
     for delivery in _arrivals(w):
-        delivery.write.mode("append").parquet(f"{root}/arrivals")
+        delivery.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{root}/arrivals")
         source = w.spark.readStream.schema(src.LANDING_SCHEMA).parquet(f"{root}/arrivals")
         incremental.run_available(source, sink, f"{root}/progress")
     return target, order

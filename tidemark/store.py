@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Layer names are fixed values and are used verbatim as path parts.
 LAYERS = ("raw", "staging", "intermediate", "marts", "comparison")
 
+#: Rows of one stored file. A scan counts a file at its size and its open cost, by default 4 of
+#: the 128 MB of a task, so a task gets some 30 files and its sorts have a bound at any size.
+ROWS_PER_FILE = 50_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
@@ -94,7 +98,7 @@ class Store:
         where = f"{self.path(layer, name)}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         columns = list(partition_by)
         if columns:
-            df.hint("rebalance", *columns).write.partitionBy(*columns).parquet(where)
-        else:
-            df.write.parquet(where)
+            df = df.hint("rebalance", *columns)
+        out = df.write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        (out.partitionBy(*columns) if columns else out).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.latest import latest_per_key
+from tidemark.store import ROWS_PER_FILE
 
 BATCH, BASE, BUCKET = "batch_id", "base_id", "key_bucket"
 
@@ -38,7 +39,7 @@ def _batches(spark: SparkSession, target: str, schema: T.StructType, buckets: bo
 
 
 def _write(df: DataFrame, target: str, batch: int, kind: str = BATCH) -> None:
-    df.write.mode("overwrite").parquet(f"{target}/{kind}={batch}")
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{target}/{kind}={batch}")
 
 
 def _refuse_fresh_checkpoint(spark: SparkSession, target: str, batch_id: int) -> None:
