@@ -84,7 +84,7 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(table(spark, sf_dir, "documents"), order=ppm.ORDER)
 
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
