@@ -47,11 +47,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes the shuffle files of an action with its end, instead of some time later.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table of its own in the shared folder: computed once, lineage cut."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table of its own in the shared folder: computed once, lineage cut.
+
+    What was shuffled for it is of no more use then and is removed, or else the shuffles of
+    every round of a loop would stay on disk until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
