@@ -49,22 +49,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Whether Spark removes the shuffle files of an action with its end, instead of some time later.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The bytes of a batch that a task hands to Python, besides the number of its rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """``df`` as a table of its own in the shared folder: computed once, lineage cut.
 
     What was shuffled for it is of no more use then and is removed, or else the shuffles of
-    every round of a loop would stay on disk until the driver collects garbage.
+    every round of a loop would stay on disk until the driver collects garbage. With
+    ``batch_bytes``, the batches of its Arrow steps have a bound in bytes, so what tasks hold
+    of them outside the heap does not follow the length of texts.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    settings = {CLEAN_UP: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
