@@ -53,3 +53,47 @@ def test_rules_stage_is_native(spark, make_docs):
     plan = quality_rules.passing(make_docs(rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def words_of(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_rows_without_an_id_are_compared(spark, make_docs):
+    """Copies without an id are found among themselves, and link what lies on both sides of them."""
+    a, b = words_of("a", 100), words_of("b", 60)
+    chain = [" ".join(f"c{i}" for i in range(at, at + 100)) for at in (0, 8, 16)]  # only neighbours reach 0.8
+    rows = [(None, a), (None, a + " end"), (None, a), (None, b), (1, chain[0]), (None, chain[1]), (2, chain[2])]
+    left = corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [1]
+    texts = [r.text for r in left if r.doc_id is None]
+    assert len(texts) == 3 and {b, chain[1]} < set(texts) and {a, a + " end"} & set(texts)
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, make_docs):
+    """Of two rows of one id, the one that is no copy of another document stays, whichever comes first."""
+    x, y = words_of("x", 50), words_of("y", 50)
+    for rows in ([(5, x), (5, y), (1, x)], [(5, y), (1, x), (5, x), (5, y)]):
+        left = corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()
+        assert sorted((r.doc_id, r.text) for r in left) == [(1, x), (5, y)]
+    near = [(7, x), (7, x + " more"), (9, x + " and more")]
+    (one,) = corpus_pipeline.near_duplicates(spark, make_docs(near), "").collect()
+    (again,) = corpus_pipeline.near_duplicates(spark, make_docs(near[::-1]), "").collect()
+    assert one.doc_id == 7 and one.text == again.text
+
+
+def test_a_leaked_text_takes_no_other_row_of_its_id_along(spark, make_docs, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"before {ITEM} after"), (None, "clean and without an id"), (3, f"{ITEM} again"), (3, "clean with the same id"), (4, None)]
+    left = corpus_pipeline.benchmarks(spark, make_docs(rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_the_mix_holds_the_texts(spark, make_docs):
+    rows = [(i, f"text {i} " + "word " * (i % 9), f"s{i % 3}") for i in range(60)] + [(None, "no id", None), (7, "twice", "s0"), (7, "twice", "s0")]
+    mixed = corpus_pipeline.mixture(spark, make_docs(rows).select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert {"text", "lang", "n_chars", "repeats", "taken"} <= set(mixed.columns)
+    got = mixed.collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in got), key=repr) == sorted(rows, key=repr)
+    assert all(r.size == len(r.text.split()) and r.n_chars == len(r.text) and r.taken == r.repeats * r.size for r in got)
+    assert {r.repeats for r in got} >= {0, 2}

@@ -13,11 +13,14 @@ A larger budget always has a larger threshold, so mixes of growing budgets nest.
 Null text has size 0, a null source is a source of its own and comes last. Null and
 repeated ids are told apart by their text and, where that is equal too, by number. A
 repeated row is counted as often as it appears.
-An empty table gives an empty mix; columns besides doc_id, text, source are ignored.
+An empty table gives an empty mix; columns besides doc_id, text, source are ignored unless
+they are to be kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,12 @@ MOST_REPEATS = 2.0
 #: Hash bits refined at each level, of 60 in all.
 LEVEL_BITS = 12
 HASH_BITS = 60
+#: The columns of a mix; a document's own columns of these names are not kept beside them.
+COLUMNS = ("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and the row's hash of 60 bits.
+def sized(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size in words and the row's hash of 60 bits, with the columns to keep as a struct ``kept``.
 
     The hash is of the id and the text, so neither null nor repeated ids stand or fall
     together. Rows equal in both are numbered, and the number is hashed with them: which
@@ -40,10 +45,11 @@ def sized(docs: DataFrame) -> DataFrame:
     by piece, as the input's partitions hold it.
     """
     key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
     rows = written(
         docs.select(
             "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"),
-            F.spark_partition_id().alias("part"),
+            F.spark_partition_id().alias("part"), *kept,
         )
     )
     pieces = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
@@ -56,7 +62,8 @@ def sized(docs: DataFrame) -> DataFrame:
     alone = rows.join(offsets, ["key", "part"], "left_anti").withColumn("number", F.lit(0).cast("long"))
     own = F.md5(F.concat_ws("\x1f", "key", F.col("number").cast("string")))
     return alone.unionByName(numbered).select(
-        "doc_id", "source", "size", F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias("hash")
+        "doc_id", "source", "size", F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias("hash"),
+        *(["kept"] if keep else []),
     )
 
 
@@ -143,10 +150,14 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST_REPEATS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats and taken of every document."""
-    sizes = written(sized(docs))
+    """doc_id, source, size, source_size, target, repeats and taken of every document, and its columns to keep."""
+    sizes = written(sized(docs, keep))
     goals = written(targets(ranked_sources(sizes), weights, share, most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("passes", passes)
@@ -159,5 +170,6 @@ def mix(
     return (
         sizes.join(plan, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("repeats", F.when(F.col("size") > 0, repeats).otherwise(F.least(repeats, F.lit(1))))
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+        .withColumn("taken", F.col("repeats") * F.col("size"))
+        .select(*COLUMNS, *(["kept.*"] if keep else []))
     )
