@@ -36,35 +36,58 @@ HASH_BITS = 60
 COLUMNS = ("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
-def sized(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size in words and the row's hash of 60 bits, with the columns to keep as a struct ``kept``.
+def _keyed(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size in words, key and part of every row, with the columns to keep as a struct ``kept``."""
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.select(
+        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"),
+        F.spark_partition_id().alias("part"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
+    )
+
+
+def _offsets(pieces: DataFrame) -> DataFrame:
+    """key, part and the rows of the key in the parts before."""
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return written(pieces.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+
+
+def _numbered(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("key")) - 1
+    return rows.join(offsets, ["key", "part"]).withColumn("number", F.col("offset") + within).drop("offset")
+
+
+def _hashed(alone: DataFrame, numbered: DataFrame) -> DataFrame:
+    rows = alone.withColumn("number", F.lit(0).cast("long")).unionByName(numbered)
+    own = F.md5(F.concat_ws("\x1f", "key", F.col("number").cast("string")))
+    return rows.withColumn("hash", F.conv(F.substring(own, 1, 15), 16, 10).cast("long")).drop("key", "part", "number")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size in words and the row's hash of 60 bits.
 
     The hash is of the id and the text, so neither null nor repeated ids stand or fall
     together. Rows equal in both are numbered, and the number is hashed with them: which
     of them has which number makes no difference. A group of equal rows is numbered piece
     by piece, as the input's partitions hold it.
     """
-    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
-    rows = written(
-        docs.select(
-            "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"),
-            F.spark_partition_id().alias("part"), *kept,
-        )
-    )
+    rows = written(_keyed(docs))
     pieces = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     several = pieces.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("n > 1").select("key")
-    pieces = pieces.join(several, "key", "left_semi")
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(pieces.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("key")) - 1
-    numbered = rows.join(offsets, ["key", "part"]).withColumn("number", F.col("offset") + within).drop("offset")
-    alone = rows.join(offsets, ["key", "part"], "left_anti").withColumn("number", F.lit(0).cast("long"))
-    own = F.md5(F.concat_ws("\x1f", "key", F.col("number").cast("string")))
-    return alone.unionByName(numbered).select(
-        "doc_id", "source", "size", F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias("hash"),
-        *(["kept"] if keep else []),
-    )
+    offsets = _offsets(pieces.join(several, "key", "left_semi"))
+    return _hashed(rows.join(offsets, ["key", "part"], "left_anti"), _numbered(rows, offsets))
+
+
+def sized_beside(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """As ``sized``, with the columns to keep as a struct ``kept``.
+
+    Whole texts would be written with them, so a row without an equal is read anew from
+    ``docs`` wherever it is used, and only equal rows are stored with their number.
+    """
+    rows = _keyed(docs, keep)
+    several = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    same = written(rows.join(several, "key", "left_semi"))
+    numbered = written(_numbered(same, _offsets(same.groupBy("key", "part").agg(F.count("*").alias("n")))))
+    return _hashed(rows.join(several, "key", "left_anti"), numbered)
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -157,7 +180,8 @@ def mix(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats and taken of every document, and its columns to keep."""
-    sizes = written(sized(docs, keep))
+    rows = sized_beside(docs, keep) if keep else written(sized(docs))
+    sizes = written(rows.drop("kept")) if keep else rows
     goals = written(targets(ranked_sources(sizes), weights, share, most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("passes", passes)
@@ -166,9 +190,11 @@ def mix(
     plan = goals.join(limits, F.col("source").eqNullSafe(F.col("limit_of"))).select(
         F.col("source").alias("of"), "source_size", "target", "passes", "threshold"
     )
+    if keep:
+        plan = written(plan)  # its size is known then, so a small one is broadcast and no text is shuffled
     repeats = F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
     return (
-        sizes.join(plan, F.col("source").eqNullSafe(F.col("of")))
+        rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("repeats", F.when(F.col("size") > 0, repeats).otherwise(F.least(repeats, F.lit(1))))
         .withColumn("taken", F.col("repeats") * F.col("size"))
         .select(*COLUMNS, *(["kept.*"] if keep else []))
