@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,39 @@ def test_equal_and_older_rows_are_no_change_however_often_they_come(spark, feed)
     assert sorted(((r.id, r.closed, r.change, r.batch_id) for r in got), key=repr) == sorted(
         [("a", None, "new", 0), (None, None, "new", 0), ("a", "c", "restated", 3)], key=repr
     )
+
+
+def test_a_run_leaves_no_copy_of_its_state_and_no_shuffle_files(spark, feed):
+    """What stays of a run are the checkpoint and the changes; else every run's own copy of the state stays on disk."""
+    from pathlib import Path
+
+    arrive, stream, target, progress = feed
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    left = lambda: {p for p in local.rglob("*") if p.suffix == ".sst" or p.name.startswith("MANIFEST")}
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = blocks.getAllBlocks()
+        return {n for n in (found.apply(i).name() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before, shuffles = left(), shuffled()
+    for part in PARTS:
+        arrive(part)
+        keyed.merge_available(stream(), target, progress, "id", ["at", "closed"])
+    for _ in range(50):
+        if not (left() - before or shuffled() - shuffles):
+            break
+        time.sleep(0.2)
+    assert not left() - before and not shuffled() - shuffles
+    log = spark.createDataFrame(sum(PARTS, []), SCHEMA)
+    assert rows(keyed.read_state(spark, progress, log.schema)) == rows(latest_per_key(log, "id", ["at", "closed"]))
+
+
+def test_the_state_of_alike_rows_is_packed(spark, feed, tmp_path):
+    """Rows of many keys share most of their words: a tenth of their text is the most that the state may take."""
+    arrive, stream, target, progress = feed
+    words = [" ".join(f"{w}{i % 7}" for w in ("department", "complaint", "address", "district", "channel") * 8) for i in range(7)]
+    arrive([(str(i), i, None, words[i * i % 7]) for i in range(20_000)])
+    keyed.merge_available(stream(), target, progress, "id", ["at", "closed"])
+    state = sum(p.stat().st_size for p in tmp_path.rglob("*.sst"))
+    assert 0 < state < sum(len(words[i * i % 7]) for i in range(20_000)) / 10

@@ -1,10 +1,11 @@
+import time
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import sampling
-from tidemark.store import Store, shared_root
+from tidemark.store import CLEAN_UP, Store, shared_root
 
 
 def test_partitioned_table_prunes_and_reads_back(spark, store):
@@ -70,3 +71,22 @@ def test_a_stored_file_has_a_bound_on_its_rows(spark, store, monkeypatch):
     monkeypatch.setattr("tidemark.store.ROWS_PER_FILE", 10)
     held = store.table("staging", "bounded", spark.range(100, numPartitions=2).toDF("id"))
     assert len(held.inputFiles()) == 10 and held.count() == 100
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, store):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = blocks.getAllBlocks()
+        return {n for n in (found.apply(i).name() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(CLEAN_UP), shuffled()
+    frames = [spark.range(1000).selectExpr(f"id % {n} AS k").groupBy("k").count() for n in (5, 7, 11)]
+    held = [store.table("raw", "counts", df) for df in frames]
+    for _ in range(10):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(CLEAN_UP) == setting
+    for df, back in zip(frames, held):
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

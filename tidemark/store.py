@@ -15,7 +15,8 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,26 @@ LAYERS = ("raw", "staging", "intermediate", "marts", "comparison")
 ROWS_PER_FILE = 50_000
 
 
+#: Whether Spark removes the shuffle files of an action with its end, instead of some time later.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session with these settings; what was set before is put back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
@@ -88,7 +109,8 @@ class Store:
     ) -> DataFrame:
         """Write ``df`` as the next version of a table and read it back.
 
-        A partitioned table is rebalanced first: a partition's rows come
+        What was shuffled for it is removed with the end of the write. A partitioned table
+        is rebalanced first: a partition's rows come
         together into few files, and one that holds most rows is split.
         """
         if self.reuse and layer != "intermediate":
@@ -100,5 +122,6 @@ class Store:
         if columns:
             df = df.hint("rebalance", *columns)
         out = df.write.option("maxRecordsPerFile", ROWS_PER_FILE)
-        (out.partitionBy(*columns) if columns else out).parquet(where)
+        with settings(self.spark, {CLEAN_UP: "true"}):
+            (out.partitionBy(*columns) if columns else out).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
