@@ -472,7 +472,8 @@ def _keyed(w: Warehouse) -> tuple[str, str]:
         raise RuntimeError("lost before the batch was committed")
 
     for n, delivery in enumerate(_arrivals(w)):
-        delivery.write.mode("append").option("compression", "zstd").parquet(f"{root}/arrivals")
+        out = delivery.write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
+        out.parquet(f"{root}/arrivals")
         source = w.spark.readStream.schema(src.LANDING_SCHEMA).parquet(f"{root}/arrivals")
         if n == 1:
             try:
